@@ -52,8 +52,9 @@ def expiry_in_range(category: Column, sent: Column) -> Column:
 
 def retention_expiry(category: Column, sent: Column) -> Column:
     """Sent time plus the retention years; 29 February falls back to the 28th."""
-    years = F.least(retention_years(category), F.lit(MAX_YEAR))
-    return F.when(expiry_in_range(category, sent), sent + F.make_ym_interval(years, F.lit(0)))
+    years = retention_years(category)
+    usable = F.when(years <= F.lit(MAX_YEAR) - F.year(sent), years)
+    return sent + F.make_ym_interval(usable, F.lit(0))
 
 
 def build_metadata(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -79,12 +80,15 @@ def ingest_batch(
     parts: DataFrame,
     registry: DataFrame | None = None,
     part_store: DataFrame | None = None,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda _, rows: rows,
 ) -> Ingested:
     """Accept a batch by the target's rules, in ``seq`` order.
 
     ``messages``: idempotency_key, seq, target_archive. ``parts``: idempotency_key, seq,
     pos, part_id, sha256, size_bytes. A known key returns its stored result and its
     parts are not recorded; among equal keys in the batch the lowest ``seq`` is accepted.
+    ``keep(table, rows)`` may write part_store and registry rows and return them as read
+    back, so that later steps need not compute them again.
     """
     winners = messages.groupBy("idempotency_key").agg(
         F.min(F.struct("seq", "target_archive")).alias("_w")
@@ -108,20 +112,33 @@ def ingest_batch(
     accepted_parts = lookup_join(
         parts, accepted, ["idempotency_key", "seq"], "left_semi", [F.col("pos")]
     )
-    uses = first_part_uses(accepted_parts, part_store)
+    uses = keep("part_store", first_part_uses(accepted_parts, part_store))
     rollup = part_rollup(accepted_parts, uses)
 
-    decided = winners.join(rollup, ["idempotency_key", "seq"], "left").select(
+    judged = winners.join(rollup, ["idempotency_key", "seq"], "left")
+    new_records = keep(
+        "registry",
+        judged.where(F.col("held_target_id").isNull()).select(
+            "idempotency_key",
+            target_id(F.col("idempotency_key")).alias("target_id"),
+            "target_archive",
+            F.coalesce("deduped", F.lit(False)).alias("deduped"),
+            F.col("seq").alias("first_seq"),
+        ),
+    )
+    held = winners.where(F.col("held_target_id").isNotNull()).select(
         "idempotency_key",
-        F.col("seq").alias("_win_seq"),
-        "target_archive",
-        F.col("held_target_id").isNotNull().alias("_known"),
-        F.coalesce("held_target_id", target_id(F.col("idempotency_key"))).alias("target_id"),
-        F.coalesce("held_deduped", "deduped", F.lit(False)).alias("deduped"),
+        F.col("held_target_id").alias("target_id"),
+        F.coalesce("held_deduped", F.lit(False)).alias("deduped"),
+        F.lit(True).alias("_known"),
+        F.col("seq").alias("first_seq"),
+    )
+    fresh = new_records.select(
+        "idempotency_key", "target_id", "deduped", F.lit(False).alias("_known"), "first_seq"
     )
     answered = lookup_join(
         messages.select("idempotency_key", "seq"),
-        decided.select("idempotency_key", "_win_seq", "_known", "target_id", "deduped"),
+        held.unionByName(fresh),
         ["idempotency_key"],
         "inner",
         [F.col("seq")],
@@ -132,12 +149,9 @@ def ingest_batch(
         F.lit(200).alias("http_status"),
         "target_id",
         "deduped",
-        (F.col("_known") | (F.col("seq") > F.col("_win_seq"))).alias("already_present"),
-    )
-    new_records = decided.where(~F.col("_known")).select(
-        "idempotency_key", "target_id", "target_archive", "deduped"
+        (F.col("_known") | (F.col("seq") > F.col("first_seq"))).alias("already_present"),
     )
-    return Ingested(receipts, new_records, uses.select("sha256", "part_id", "size_bytes"), rollup)
+    return Ingested(receipts, new_records, uses, rollup)
 
 
 def apply_receipts(items: DataFrame, results: DataFrame) -> DataFrame:
