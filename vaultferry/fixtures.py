@@ -28,18 +28,38 @@ def options(**changes: object) -> RunOptions:
     return RunOptions(run_id=RUN_ID, as_of=AS_OF, **changes)  # type: ignore[arg-type]
 
 
+# Columns of the tables.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def _zoned(df: DataFrame) -> DataFrame:
     naive = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _zoned(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return _zoned(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of its files."""
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    source = spark.readStream.schema(SCHEMAS[name])
     # As a pattern the path may be a single file or a folder of files.
     return _zoned(source.option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/{name}.parque[t]"))
 
@@ -127,10 +147,14 @@ def items(spark: SparkSession, sf_dir: str, read: Reader = table) -> DataFrame:
 
 
 def part_refs_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part references whose ``pos`` is the sort key of the list, not yet a number."""
+    """Part references whose ``pos`` grows along the list but leaves gaps.
+
+    Line number and part key decide which part comes first; further columns only order
+    references to the same part.
+    """
     return table(spark, sf_dir, "lineitem").select(
         tagged("itm-", "l_orderkey").alias("item_id"),
-        F.struct(*PART_ORDER).alias("pos"),
+        (F.col("l_linenumber").cast("bigint") * F.lit(1 << 50) + F.col("l_partkey")).alias("pos"),
         tagged("prt-", "l_partkey").alias("part_id"),
     )
 
@@ -337,13 +361,22 @@ def document_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def conversation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
-        tagged("conv-", "conv_id").alias("item_id"),
-        F.col("turn").alias("pos"),
-        F.concat(tagged("conv-", "conv_id"), F.lit("-"), F.col("turn").cast("string")).alias("part_id"),
+    """Turns as parts of their conversation, with whole-number positions without gaps."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
         content_hash(F.col("text")).alias("sha256"),
         F.octet_length("text").cast("bigint").alias("size_bytes"),
     )
+    return with_position(turns, ["conv_id"], ["turn", "sha256"]).select(
+        tagged("conv-", "conv_id").alias("item_id"),
+        "pos",
+        F.concat(tagged("conv-", "conv_id"), F.lit("-"), F.col("turn").cast("string")).alias(
+            "part_id"
+        ),
+        "sha256",
+        "size_bytes",
+    )
 
 
 def delivered_records(spark: SparkSession, sf_dir: str) -> DataFrame:

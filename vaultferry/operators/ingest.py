@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultferry.functions.keys import target_id
@@ -43,18 +43,26 @@ class Ingested:
     part_rollup: DataFrame
 
 
-def part_rollup(parts: DataFrame, first_uses: DataFrame) -> DataFrame:
-    """Per message (key, seq): part count, bytes, and whether any part was known already."""
-    totals = parts.groupBy("idempotency_key", "seq").agg(
+def new_parts_per_message(first_uses: DataFrame) -> DataFrame:
+    return first_uses.groupBy("idempotency_key", "seq").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+def has_known_part() -> Column:
+    """Some part of the message arrived earlier: fewer new parts than parts."""
+    return F.col("n_parts") > F.coalesce("n_new", F.lit(0))
+
+
+def part_rollup(parts: DataFrame, first_uses: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Per accepted message: part count, bytes, and whether any part was known already."""
+    message = ["idempotency_key", "seq"]
+    totals = parts.groupBy(*message).agg(
         F.count(F.lit(1)).alias("n_parts"), F.sum("size_bytes").alias("bytes")
     )
-    fresh = first_uses.groupBy("idempotency_key", "seq").agg(F.count(F.lit(1)).alias("n_new"))
-    return totals.join(fresh, ["idempotency_key", "seq"], "left").select(
-        "idempotency_key",
-        "seq",
-        "n_parts",
-        "bytes",
-        (F.col("n_parts") > F.coalesce("n_new", F.lit(0))).alias("deduped"),
+    fresh = new_parts_per_message(first_uses)
+    return (
+        totals.join(accepted, message)
+        .join(fresh, message, "left")
+        .select(*message, "n_parts", "bytes", has_known_part().alias("deduped"))
     )
 
 
@@ -84,14 +92,17 @@ def ingest_batch(
 ) -> Ingested:
     """Accept a batch by the target's rules, in ``seq`` order.
 
-    ``messages``: idempotency_key, seq, target_archive. ``parts``: idempotency_key, seq,
-    pos, part_id, sha256, size_bytes. A known key returns its stored result and its
-    parts are not recorded; among equal keys in the batch the lowest ``seq`` is accepted.
+    ``messages``: idempotency_key, seq, target_archive and, if it is known, n_parts.
+    ``parts``: idempotency_key, seq, pos, part_id, sha256, size_bytes. A known key returns its
+    stored result and its parts are not recorded; among equal keys in the batch the lowest
+    ``seq`` is accepted.
     ``keep(table, rows)`` may write part_store and registry rows and return them as read
     back, so that later steps need not compute them again.
     """
+    counted = "n_parts" in messages.columns
+    facts = ["target_archive", "n_parts"] if counted else ["target_archive"]
     winners = messages.groupBy("idempotency_key").agg(
-        F.min(F.struct("seq", "target_archive")).alias("_w")
+        F.min(F.struct("seq", *facts)).alias("_w")
     )
     winners = winners.select("idempotency_key", "_w.*")
     if registry is not None:
@@ -113,9 +124,13 @@ def ingest_batch(
         parts, accepted, ["idempotency_key", "seq"], "left_semi", [F.col("pos")]
     )
     uses = keep("part_store", first_part_uses(accepted_parts, part_store))
-    rollup = part_rollup(accepted_parts, uses)
+    rollup = part_rollup(parts, uses, accepted)
 
-    judged = winners.join(rollup, ["idempotency_key", "seq"], "left")
+    if counted:
+        judged = winners.join(new_parts_per_message(uses), ["idempotency_key", "seq"], "left")
+        judged = judged.withColumn("deduped", has_known_part())
+    else:
+        judged = winners.join(rollup, ["idempotency_key", "seq"], "left")
     new_records = keep(
         "registry",
         judged.where(F.col("held_target_id").isNull()).select(

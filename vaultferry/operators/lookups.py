@@ -43,6 +43,15 @@ def lookup_join(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def rows_with_keys(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of a large table whose key occurs in ``keys``.
+
+    Used on history tables before they are joined with a batch: a batch that the optimizer
+    finds small is sent to the table's scan, so the table itself is not shuffled.
+    """
+    return table.join(keys.select(*on), list(on), "left_semi")
+
+
 def _slices(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:

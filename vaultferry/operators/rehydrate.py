@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultferry.operators.lookups import lookup_join
+from vaultferry.schemas import PART_ERRORS
 
-BLOB_NOT_FOUND, PART_NOT_FOUND, HASH_MISMATCH = (
-    "BLOB_NOT_FOUND",
-    "PART_NOT_FOUND",
-    "HASH_MISMATCH",
-)
+BLOB_NOT_FOUND, PART_NOT_FOUND, HASH_MISMATCH = PART_ERRORS
 
 
 def verify_parts(parts: DataFrame, blob_hashes: DataFrame) -> DataFrame:
@@ -43,7 +40,7 @@ def distinct_part_ids(refs: DataFrame) -> DataFrame:
 def check_refs(refs: DataFrame, verified: DataFrame) -> DataFrame:
     """Every reference with the verified part behind it, or the error it runs into.
 
-    ``pos`` may be any sortable column.
+    ``pos`` is a whole number that grows along an item's list.
     """
     known = verified.withColumn("known", F.lit(True))
     joined = lookup_join(
@@ -56,40 +53,32 @@ def check_refs(refs: DataFrame, verified: DataFrame) -> DataFrame:
 
 
 def item_content(checked: DataFrame) -> DataFrame:
-    """Per item: part count, bytes and the first error in list order.
+    """Per item: part count, bytes, and code and position of the first error in list order.
 
-    Counts, sums and a minimum by position combine before the shuffle, so an item may
-    own any number of parts.
+    Position and error code share one whole number, so that count, sum and minimum run in
+    a hash aggregate that combines before the shuffle; an item may own any number of parts.
     """
-    failed = F.when(F.col("error").isNotNull(), F.col("pos"))
-    first = F.struct("error", "part_id", "stored_sha256", "sha256")
+    code = F.lit(None).cast("bigint")
+    for number, name in enumerate(PART_ERRORS):
+        code = F.when(F.col("error") == name, F.lit(number)).otherwise(code)
+    base = len(PART_ERRORS)
+    first = F.min(F.col("pos").cast("bigint") * F.lit(base) + code)
+    names = F.array(*[F.lit(name) for name in PART_ERRORS])
     return (
         checked.groupBy("item_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_parts"),
-            F.sum("size_bytes").alias("bytes"),
-            F.min_by(first, failed).alias("_first"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_parts"), F.sum("size_bytes").alias("bytes"), first.alias("_e"))
         .select(
             "item_id",
             "n_parts",
             F.coalesce("bytes", F.lit(0)).alias("bytes"),
-            F.col("_first.error").alias("error_code"),
-            F.col("_first.part_id").alias("error_part"),
-            F.col("_first.stored_sha256").alias("error_stored_sha256"),
-            F.col("_first.sha256").alias("error_sha256"),
+            F.get(names, (F.col("_e") % F.lit(base)).cast("int")).alias("error_code"),
+            F.expr(f"_e div {base}").alias("error_pos"),
         )
     )
 
 
-def rehydrate(
-    items: DataFrame, refs: DataFrame, parts: DataFrame, blob_hashes: DataFrame
-) -> DataFrame:
-    """Items with n_parts, bytes and, where a part is bad, the first error.
-
-    An item without parts is valid.
-    """
-    content = item_content(check_refs(refs, verify_parts(parts, blob_hashes)))
+def with_content(items: DataFrame, content: DataFrame) -> DataFrame:
+    """Items with their content figures; an item without parts is valid."""
     return items.join(content, "item_id", "left").withColumns(
         {
             "n_parts": F.coalesce("n_parts", F.lit(0)).cast("bigint"),
@@ -98,6 +87,32 @@ def rehydrate(
     )
 
 
+def rehydrate(
+    items: DataFrame, refs: DataFrame, parts: DataFrame, blob_hashes: DataFrame
+) -> DataFrame:
+    """Items with n_parts, bytes and, where a part is bad, the first error."""
+    checked = check_refs(refs, verify_parts(parts, blob_hashes))
+    return with_content(items, item_content(checked))
+
+
+def with_error_detail(items: DataFrame, checked: DataFrame) -> DataFrame:
+    """Add part id and hashes behind each item's first error.
+
+    Only references with an error are read; items without one have a null position, which
+    spreads them over all reducers.
+    """
+    bad = checked.where(F.col("error").isNotNull()).select(
+        "item_id",
+        F.col("pos").cast("bigint").alias("error_pos"),
+        F.col("part_id").alias("error_part"),
+        F.col("stored_sha256").alias("error_stored_sha256"),
+        F.col("sha256").alias("error_sha256"),
+    )
+    return lookup_join(
+        items, bad, ["item_id", "error_pos"], "left", [F.col("item_id")], salts=1
+    )
+
+
 def assemble_parts(checked: DataFrame, per_chunk: int) -> DataFrame:
     """Ordered part lists, cut into chunks of ``per_chunk`` consecutive whole-number positions.
 
@@ -111,7 +126,7 @@ def assemble_parts(checked: DataFrame, per_chunk: int) -> DataFrame:
             F.col("size_bytes").alias("sizeBytes"),
         ).alias("part"),
     )
-    chunk = F.floor(F.col("pos") / F.lit(per_chunk)).cast("bigint")
+    chunk = F.expr(f"pos div {per_chunk}")
     grouped = checked.groupBy("item_id", chunk.alias("chunk_no")).agg(
         F.array_sort(F.collect_list(part)).alias("_ordered")
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultferry.functions.payload import payload_long, payload_text
-from vaultferry.operators.lookups import with_position
+from vaultferry.operators.lookups import with_position, with_previous
 from vaultferry.schemas import ERROR_EVENTS, RUN_EVENTS
 
 COUNTERS = {
@@ -168,14 +168,11 @@ def last_completed_run(runs: DataFrame) -> DataFrame:
 
 
 def status_changes(events: DataFrame) -> DataFrame:
-    """Run events that moved a run from Running to Completed or Failed.
-
-    The window sees only start and end events, a handful per run.
-    """
-    in_order = Window.partitionBy("run_id").orderBy(
-        "timestamp_utc", F.col("status") != "Running", "id"
+    """Run events that moved a run from Running to Completed or Failed."""
+    ended = run_events(events).withColumn("ended", F.col("status") != "Running")
+    changed = with_previous(
+        ended, ["run_id"], ["timestamp_utc", "ended", "id"], "status", "previous_status"
     )
-    changed = run_events(events).withColumn("previous_status", F.lag("status").over(in_order))
     return changed.where(
         (F.col("previous_status") == "Running") & F.col("status").isin("Completed", "Failed")
     ).select("run_id", "timestamp_utc", "previous_status", "status")

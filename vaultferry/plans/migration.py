@@ -16,7 +16,7 @@ from vaultferry.operators import audit as a
 from vaultferry.operators import ingest as ing
 from vaultferry.operators.delivery import classify_receipts
 from vaultferry.operators.identity import route_archives
-from vaultferry.operators.lookups import lookup_join
+from vaultferry.operators.lookups import lookup_join, rows_with_keys
 from vaultferry.operators.policy import SKIPPED, with_decision
 from vaultferry.operators.rehydrate import (
     BLOB_NOT_FOUND,
@@ -26,11 +26,13 @@ from vaultferry.operators.rehydrate import (
     item_content,
     part_refs,
     verify_parts,
+    with_content,
+    with_error_detail,
 )
 from vaultferry.operators.report import COUNTERS, outcome_counts, run_summary
 from vaultferry.operators.state import fold_records
 from vaultferry.operators.transform import build_messages, transform_error
-from vaultferry.options import RunOptions
+from vaultferry.options import MigrationFilters, RunOptions
 from vaultferry.session import prepare_session
 from vaultferry.sinks import writers
 from vaultferry.sources.readers import read_if_present, read_table
@@ -67,11 +69,15 @@ def scan_items(items: DataFrame, archives: DataFrame) -> DataFrame:
     return lookup_join(items, routed, ["archive_id"], "inner", [F.col("item_id")])
 
 
-def checked_refs(inputs: MigrationInputs, wanted: DataFrame) -> DataFrame:
-    """Part references of the wanted items, each with its verified part."""
+def checked_refs(inputs: MigrationInputs, wanted: DataFrame, options: RunOptions) -> DataFrame:
+    """Part references, each with its verified part.
+
+    A table of references is cut down to the wanted items when the run is narrowed or
+    resumed; a full run needs nearly all of it and is spared that join.
+    """
     if inputs.refs is None:
         refs = part_refs(wanted)
-    elif inputs.records is None:
+    elif inputs.records is None and options.filters == MigrationFilters():
         refs = inputs.refs
     else:
         ids = wanted.select("item_id")
@@ -80,20 +86,19 @@ def checked_refs(inputs: MigrationInputs, wanted: DataFrame) -> DataFrame:
 
 
 def select_items(
-    inputs: MigrationInputs, options: RunOptions, archives: DataFrame | None = None
+    inputs: MigrationInputs, options: RunOptions, archives: DataFrame
 ) -> DataFrame:
-    """Scanned items with policy decision, key and already_delivered."""
-    if archives is None:
-        archives = route_archives(
-            inputs.archives, inputs.identity_map, options, inputs.identity_order
-        )
+    """Scanned items with policy decision and key."""
     scanned = scan_items(inputs.items, archives)
     decided = with_decision(scanned, options.filters, options.legal_hold)
     key = idempotency_key(F.col("vault_store"), F.col("archive_id"), F.col("item_id"))
-    keyed = decided.withColumn("idempotency_key", key)
+    return decided.withColumn("idempotency_key", key)
+
+
+def flag_history(inputs: MigrationInputs, selected: DataFrame) -> DataFrame:
     if inputs.records is None:
-        return keyed.withColumn("already_delivered", F.lit(False))
-    return ing.flag_delivered(keyed, inputs.records)
+        return selected.withColumn("already_delivered", F.lit(False))
+    return ing.flag_delivered(selected, inputs.records)
 
 
 def goes_on() -> Column:
@@ -111,16 +116,10 @@ def classify_items(
 
     An item ready for delivery gets ItemDryRun or the marker ``Deliver``.
     """
-    content = item_content(checked)
-    joined = selected.join(content, "item_id", "left").withColumns(
-        {
-            "n_parts": F.coalesce("n_parts", F.lit(0)).cast("bigint"),
-            "bytes": F.coalesce("bytes", F.lit(0)).cast("bigint"),
-            "exception": F.when(
-                F.col("idempotency_key").isNull(), F.lit("ArgumentException")
-            ).otherwise(transform_error()),
-        }
-    )
+    exception = F.when(
+        F.col("idempotency_key").isNull(), F.lit("ArgumentException")
+    ).otherwise(transform_error())
+    joined = with_content(selected, item_content(checked)).withColumn("exception", exception)
     event = (
         F.when(F.col("outcome").isin(*SKIPPED), "ItemSkipped")
         .when(F.col("idempotency_key").isNull(), "ItemUnexpectedError")
@@ -138,28 +137,32 @@ def rejects(classified: DataFrame) -> DataFrame:
 
 
 def part_error_message() -> Column:
-    part = F.concat(F.lit("'"), F.col("error_part"), F.lit("'"))
+    """Text of a content error; without detail columns it names the position only."""
+    part = F.coalesce(
+        F.concat(F.lit("part '"), F.col("error_part"), F.lit("'")),
+        F.concat(F.lit("the part at position "), F.col("error_pos").cast("string")),
+    )
+    code = F.col("error_code")
+    hashes = F.concat(
+        F.lit(": stored "),
+        F.col("error_stored_sha256"),
+        F.lit(", computed "),
+        F.col("error_sha256"),
+    )
     return (
-        F.when(
-            F.col("error_code") == BLOB_NOT_FOUND, F.concat(F.lit("No bytes for part "), part)
-        )
-        .when(
-            F.col("error_code") == PART_NOT_FOUND,
-            F.concat(F.lit("No metadata for part "), part),
-        )
+        F.when(code == BLOB_NOT_FOUND, F.concat(F.lit("No bytes for "), part))
+        .when(code == PART_NOT_FOUND, F.concat(F.lit("No metadata for "), part))
         .otherwise(
-            F.concat(
-                F.lit("Hash of part "),
-                part,
-                F.lit(" differs: stored "),
-                F.coalesce("error_stored_sha256", F.lit("")),
-                F.lit(", computed "),
-                F.coalesce("error_sha256", F.lit("")),
-            )
+            F.concat(F.lit("Wrong hash of "), part, F.coalesce(hashes, F.lit("")))
         )
     )
 
 
+def without_detail(items: DataFrame) -> DataFrame:
+    names = ("error_part", "error_stored_sha256", "error_sha256")
+    return items.withColumns({c: F.lit(None).cast("string") for c in names})
+
+
 def item_payload() -> Column:
     """JSON payload of an item's final event."""
     archive = F.col("archive_id")
@@ -348,15 +351,18 @@ def plan_migration(
     options: RunOptions,
     results: DataFrame | None = None,
 ) -> MigrationPlan:
-    """Build a run as lazy DataFrames; ``results`` are classified final receipts, if any."""
+    """Build a run as lazy DataFrames; ``results`` are classified final receipts, if any.
+
+    Content errors in the audit log name the position; ``run_migration`` adds part and hashes.
+    """
     prepare_session(spark)
     archives = route_archives(
         inputs.archives, inputs.identity_map, options, inputs.identity_order
     )
-    selected = select_items(inputs, options, archives)
-    checked = checked_refs(inputs, selected.where(goes_on()))
+    selected = flag_history(inputs, select_items(inputs, options, archives))
+    checked = checked_refs(inputs, selected.where(goes_on()), options)
     classified = classify_items(selected, checked, options)
-    items = with_results(classified, results)
+    items = without_detail(with_results(classified, results))
     outcome = a.collect_audit([archive_audit(archives, options), item_audit(items, options)])
     log = a.collect_audit(
         [run_started(spark, options), outcome, run_completed(archives, outcome, options)]
@@ -375,7 +381,12 @@ class Store:
 
 
 def deliver_to_registry(
-    spark: SparkSession, store: Store, ready: DataFrame, checked: DataFrame, batch_id: str
+    spark: SparkSession,
+    store: Store,
+    ready: DataFrame,
+    checked: DataFrame,
+    batch_id: str,
+    small_batch: bool = False,
 ) -> DataFrame:
     """Run the target's accept rules on ready items and return classified results.
 
@@ -384,8 +395,12 @@ def deliver_to_registry(
     earlier = F.col("batch_id") != F.lit(batch_id)
     registry = read_if_present(spark, with_batch(schemas.REGISTRY), store.path("registry"))
     part_store = read_if_present(spark, with_batch(schemas.PART_STORE), store.path("part_store"))
+    if small_batch and registry is not None and part_store is not None:
+        registry = rows_with_keys(registry, ready, ["idempotency_key"])
+        hashes = checked.select("sha256").distinct()
+        part_store = rows_with_keys(part_store, hashes, ["sha256"])
     seq = F.struct("archive_id", "item_id").alias("seq")
-    messages = ready.select("idempotency_key", seq, "target_archive")
+    messages = ready.select("idempotency_key", seq, "target_archive", "n_parts")
     owners = ready.select("item_id", "idempotency_key", seq)
     parts = lookup_join(checked, owners, ["item_id"], "inner", [F.col("pos")])
 
@@ -453,12 +468,14 @@ def migrate_batch(
     options: RunOptions,
     store_root: str,
     batch: str = "0",
+    small_batch: bool = False,
 ) -> None:
     """Take a batch of items through all steps and write every table below ``store_root``.
 
-    Selected items, checked references and classified items are written and read back, so
+    Scanned items, checked references and classified items are written and read back, so
     each later table is built from the same rows and a lost executor repeats only its own
     step. Writing a batch again replaces it; items delivered by other batches are skipped.
+    For a ``small_batch`` the history tables are first cut down to the batch's keys.
     """
     prepare_session(spark)
     store = Store(store_root)
@@ -474,8 +491,12 @@ def migrate_batch(
         return _batch(spark, store, table, batch_id)
 
     routes = _batch(spark, store, "archives", f"{options.run_id}.start")
-    selected = keep("selected", select_items(inputs, options, routes))
-    checked = keep("checked", checked_refs(inputs, selected.where(goes_on())))
+    scanned = keep("scanned", select_items(inputs, options, routes))
+    if small_batch and inputs.records is not None:
+        history = rows_with_keys(inputs.records, scanned, ["idempotency_key"])
+        inputs = replace(inputs, records=history)
+    selected = flag_history(inputs, scanned)
+    checked = keep("checked", checked_refs(inputs, selected.where(goes_on()), options))
     classified = keep("classified", classify_items(selected, checked, options))
 
     results = None
@@ -483,12 +504,13 @@ def migrate_batch(
         messages = messages_of(classified, checked, options)
         writers.write_outbox(messages, store.path("outbox"), batch_id)
         ready = classified.where(F.col("event_type") == DELIVER)
-        results = deliver_to_registry(spark, store, ready, checked, batch_id)
+        results = deliver_to_registry(spark, store, ready, checked, batch_id, small_batch)
     items = with_results(classified, results)
     if not options.dry_run:
         entries = record_entries(items, options)
         writers.append_records(entries, store.path("records"), batch_id)
-    writers.append_audit(item_audit(items, options), store.path("audit"), batch_id)
+    detailed = with_error_detail(items, checked)
+    writers.append_audit(item_audit(detailed, options), store.path("audit"), batch_id)
 
     mine = _audit_table(spark, store).where(
         (F.col("run_id") == options.run_id) & (F.col("batch_id") == F.lit(batch_id))

@@ -68,7 +68,7 @@ VIEWS = {
                case when v.part_id is null then 'BLOB_NOT_FOUND' else v.error end as error
         from v_refs r left join v_verified v on r.part_id = v.part_id""",
     "v_bad": """
-        select item_id, error, part_id from (
+        select item_id, error, part_id, pos from (
             select *, row_number() over (partition by item_id order by pos) as rn
             from v_checked where error is not null) where rn = 1""",
     "v_content": """
@@ -220,6 +220,13 @@ VIEWS = {
                p.key is not null as d_parts
         from v_mine m full join v_theirs t on m.key = t.key
              left join v_list_diff p on p.key = coalesce(m.key, t.key)""",
+    "v_lines": "select *, l_orderkey || '-' || l_linenumber as row_key from lineitem",
+    "v_broken": """
+        select row_key, 'required:source_item_id' as rule from v_lines where l_partkey % 100 = 0
+        union all select row_key, 'max_length:archive_id' from v_lines where l_suppkey % 50 = 0
+        union all select row_key, 'domain:status' from v_lines where l_linestatus <> 'F'
+        union all select row_key, 'unique:idempotency_key' from v_lines
+                  group by row_key having count(*) > 1""",
     "v_foreign": """
         select case when o_orderkey % 10 = 0 then 'ev:only-two-' || o_orderkey
                     when o_orderkey % 10 = 1 then 'ev:VS:arc:itm:' || o_orderpriority || ':x'
@@ -379,7 +386,12 @@ SQL = {
     "snake_case_columns": """
         select n_nationkey as nation_key, n_name as utc_name, n_regionkey as region_key_value from nation""",
     "part_verification": "select part_id, sha256, size_bytes, error from v_verified",
-    "rehydrated_items": "select item_id, n_parts, bytes, error_code, error_part from v_content",
+    "rehydrated_items": "select item_id, n_parts, bytes, error_code from v_content",
+    "rehydration_error_parts": """
+        select b.item_id, b.error as error_code, b.pos as error_pos, b.part_id as error_part,
+               p.sha256 as error_stored_sha256, v.sha256 as error_sha256
+        from v_bad b left join v_parts p on b.part_id = p.part_id
+             left join v_verified v on b.part_id = v.part_id""",
     "rehydration_errors": """
         select coalesce(error_code, 'OK') as status, count(*) as items,
                count(*) filter (n_parts = 0) as empty from v_content group by 1""",
@@ -603,14 +615,8 @@ SQL = {
                count(*) filter (ours and there and (d_archive or d_hold or d_parts)) as mismatched,
                count(*) filter (not there or not ours or d_archive or d_hold or d_parts) = 0 as is_clean
         from v_compare""",
-    "constraint_violations": """
-        select rule, count(*) as violations, count(distinct row_key) as keys, min(row_key) as first_key
-        from (with l as (select *, l_orderkey || '-' || l_linenumber as row_key from lineitem)
-              select row_key, 'required:source_item_id' as rule from l where l_partkey % 100 = 0
-              union all select row_key, 'max_length:archive_id' from l where l_suppkey % 50 = 0
-              union all select row_key, 'domain:status' from l where l_linestatus <> 'F'
-              union all select row_key, 'unique:idempotency_key' from l group by row_key having count(*) > 1)
-        group by rule""",
+    "constraint_violations": "select rule, count(*) as violations from v_broken group by rule",
+    "constraint_violation_rows": "select row_key, rule from v_broken",
     "illegal_transitions": """
         select key, event_id, previous_status, status
         from (select *, lag(status) over (partition by key order by ts, event_id) as previous_status

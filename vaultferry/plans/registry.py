@@ -345,8 +345,17 @@ def _rehydrated(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rehydrated_items(spark: SparkSession, d: str) -> DataFrame:
-    return _rehydrated(spark, d).select(
-        "item_id", "n_parts", "bytes", "error_code", "error_part"
+    return _rehydrated(spark, d).select("item_id", "n_parts", "bytes", "error_code")
+
+
+@query
+def rehydration_error_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Items with a bad part: where it is in the list, which one, and its hashes."""
+    verified = rh.verify_parts(fx.parts(spark, d), readers.blob_hashes(fx.blobs(spark, d)))
+    checked = rh.check_refs(fx.part_refs(spark, d), verified)
+    failed = rh.item_content(checked).where(F.col("error_code").isNotNull())
+    return rh.with_error_detail(failed, checked).select(
+        "item_id", "error_code", "error_pos", "error_part", "error_stored_sha256", "error_sha256"
     )
 
 
@@ -861,8 +870,7 @@ def reconciliation_verdict(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.reconciliation_verdict(_with_parts(spark, d))
 
 
-@query
-def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+def _broken_lines(spark: SparkSession, d: str) -> DataFrame:
     """Line items as records that break every kind of rule."""
     lines = fx.table(spark, d, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("idempotency_key"),
@@ -877,12 +885,18 @@ def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_shipdate").alias("extracted_at_utc"),
         F.lit(1).alias("attempt_count"),
     )
-    broken = quality.check_constraints(lines, quality.RECORD_RULES)
-    return broken.groupBy("rule").agg(
-        F.count(F.lit(1)).alias("violations"),
-        F.count_distinct("row_key").alias("keys"),
-        F.min("row_key").alias("first_key"),
-    )
+    return quality.check_constraints(lines, quality.RECORD_RULES)
+
+
+@query
+def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+    broken = _broken_lines(spark, d)
+    return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query
+def constraint_violation_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _broken_lines(spark, d)
 
 
 @query

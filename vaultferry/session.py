@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A split of a hot join partition is worth one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Streaming state on disk instead of the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Batch ids and run ids in folder names are text.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # Parquet files shrink several times; judge broadcast sizes by the unpacked size.
