@@ -1,0 +1,158 @@
+"""Large groups: results stay whole and the work spreads."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests import build as b
+from vaultferry.operators import ingest
+from vaultferry.operators import rehydrate as rh
+from vaultferry.operators.lookups import lookup_join, with_position, with_previous
+
+
+def hot_rows(spark, n):
+    """A third of the rows share one key."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1)
+    return spark.range(n).select(key.alias("k"), (F.col("id") * 7919 % n).alias("t"), F.col("id").alias("v"))
+
+
+def test_positions_match_a_window(spark):
+    from pyspark.sql import Window
+
+    df = hot_rows(spark, 20_000)
+    got = with_position(df, ["k"], ["t", "v"])
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy("t", "v")) - 1)
+    both = got.join(want, ["k", "t", "v"])
+    assert both.count() == 20_000
+    assert both.where("pos <> want").count() == 0
+
+
+def test_previous_matches_a_window(spark):
+    from pyspark.sql import Window
+
+    df = hot_rows(spark, 20_000).withColumn("s", F.when(F.col("v") % 5 > 0, F.col("v")))
+    got = with_previous(df, ["k"], ["t", "v"], "s", "p")
+    want = df.withColumn("want", F.lag("s").over(Window.partitionBy("k").orderBy("t", "v")))
+    both = got.join(want, ["k", "t", "v"])
+    assert both.count() == 20_000
+    assert both.where("not (p <=> want)").count() == 0
+
+
+def test_a_large_group_is_cut_into_slices(spark):
+    from vaultferry.operators.lookups import _slices
+
+    _, slices = _slices(hot_rows(spark, 20_000), ["k"], ["t", "v"])
+    assert slices.where("k = 0").count() > 1
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_lookup_join_equals_join(spark, how):
+    facts = hot_rows(spark, 3_000).withColumn("k", F.when(F.col("v") % 11 > 0, F.col("k")))
+    lookup = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    got = sorted(map(str, lookup_join(facts, lookup, ["k"], how, [F.col("v")]).collect()))
+    assert got == sorted(map(str, facts.join(lookup, "k", how).select(*lookup_join(facts, lookup, ["k"], how).columns).collect()))
+
+
+def executed(df, capsys):
+    """Run the frame's plan to its end and return the final plan."""
+    df.collect()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_hot_part_is_split(spark, capsys):
+    """With small limits, the join of a hot part shows a split skewed partition."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        refs = spark.range(0, 60_000, 1, 8).select(
+            F.concat(F.lit("i"), F.col("id")).alias("item_id"),
+            F.lit(0).alias("pos"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 500)).alias("part_id"),
+        )
+        ids = refs.select("part_id").distinct()
+        parts = ids.select("part_id", F.sha2("part_id", 256).alias("sha256"), F.lit(1).cast("bigint").alias("size_bytes"))
+        verified = rh.verify_parts(parts, parts)
+        checked = rh.check_refs(refs, verified)
+        plan = executed(checked.select("item_id", "error"), capsys)
+        assert "skew=true" in plan
+        assert checked.where("error is null").count() == 60_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_content_figures_use_a_hash_aggregate(spark, capsys):
+    checked = spark.createDataFrame(
+        [], "item_id string, pos bigint, part_id string, sha256 string, stored_sha256 string, size_bytes bigint, error string"
+    )
+    rh.item_content(checked).explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def brute_force(messages, parts, registry, store):
+    """Accept messages one by one in seq order."""
+    held, seen, receipts = dict(registry), set(store), {}
+    for key, seq, _ in sorted(messages, key=lambda m: m[1]):
+        if key in held:
+            receipts[key, seq] = (held[key], True)
+            continue
+        hit = False
+        for _, _, _, _, sha, _ in sorted((p for p in parts if p[:2] == (key, seq)), key=lambda p: p[2]):
+            hit = hit or sha in seen
+            seen.add(sha)
+        held[key] = hit
+        receipts[key, seq] = (hit, False)
+    return receipts, seen - set(store)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_accepting_equals_one_by_one(spark, seed):
+    rnd = random.Random(seed)
+    messages, parts = [], []
+    for seq in range(200):
+        key = "hot" if seq % 3 == 0 else f"k{rnd.randrange(120)}"
+        messages.append((key, seq, "t"))
+        for pos in range(rnd.randrange(4)):
+            sha = "common" if rnd.random() < 0.33 else f"h{rnd.randrange(200)}"
+            parts.append((key, seq, pos, f"p{seq}-{pos}", sha, 1))
+    registry = [(f"k{n}", bool(n % 2)) for n in range(0, 120, 10)]
+    store = [f"h{n}" for n in range(0, 200, 20)]
+    want, new = brute_force(messages, parts, registry, store)
+    result = ingest.ingest_batch(
+        spark.createDataFrame(messages, "idempotency_key string, seq bigint, target_archive string"),
+        spark.createDataFrame(parts, "idempotency_key string, seq bigint, pos int, part_id string, sha256 string, size_bytes bigint"),
+        spark.createDataFrame([(k, "old", "t", d) for k, d in registry], "idempotency_key string, target_id string, target_archive string, deduped boolean"),
+        spark.createDataFrame([(s,) for s in store], "sha256 string"),
+    )
+    got = {(r["idempotency_key"], r["seq"]): (r["deduped"], r["already_present"]) for r in result.receipts.collect()}
+    assert got == want
+    assert {r["sha256"] for r in result.new_parts.collect()} == new
+
+
+def test_lists_keep_their_length(spark):
+    rnd = random.Random(7)
+    lists = [[f"p{rnd.randrange(6)}" for _ in range(rnd.randrange(9))] for _ in range(60)]
+    items = b.items(spark, *[b.item(item_id=f"i{n}", content_part_ids=ids) for n, ids in enumerate(lists)])
+    contents = {f"p{n}": bytes([n]) for n in range(4)}
+    verified = rh.verify_parts(b.parts(spark, **contents), b.blob_hashes(spark, **contents))
+    checked = rh.check_refs(rh.part_refs(items), verified)
+    counts = {r["item_id"]: (r["n_parts"], r["error_pos"]) for r in rh.with_content(items, rh.item_content(checked)).collect()}
+    for n, ids in enumerate(lists):
+        first = next((i for i, p in enumerate(ids) if p not in contents), None)
+        assert counts[f"i{n}"] == (len(ids), first)
+    joined = {}
+    for r in rh.assemble_parts(checked, 4).orderBy("item_id", "chunk_no").collect():
+        joined.setdefault(r["item_id"], []).extend(p["partId"] for p in r["parts"])
+    assert joined == {f"i{n}": ids for n, ids in enumerate(lists) if ids}

@@ -125,15 +125,11 @@ def reconcile_items(
             "mismatched",
         )
     )
-    detail = F.array_join(
-        F.array_compact(
-            F.array(
-                F.when(~F.col("l_archive").eqNullSafe(F.col("t_archive")), "target_archive"),
-                F.when(~F.col("l_hold").eqNullSafe(F.col("t_hold")), "legal_hold"),
-                F.when(F.col("part_differences").isNotNull(), "parts"),
-            )
-        ),
+    detail = F.concat_ws(
         ",",
+        F.when(~F.col("l_archive").eqNullSafe(F.col("t_archive")), "target_archive"),
+        F.when(~F.col("l_hold").eqNullSafe(F.col("t_hold")), "legal_hold"),
+        F.when(F.col("part_differences").isNotNull(), "parts"),
     )
     return (
         both.withColumn("kind", kind)

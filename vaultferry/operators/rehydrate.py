@@ -128,8 +128,6 @@ def assemble_parts(checked: DataFrame, per_chunk: int) -> DataFrame:
     )
     chunk = F.expr(f"pos div {per_chunk}")
     grouped = checked.groupBy("item_id", chunk.alias("chunk_no")).agg(
-        F.array_sort(F.collect_list(part)).alias("_ordered")
-    )
-    return grouped.select(
-        "item_id", "chunk_no", F.transform("_ordered", lambda p: p["part"]).alias("parts")
+        F.sort_array(F.collect_list(part)).alias("_ordered")
     )
+    return grouped.select("item_id", "chunk_no", F.col("_ordered.part").alias("parts"))

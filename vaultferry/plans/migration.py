@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -350,17 +351,20 @@ def plan_migration(
     inputs: MigrationInputs,
     options: RunOptions,
     results: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> MigrationPlan:
     """Build a run as lazy DataFrames; ``results`` are classified final receipts, if any.
 
-    Content errors in the audit log name the position; ``run_migration`` adds part and hashes.
+    Messages and audit log share the checked references; pass ``keep=durable`` when both
+    are wanted. Content errors in the audit log name the position; ``run_migration`` adds
+    part and hashes.
     """
     prepare_session(spark)
     archives = route_archives(
         inputs.archives, inputs.identity_map, options, inputs.identity_order
     )
     selected = flag_history(inputs, select_items(inputs, options, archives))
-    checked = checked_refs(inputs, selected.where(goes_on()), options)
+    checked = keep(checked_refs(inputs, selected.where(goes_on()), options))
     classified = classify_items(selected, checked, options)
     items = without_detail(with_results(classified, results))
     outcome = a.collect_audit([archive_audit(archives, options), item_audit(items, options)])

@@ -21,7 +21,7 @@ from vaultferry.operators import report, state
 from vaultferry.operators.transform import build_messages, transform_error
 from vaultferry.options import MIGRATE, RETAIN, MigrationFilters
 from vaultferry.plans import migration as mg
-from vaultferry.session import prepare_session, scratch_path
+from vaultferry.session import durable, prepare_session, scratch_path
 from vaultferry.sinks import writers
 from vaultferry.sources import readers
 from vaultferry.streaming import jobs
@@ -976,23 +976,23 @@ def migration_resume(spark: SparkSession, d: str) -> DataFrame:
 def outbox_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages of a run as written to the outbox, read back as text."""
     store = scratch_path(spark, "outbox")
-    inputs, opts = _inputs(spark, d), fx.options()
-    plan = mg.plan_migration(spark, inputs, opts)
+    plan = mg.plan_migration(spark, _inputs(spark, d), fx.options(), keep=durable)
     writers.write_outbox(plan.messages(), store, "0")
-    body = spark.read.text(store)
-
-    def at(path: str) -> Column:
-        return F.get_json_object("value", f"$.{path}")
-
+    fields = (
+        "idempotencyKey string, targetArchive string, metadata map<string, string>, "
+        "retention struct<expiresUtc: string>, content struct<parts: array<struct<partId: string>>>"
+    )
+    lines = spark.read.text(store)
+    body = lines.withColumn("m", F.from_json("value", fields))
     return body.select(
-        at("idempotencyKey").alias("idempotency_key"),
+        F.col("m.idempotencyKey").alias("idempotency_key"),
         "archive_class",
-        at("targetArchive").alias("target_archive"),
-        at("metadata.cc").alias("cc"),
-        at("metadata.sentDateUtc").alias("sent"),
-        at("retention.expiresUtc").alias("expires"),
-        F.coalesce(F.json_array_length(at("content.parts")), F.lit(0)).cast("bigint").alias("n_parts"),
-        at("content.parts[0].partId").alias("first_part"),
+        F.col("m.targetArchive").alias("target_archive"),
+        F.col("m.metadata")["cc"].alias("cc"),
+        F.col("m.metadata")["sentDateUtc"].alias("sent"),
+        F.col("m.retention.expiresUtc").alias("expires"),
+        F.size("m.content.parts").cast("bigint").alias("n_parts"),
+        F.get("m.content.parts", F.lit(0))["partId"].alias("first_part"),
         F.contains("value", F.lit(":null")).alias("has_null"),
     )
 
