@@ -7,7 +7,6 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vaultferry import schemas
 from vaultferry.functions.keys import idempotency_key
@@ -397,8 +396,8 @@ def deliver_to_registry(
     A batch that runs again sees the target as it was before its first try.
     """
     earlier = F.col("batch_id") != F.lit(batch_id)
-    registry = read_if_present(spark, with_batch(schemas.REGISTRY), store.path("registry"))
-    part_store = read_if_present(spark, with_batch(schemas.PART_STORE), store.path("part_store"))
+    registry = read_if_present(spark, schemas.with_batch(schemas.REGISTRY), store.path("registry"))
+    part_store = read_if_present(spark, schemas.with_batch(schemas.PART_STORE), store.path("part_store"))
     if small_batch and registry is not None and part_store is not None:
         registry = rows_with_keys(registry, ready, ["idempotency_key"])
         hashes = checked.select("sha256").distinct()
@@ -409,9 +408,7 @@ def deliver_to_registry(
     parts = lookup_join(checked, owners, ["item_id"], "inner", [F.col("pos")])
 
     def keep(table: str, rows: DataFrame) -> DataFrame:
-        path = store.path(table)
-        writers.write_batch(rows, path, batch_id)
-        return spark.read.parquet(path).where(~earlier).drop("batch_id")
+        return writers.keep_batch(rows, store.path(table), batch_id)
 
     accepted = ing.ingest_batch(
         messages,
@@ -436,13 +433,8 @@ def deliver_to_registry(
     )
 
 
-def with_batch(schema: T.StructType) -> T.StructType:
-    """The schema with the batch folder as a column."""
-    return T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())])
-
-
 def _audit_table(spark: SparkSession, store: Store) -> DataFrame:
-    return read_table(spark, with_batch(schemas.AUDIT), store.path("audit"))
+    return read_table(spark, schemas.with_batch(schemas.AUDIT), store.path("audit"))
 
 
 def start_run(
@@ -455,15 +447,14 @@ def start_run(
     routed = route_archives(
         inputs.archives, inputs.identity_map, options, inputs.identity_order
     )
-    writers.write_batch(routed, store.path("archives"), batch_id)
-    routes = _batch(spark, store, "archives", batch_id)
+    routes = writers.keep_batch(routed, store.path("archives"), batch_id)
     log = a.collect_audit([run_started(spark, options), archive_audit(routes, options)])
     writers.append_audit(log, store.path("audit"), batch_id)
 
 
-def _batch(spark: SparkSession, store: Store, table: str, batch_id: str) -> DataFrame:
-    rows = spark.read.parquet(store.path(table))
-    return rows.where(F.col("batch_id") == F.lit(batch_id)).drop("batch_id")
+def routes_of(spark: SparkSession, options: RunOptions, store: Store) -> DataFrame:
+    path, batch_id = store.path("archives"), f"{options.run_id}.start"
+    return writers.read_batch(spark, schemas.ROUTES, path, batch_id)
 
 
 def migrate_batch(
@@ -485,16 +476,15 @@ def migrate_batch(
     store = Store(store_root)
     batch_id = f"{options.run_id}.{batch}"
     if inputs.records is None:
-        log = read_if_present(spark, with_batch(schemas.RECORDS), store.path("records"))
+        log = read_if_present(spark, schemas.with_batch(schemas.RECORDS), store.path("records"))
         if log is not None:
             others = log.where(F.col("batch_id") != F.lit(batch_id)).drop("batch_id")
             inputs = replace(inputs, records=others)
 
     def keep(table: str, rows: DataFrame) -> DataFrame:
-        writers.write_batch(rows, store.path(table), batch_id)
-        return _batch(spark, store, table, batch_id)
+        return writers.keep_batch(rows, store.path(table), batch_id)
 
-    routes = _batch(spark, store, "archives", f"{options.run_id}.start")
+    routes = routes_of(spark, options, store)
     scanned = keep("scanned", select_items(inputs, options, routes))
     if small_batch and inputs.records is not None:
         history = rows_with_keys(inputs.records, scanned, ["idempotency_key"])
@@ -535,7 +525,7 @@ def finish_run(
     """Write RunCompleted with the counters of all batches and return the run's summary."""
     store = Store(store_root)
     mine = _audit_table(spark, store).where(F.col("run_id") == options.run_id)
-    routes = _batch(spark, store, "archives", f"{options.run_id}.start")
+    routes = routes_of(spark, options, store)
     done = run_completed(routes, mine, options, batch)
     writers.append_audit(done, store.path("audit"), f"{options.run_id}.{batch}-end")
     final = _audit_table(spark, store)

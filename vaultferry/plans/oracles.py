@@ -314,6 +314,11 @@ _RATIO = f"""
                  coalesce(http_status in (503, 429), false)
                  or coalesce(exception = 'HttpRequestException', false) as bad from v_attempts)
     group by w"""
+_RECORDS = f"""
+        select key as idempotency_key, source_item_id, archive_id, target_archive, target_id, status,
+               {_time('extracted')} as extracted_at_utc, {_time('ingested')} as ingested_at_utc,
+               {_time('attempted')} as last_attempt_at_utc, attempt_count, code as last_error_code
+        from v_folded"""
 _DELIVERED = "o_orderkey % 3 = 0"
 
 SQL = {
@@ -322,6 +327,11 @@ SQL = {
         select item_id, archive_id, {_time('sent_date_utc')} as sent, cast(2 as bigint) as n_to,
                cast(has_cc as bigint) as n_cc, cast(has_bcc as bigint) as n_bcc,
                'body-' || item_id as part_ids, size_bytes from v_items""",
+    "read_parts": """
+        select part_id, sha256, size_bytes, part_id || '.bin' as data_ref from v_parts""",
+    "read_receipts": """
+        select ingest_status, count(*) as receipts, count(distinct key) as keys
+        from v_attempts group by ingest_status""",
     "order_items": "select archive_id, item_id, size_bytes from v_items",
     "blob_hashes": """
         select part_id, sha256(payload) as sha256, strlen(payload) as blob_bytes from v_blobs""",
@@ -501,11 +511,8 @@ SQL = {
                     when 'PermanentError' then 'ItemPermanentFailed' else 'Deliver' end as event_type,
                target_id, error_code as delivery_error
         from documents left join v_rollup on 'key-' || (doc_id * 3 % 5000) = key""",
-    "merge_records": f"""
-        select key as idempotency_key, source_item_id, archive_id, target_archive, target_id, status,
-               {_time('extracted')} as extracted_at_utc, {_time('ingested')} as ingested_at_utc,
-               {_time('attempted')} as last_attempt_at_utc, attempt_count, code as last_error_code
-        from v_folded""",
+    "merge_records": _RECORDS,
+    "records_compacted": _RECORDS,
     "records_by_status": """
         select key as idempotency_key, code as last_error_code from v_folded where status = 'Failed'""",
     "count_by_status": "select status, count(*) as records from v_folded group by status",

@@ -91,6 +91,27 @@ def read_items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def read_parts(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "parts")
+    fx.parts(spark, d).write.orc(path)
+    return readers.read_parts(spark, path, "orc")
+
+
+@query
+def read_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts written as a table, read back and classified."""
+    path = scratch_path(spark, "receipts")
+    receipts = fx.attempts(spark, d).withColumns(
+        {"attempt_no": F.lit(1), "deduped": F.lit(None).cast("boolean")}
+    )
+    receipts.select(*schemas.RECEIPTS.names).write.parquet(path)
+    classified = delivery.classify_receipts(readers.read_receipts(spark, path))
+    return classified.groupBy("ingest_status").agg(
+        F.count(F.lit(1)).alias("receipts"), F.count_distinct("idempotency_key").alias("keys")
+    )
+
+
 @query
 def order_items(spark: SparkSession, d: str) -> DataFrame:
     items = fx.items(spark, d).select("archive_id", "item_id", "size_bytes")
@@ -661,6 +682,21 @@ def merge_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def records_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Early records folded and written, then folded again together with the later ones."""
+    log = fx.record_log(spark, d)
+    early = F.col("last_attempt_at_utc") < F.lit("2024-01-15").cast("timestamp")
+    path = scratch_path(spark, "records")
+    writers.compact_records(log.where(early), path)
+    snapshot = readers.read_records(spark, path)
+    later = log.where(~early).select(*schemas.RECORDS.names)
+    folded = state.fold_records(snapshot.unionByName(later))
+    return timed(folded, "extracted_at_utc", "ingested_at_utc", "last_attempt_at_utc").withColumn(
+        "attempt_count", F.col("attempt_count").cast("bigint")
+    )
+
+
 @query
 def records_by_status(spark: SparkSession, d: str) -> DataFrame:
     folded = state.fold_records(fx.record_log(spark, d))
@@ -1078,24 +1114,27 @@ def stream_checkpoints(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest_rate(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "stream-rate")
     rate = jobs.ingest_rate(fx.item_events(spark, d, fx.stream))
-    jobs.upsert_stream(rate, f"{root}/rate", f"{root}/checkpoint")
-    return timed(jobs.latest(spark, f"{root}/rate", ["run_id", "minute"]), "minute")
+    keys_ = ["run_id", "minute"]
+    return timed(jobs.upsert_stream(rate, keys_, f"{root}/rate", f"{root}/checkpoint"), "minute")
 
 
 @query
 def stream_failure_ratio(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "stream-ratio")
     ratio = jobs.failure_ratio_stream(fx.attempts(spark, d, fx.stream))
-    jobs.upsert_stream(ratio, f"{root}/ratio", f"{root}/checkpoint")
-    return _ratio_columns(jobs.latest(spark, f"{root}/ratio", ["window_start"]))
+    newest = jobs.upsert_stream(
+        ratio, ["window_start"], f"{root}/ratio", f"{root}/checkpoint"
+    )
+    return _ratio_columns(newest)
 
 
 @query
 def stream_dedup_keys(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "stream-dedup")
     keyed = fx.attempts(spark, d, fx.stream).select("idempotency_key", "attempt_order")
-    jobs.dedup_keys(spark, keyed, ["attempt_order"], f"{root}/keys", f"{root}/checkpoint")
-    firsts = spark.read.parquet(f"{root}/keys")
+    firsts = jobs.dedup_keys(
+        spark, keyed, ["attempt_order"], f"{root}/keys", f"{root}/checkpoint"
+    )
     return firsts.select("idempotency_key", F.col("attempt_order.event_id").alias("event_id"))
 
 
@@ -1105,8 +1144,7 @@ def status_tracker(spark: SparkSession, d: str) -> DataFrame:
     tracked = jobs.status_tracker(
         fx.status_history(spark, d, fx.stream), ["at_utc", "event_id"]
     )
-    jobs.upsert_stream(tracked, f"{root}/status", f"{root}/checkpoint")
-    return jobs.latest(spark, f"{root}/status", ["key"])
+    return jobs.upsert_stream(tracked, ["key"], f"{root}/status", f"{root}/checkpoint")
 
 
 FLAGSHIP = "dry_run_archive_summary"

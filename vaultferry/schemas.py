@@ -20,6 +20,15 @@ ARCHIVES = _schema(
     ("vault_store", _S, False),
 )
 
+ROUTES = T.StructType(
+    [
+        *ARCHIVES.fields,
+        T.StructField("target_archive", _S),
+        T.StructField("orphan_reason", _S),
+        T.StructField("route", _S, False),
+    ]
+)
+
 ITEMS = _schema(
     ("item_id", _S, False),
     ("archive_id", _S, False),
@@ -96,6 +105,13 @@ RECEIPTS = _schema(
     ("at_utc", _TS, True),
 )
 
+
+
+def with_batch(schema: T.StructType) -> T.StructType:
+    """The schema with the batch folder as a column."""
+    return T.StructType([*schema.fields, T.StructField("batch_id", _S)])
+
+
 # The value domains, error codes and event types of the data model.
 ARCHIVE_TYPES = ("Mailbox", "Journal", "Fsa")
 ARCHIVE_CLASSES = {

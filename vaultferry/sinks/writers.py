@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaultferry.functions.keys import camel_case_columns
 from vaultferry.operators.audit import AUDIT_COLUMNS, filter_events, order_audit
 from vaultferry.operators.state import fold_checkpoints, fold_records
+from vaultferry.schemas import with_batch
 
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -23,6 +25,18 @@ def write_batch(df: DataFrame, path: str, batch_id: str, *partitions: str) -> No
     )
 
 
+def read_batch(spark: SparkSession, schema: T.StructType, path: str, batch_id: str) -> DataFrame:
+    """Rows of one batch; none when the batch was empty."""
+    rows = spark.read.schema(with_batch(schema)).parquet(path)
+    return rows.where(F.col("batch_id") == F.lit(batch_id)).drop("batch_id")
+
+
+def keep_batch(df: DataFrame, path: str, batch_id: str) -> DataFrame:
+    """Write a batch and return it as read back, cut off from the plan that made it."""
+    write_batch(df, path, batch_id)
+    return read_batch(df.sparkSession, df.schema, path, batch_id)
+
+
 def append_audit(events: DataFrame, path: str, batch_id: str | None = None) -> None:
     """Append events below one folder per run."""
     columns = events.select(*AUDIT_COLUMNS)
