@@ -74,6 +74,16 @@ def test_first_bad_part_counts(spark):
     assert (row["error_code"], row["error_part"]) == ("BLOB_NOT_FOUND", "nowhere")
 
 
+def test_one_detail_row_per_item(spark):
+    """Two references may share a position when positions are only sort keys."""
+    refs = spark.createDataFrame([("i", 5, "x"), ("i", 5, "x"), ("j", 1, "a")], "item_id string, pos int, part_id string")
+    verified = rh.verify_parts(b.parts(spark, a=b"a"), b.blob_hashes(spark, a=b"a"))
+    checked = rh.check_refs(refs, verified)
+    rows = rh.with_error_detail(rh.item_content(checked), checked).collect()
+    got = sorted((r["item_id"], r["n_parts"], r["error_part"]) for r in rows)
+    assert got == [("i", 2, "x"), ("j", 1, None)]
+
+
 def test_empty_list_is_valid(spark):
     _, row = run(spark, [], b.parts(spark, a=b"a"), b.blob_hashes(spark, a=b"a"))
     assert (row["n_parts"], row["bytes"], row["error_code"], row["error_pos"]) == (0, 0, None, None)

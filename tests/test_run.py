@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests import build as b
 from vaultferry import schemas
 from vaultferry.operators import report
-from vaultferry.options import MIGRATE, MigrationFilters
+from vaultferry.options import MIGRATE, Extensions, MigrationFilters
 from vaultferry.plans import migration as mg
 from vaultferry.sources import readers
 from vaultferry.streaming import jobs
@@ -140,6 +140,34 @@ def test_hold_migrate_keeps_the_flag(spark):
     assert kept.items.count() == 0
 
 
+def test_own_steps(spark):
+    from vaultferry.operators.rehydrate import check_refs, verify_parts
+    from vaultferry.operators.transform import build_messages
+
+    def trusting(refs, parts, blobs):
+        checked = check_refs(refs, verify_parts(parts, blobs))
+        return checked.withColumn("error", F.lit(None).cast("string"))
+
+    def short(items, lists, options):
+        return build_messages(items, lists, options).select("idempotencyKey", "archiveClass")
+
+    own = Extensions(
+        extra_rules=(("Too old.", F.col("sent_date_utc") < F.lit("2020-01-01").cast("timestamp")),),
+        check_parts=trusting,
+        build_messages=short,
+    )
+    rows = [
+        b.item(item_id="old", sent_date_utc=b.utc(2019, 1, 1)),
+        b.item(item_id="new", content_part_ids=["gone"]),
+    ]
+    inputs = b.inputs(spark, [b.archive()], rows, ALICE)
+    plan = mg.plan_migration(spark, inputs, b.options(extensions=own))
+    events = {r["item_id"]: (r["event_type"], r["reason"]) for r in plan.items.collect()}
+    assert events["old"] == ("ItemSkipped", "Too old.")
+    assert events["new"][0] == mg.DELIVER
+    assert plan.messages().columns == ["idempotencyKey", "archiveClass"]
+
+
 def test_dry_run_delivers_nothing(spark, tmp_path):
     inputs = b.inputs(spark, [b.archive()], numbered("archive-1", 3), ALICE)
     got = run(spark, inputs, tmp_path, dry_run=True)

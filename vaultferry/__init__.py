@@ -1,6 +1,6 @@
 """Archive-migration analytics on Spark DataFrames."""
 
-from vaultferry.options import MigrationFilters, RunOptions
+from vaultferry.options import Extensions, MigrationFilters, RunOptions
 from vaultferry.session import prepare_session
 
-__all__ = ["MigrationFilters", "RunOptions", "prepare_session"]
+__all__ = ["Extensions", "MigrationFilters", "RunOptions", "prepare_session"]

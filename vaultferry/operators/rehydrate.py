@@ -98,16 +98,20 @@ def rehydrate(
 def with_error_detail(items: DataFrame, checked: DataFrame) -> DataFrame:
     """Add part id and hashes behind each item's first error.
 
-    Only references with an error are read; items without one have a null position, which
-    spreads them over all reducers.
+    Only references with an error are read, one per position. Items without an error have a
+    null position, which spreads them over all reducers.
     """
-    bad = checked.where(F.col("error").isNotNull()).select(
-        "item_id",
-        F.col("pos").cast("bigint").alias("error_pos"),
+    detail = F.struct(
         F.col("part_id").alias("error_part"),
         F.col("stored_sha256").alias("error_stored_sha256"),
         F.col("sha256").alias("error_sha256"),
     )
+    bad = (
+        checked.where(F.col("error").isNotNull())
+        .groupBy("item_id", F.col("pos").cast("bigint").alias("error_pos"))
+        .agg(F.min(detail).alias("_d"))
+        .select("item_id", "error_pos", "_d.*")
+    )
     return lookup_join(
         items, bad, ["item_id", "error_pos"], "left", [F.col("item_id")], salts=1
     )

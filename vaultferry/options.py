@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from typing import Any
 
 RETAIN = "Retain"
 MIGRATE = "Migrate"
@@ -20,6 +22,20 @@ class MigrationFilters:
     retention_category: str | None = None
 
 
+@dataclass(frozen=True)
+class Extensions:
+    """Own steps of a run.
+
+    ``extra_rules``: (reason, rule column) pairs that skip an item, after the filters.
+    ``check_parts``: (refs, parts, blob hashes) -> checked references.
+    ``build_messages``: (items, part lists, options) -> messages.
+    """
+
+    extra_rules: tuple[tuple[str, Any], ...] = ()
+    check_parts: Callable[..., Any] | None = None
+    build_messages: Callable[..., Any] | None = None
+
+
 @dataclass(frozen=True)
 class RunOptions:
     run_id: str
@@ -28,11 +44,11 @@ class RunOptions:
     dry_run: bool = False
     filters: MigrationFilters = field(default_factory=MigrationFilters)
     tool_version: str = "1.0.0"
-    checkpoint_every: int = 100
     parts_per_message: int = 1000
+    extensions: Extensions = field(default_factory=Extensions)
 
     def __post_init__(self) -> None:
         if self.legal_hold not in (RETAIN, MIGRATE):
             raise ValueError(f"legal_hold must be {RETAIN} or {MIGRATE}, got {self.legal_hold!r}")
-        if self.checkpoint_every < 1 or self.parts_per_message < 1:
-            raise ValueError("checkpoint_every and parts_per_message must be positive")
+        if self.parts_per_message < 1:
+            raise ValueError("parts_per_message must be positive")

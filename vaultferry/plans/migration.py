@@ -49,7 +49,10 @@ RESULT_EVENTS = {
 
 @dataclass(frozen=True)
 class MigrationInputs:
-    """Source tables. ``refs`` (item_id, pos, part_id) may stand in for the items' part lists."""
+    """Source tables.
+
+    ``refs`` (item_id, pos, part_id) may stand in for the items' part lists; positions run from 0.
+    """
 
     archives: DataFrame
     items: DataFrame
@@ -82,6 +85,9 @@ def checked_refs(inputs: MigrationInputs, wanted: DataFrame, options: RunOptions
     else:
         ids = wanted.select("item_id")
         refs = lookup_join(inputs.refs, ids, ["item_id"], "left_semi", [F.col("pos")])
+    own = options.extensions.check_parts
+    if own is not None:
+        return own(refs, inputs.parts, inputs.blob_hashes)
     return check_refs(refs, verify_parts(inputs.parts, inputs.blob_hashes))
 
 
@@ -90,7 +96,9 @@ def select_items(
 ) -> DataFrame:
     """Scanned items with policy decision and key."""
     scanned = scan_items(inputs.items, archives)
-    decided = with_decision(scanned, options.filters, options.legal_hold)
+    decided = with_decision(
+        scanned, options.filters, options.legal_hold, options.extensions.extra_rules
+    )
     key = idempotency_key(F.col("vault_store"), F.col("archive_id"), F.col("item_id"))
     return decided.withColumn("idempotency_key", key)
 
@@ -327,7 +335,8 @@ def messages_of(classified: DataFrame, checked: DataFrame, options: RunOptions)
     """Messages of the items ready for delivery (or, in a dry run, passed)."""
     ready = classified.where(F.col("event_type").isin(DELIVER, "ItemDryRun"))
     lists = assemble_parts(checked, options.parts_per_message)
-    return build_messages(ready, lists, options)
+    build = options.extensions.build_messages or build_messages
+    return build(ready, lists, options)
 
 
 @dataclass(frozen=True)
@@ -341,7 +350,7 @@ class MigrationPlan:
     audit: DataFrame
 
     def messages(self) -> DataFrame:
-        """Nested messages; part positions must be whole numbers."""
+        """Nested messages; the positions of a list must run from 0 without gaps."""
         return messages_of(self.items, self.checked, self.options)
 
 
