@@ -136,7 +136,7 @@ def classify_items(
         .when(F.col("exception").isNotNull(), "ItemUnexpectedError")
         .otherwise(F.lit("ItemDryRun" if options.dry_run else DELIVER))
     )
-    return joined.withColumn("event_type", event)
+    return joined.withColumn("event_type", event).drop("content_part_ids")
 
 
 def rejects(classified: DataFrame) -> DataFrame:
@@ -476,10 +476,11 @@ def migrate_batch(
 ) -> None:
     """Take a batch of items through all steps and write every table below ``store_root``.
 
-    Scanned items, checked references and classified items are written and read back, so
-    each later table is built from the same rows and a lost executor repeats only its own
-    step. Writing a batch again replaces it; items delivered by other batches are skipped.
-    For a ``small_batch`` the history tables are first cut down to the batch's keys.
+    Checked references and classified items are written and read back, so each later table
+    is built from the same rows and a lost executor repeats only its own step. Writing a
+    batch again replaces it; items delivered by other batches are skipped. The items of a
+    ``small_batch`` are also written when scanned, and the history tables are first cut down
+    to their keys; a large batch reads its source again instead of copying it.
     """
     prepare_session(spark)
     store = Store(store_root)
@@ -494,10 +495,12 @@ def migrate_batch(
         return writers.keep_batch(rows, store.path(table), batch_id)
 
     routes = routes_of(spark, options, store)
-    scanned = keep("scanned", select_items(inputs, options, routes))
-    if small_batch and inputs.records is not None:
-        history = rows_with_keys(inputs.records, scanned, ["idempotency_key"])
-        inputs = replace(inputs, records=history)
+    scanned = select_items(inputs, options, routes)
+    if small_batch:
+        scanned = keep("scanned", scanned)
+        if inputs.records is not None:
+            history = rows_with_keys(inputs.records, scanned, ["idempotency_key"])
+            inputs = replace(inputs, records=history)
     selected = flag_history(inputs, scanned)
     checked = keep("checked", checked_refs(inputs, selected.where(goes_on()), options))
     classified = keep("classified", classify_items(selected, checked, options))

@@ -274,6 +274,7 @@ def _outcomes(decided: str) -> str:
 _TOTALS = """
     (select count(*) from v_archives) as total_archives, count(*) as total_items"""
 _ORPHANS = "(select count(*) from v_routes where not legal_hold and orphan_reason is not null)"
+_ZERO = "cast(0 as bigint)"
 _AS_OF = "'2024-06-01 00:00:00.000000'"
 
 
@@ -281,8 +282,8 @@ def _run_totals(run_id: str, second: bool = False) -> str:
     good = "count(*) filter (error_code is null)"
     return f"""
         select '{run_id}' as run_id, {_AS_OF} as started_at_utc, {_AS_OF} as finished_at_utc, {_TOTALS},
-               {'0' if second else good} as migrated, {good if second else '0'} as already_present,
-               {_ORPHANS} as orphaned, 0 as skipped, count(*) filter (error_code is not null) as failed
+               {_ZERO if second else good} as migrated, {good if second else _ZERO} as already_present,
+               {_ORPHANS} as orphaned, {_ZERO} as skipped, count(*) filter (error_code is not null) as failed
         from v_run_items"""
 
 
@@ -295,11 +296,11 @@ _ARCHIVE_COUNTS = """
 _SUMMARY = f"""
     select t.run_id, {_time('t.first')} as started_at_utc,
            case when r.status = 'Completed' then {_time('t.last')} end as finished_at_utc,
-           case when r.status = 'Completed' then 0 else {{none}} end as total_archives,
+           case when r.status = 'Completed' then {_ZERO} else {{none}} end as total_archives,
            case when r.status = 'Completed' then total_items else {{none}} end as total_items,
            case when r.status = 'Completed' then migrated else {{none}} end as migrated,
            case when r.status = 'Completed' then already_present else {{none}} end as already_present,
-           case when r.status = 'Completed' then 0 else {{none}} end as orphaned,
+           case when r.status = 'Completed' then {_ZERO} else {{none}} end as orphaned,
            case when r.status = 'Completed' then skipped else {{none}} end as skipped,
            case when r.status = 'Completed' then failed else {{none}} end as failed {{more}}
     from v_run_totals t join v_runs r on t.run_id = r.run_id"""
@@ -530,7 +531,7 @@ SQL = {
                arg_max(metadata, ts) as metadata
         from v_checkpoints group by run_id""",
     "run_counters": f"""
-        select run_id, {_ARCHIVE_COUNTS}, 0 as orphaned, 0 as held_archives, count(*) as total_items
+        select run_id, {_ARCHIVE_COUNTS}, {_ZERO} as orphaned, {_ZERO} as held_archives, count(*) as total_items
         from v_item_events group by run_id""",
     "run_summary": _SUMMARY.format(none="0", more=""),
     "archive_summary": f"""
@@ -600,9 +601,9 @@ SQL = {
         from (select run_id, count(*) filter (event_type in ('ItemMigrated', 'ItemAlreadyPresent')) as l,
                      (select count(*) from documents where doc_id % 2 = 0) as t
               from v_audit group by run_id)""",
-    "reconcile_totals_unavailable": """
+    "reconcile_totals_unavailable": f"""
         select run_id, count(*) filter (event_type in ('ItemMigrated', 'ItemAlreadyPresent')) as local_total,
-               -1 as target_total, 0 as missing, 0 as unexpected,
+               cast(-1 as bigint) as target_total, {_ZERO} as missing, {_ZERO} as unexpected,
                'target stats unavailable, cannot reconcile' as note, false as is_clean
         from v_audit group by run_id""",
     "reconcile_items": """
@@ -638,9 +639,10 @@ SQL = {
         union all select 'ArchiveOrphaned', count(*) from v_routes
                   where not legal_hold and orphan_reason is not null
         union all select 'RunStarted', 1 union all select 'RunCompleted', 1""",
-    "dry_run_archive_summary": """
+    "dry_run_archive_summary": f"""
         select 'run-batch' as run_id, archive_id, count(*) filter (error_code is null) as migrated,
-               0 as already_present, 0 as skipped, count(*) filter (error_code is not null) as failed
+               {_ZERO} as already_present, {_ZERO} as skipped,
+               count(*) filter (error_code is not null) as failed
         from v_run_items group by archive_id""",
     "dry_run_error_payloads": """
         select item_id, archive_id, error_code from v_run_items where error_code is not null""",
