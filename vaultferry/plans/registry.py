@@ -1148,4 +1148,3 @@ def status_tracker(spark: SparkSession, d: str) -> DataFrame:
 
 
 FLAGSHIP = "dry_run_archive_summary"
-EVENT_DOMAIN = schemas.EVENT_TYPES
