@@ -5,17 +5,122 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vaultferry.llm.decontaminate import benchmark_overlap, contaminated
+from vaultferry.llm.mixing import Mix, domain_of, mixed_documents
 from vaultferry.llm.near_dedup import near_duplicates
+from vaultferry.llm.quality import quality_scores
+from vaultferry.llm.sharding import lookup_table, placed, table_size
 from vaultferry.llm.support import table
 
+DOMAINS = ("web", "books", "code")
+MIX = Mix(
+    weights=(
+        {"web": 0.5, "books": 0.3, "code": 0.2},
+        {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1},
+        {"src0": 2.0},
+    ),
+    share=0.7,
+    epochs=4,
+)
+SHARDS = tuple(f"shard-{n:03d}" for n in range(32))
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mix = mixed_documents(docs, domain_of(F.col("source"), DOMAINS), MIX)
+    return mix.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "domain",
+        "lang",
+        "source",
+        "epoch",
+        "n_tokens",
+        "tokens_taken",
+    )
+
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return placed(docs, SHARDS).select("doc_id", "shard")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_mixing": op2_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_sharding": op6_sharding,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+SLOTS = table_size(len(SHARDS))
+
+OVERLAP_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), bi as (
+  select item_id, w, least(13, len(w)) as n, unnest(range(0, len(w) - least(13, len(w)) + 1)) as i
+  from b where len(w) > 0
+), bw as (
+  select distinct item_id, n, array_to_string(w[i + 1 : i + n], ' ') as win from bi
+), di as (
+  select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as i
+  from d, (select distinct n from bw) where len(w) >= n
+), dw as (
+  select doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') as win from di
+), m as (
+  select doc_id, i, n, item_id from dw join bw using (n, win)
+), h as (
+  select doc_id, count(distinct p) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id
+), t as (
+  select doc_id, count(distinct item_id) as n_items,
+    string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items
+  from m group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""
+
+SHARD_SQL = f"""
+with slots as (select unnest({lookup_table(SHARDS, SLOTS).tolist()})::integer as shard,
+  unnest(range(0, {SLOTS})) as slot)
+select doc_id, shard from documents join slots on slot =
+  ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint % {SLOTS}
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": OVERLAP_SQL,
+    "op6_sharding": SHARD_SQL,
+}
