@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultferry.llm.decontaminate import benchmark_overlap, contaminated
+from vaultferry.llm.exact_dedup import exact_duplicates
+from vaultferry.llm.html_text import page_texts
 from vaultferry.llm.mixing import Mix, domain_of, mixed_documents
 from vaultferry.llm.near_dedup import near_duplicates
 from vaultferry.llm.quality import quality_scores
+from vaultferry.llm.secrets_scan import secret_spans, span_text
 from vaultferry.llm.sharding import lookup_table, placed, table_size
 from vaultferry.llm.support import table
+from vaultferry.llm.toxicity import toxicity_scores
 
 DOMAINS = ("web", "books", "code")
 MIX = Mix(
@@ -57,6 +61,29 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return placed(docs, SHARDS).select("doc_id", "shard")
@@ -68,12 +95,24 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_mixing": op2_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SLOTS = table_size(len(SHARDS))
@@ -120,7 +159,15 @@ select doc_id, shard from documents join slots on slot =
   ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint % {SLOTS}
 """
 
+COPIES_SQL = """
+with t as (select doc_id, coalesce(text, '') as text from documents),
+g as (select text, max(doc_id) as keep_id, count(*) as group_size from t group by text)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256
+from t join g using (text)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": OVERLAP_SQL,
     "op6_sharding": SHARD_SQL,
+    "op9_exact_dedup": COPIES_SQL,
 }
