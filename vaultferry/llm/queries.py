@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaultferry.llm.chat import Param, formatted
 from vaultferry.llm.decontaminate import benchmark_overlap, contaminated
 from vaultferry.llm.exact_dedup import exact_duplicates
 from vaultferry.llm.html_text import page_texts
-from vaultferry.llm.mixing import Mix, domain_of, mixed_documents
+from vaultferry.llm.mixing import Mix, domain_of, mixed_documents, tokens
 from vaultferry.llm.near_dedup import near_duplicates
 from vaultferry.llm.quality import quality_scores
 from vaultferry.llm.secrets_scan import secret_spans, span_text
@@ -28,6 +29,12 @@ MIX = Mix(
     share=0.7,
     epochs=4,
 )
+TOOLS = {
+    "ask": {
+        "prompt": Param("string", least=1, most=400),
+        "words": Param("integer", least=3, most=60),
+    }
+}
 SHARDS = tuple(f"shard-{n:03d}" for n in range(32))
 
 
@@ -95,6 +102,32 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn asks the assistant as a tool; the assistant's next turn is the result.
+
+    A question needs the answered question before it.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+    def call_at(shift: int) -> Column:
+        return F.concat_ws("-", F.col("conv_id"), F.col("turn") - shift)
+
+    prompt = F.coalesce("text", F.lit(""))
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        "turn",
+        call_at(0).alias("call_id"),
+        F.lit("ask").alias("tool"),
+        F.to_json(F.struct(prompt.alias("prompt"), tokens(prompt).alias("words"))).alias("arguments"),
+        F.array(call_at(2)).alias("after"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", call_at(1).alias("call_id"), F.col("text").alias("content")
+    )
+    messages = turns.where("role is null or role not in ('user', 'assistant')")
+    return formatted(messages, calls, results, TOOLS)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -111,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
@@ -166,8 +200,40 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as te
 from t join g using (text)
 """
 
+CHAT_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0b]+')) as words
+  from conversations
+), e as (
+  select t.conv_id, t.turn,
+    case t.role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind,
+    case t.role when 'user' then t.conv_id || '-' || t.turn
+      when 'assistant' then t.conv_id || '-' || (t.turn - 1) end as call_id,
+    case when t.role = 'user' then if(n.turn is null, 'unanswered', 'answered')
+      when t.role = 'assistant' then if(p.turn is null, 'orphan', 'result')
+      else 'message' end as state,
+    case when t.role = 'user' then case when length(t.text) < 1 then 'prompt: below 1'
+        when length(t.text) > 400 then 'prompt: above 400'
+        when t.words < 3 then 'words: below 3' when t.words > 60 then 'words: above 60' end
+      when t.role = 'assistant' and p.turn is null then 'no such call' end as fault,
+    case t.role
+      when 'user' then '{"arguments":{"prompt":' || to_json(t.text) || ',"words":' || t.words
+        || '},"id":"' || t.conv_id || '-' || t.turn || '","name":"ask","type":"call"}'
+      when 'assistant' then '{"content":' || to_json(t.text) || ',"id":"' || t.conv_id || '-'
+        || (t.turn - 1) || '","type":"result"}'
+      else '{"content":' || to_json(t.text) || ',"role":' || to_json(t.role) || '}' end as json
+  from t
+  left join t n on n.conv_id = t.conv_id and n.turn = t.turn + 1 and n.role = 'assistant'
+  left join t p on p.conv_id = t.conv_id and p.turn = t.turn - 1 and p.role = 'user'
+)
+select conv_id, row_number() over (partition by conv_id order by turn) - 1 as position,
+  turn, kind, call_id, state, fault, json from e
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": OVERLAP_SQL,
     "op6_sharding": SHARD_SQL,
+    "op8_chat_formatting": CHAT_SQL,
     "op9_exact_dedup": COPIES_SQL,
 }
