@@ -177,9 +177,10 @@ def ordered_calls(calls: DataFrame) -> DataFrame:
     if moved is None:
         settled = settled.withColumn("unsettled", F.lit(False))
     else:
-        stuck = moved.select("conv_id", "call_id", F.lit(True).alias("stuck"))
-        settled = settled.join(stuck, ["conv_id", "call_id"], "left").withColumn(
-            "unsettled", F.coalesce("stuck", F.lit(False))
+        # A ring moves one call after the other, so all that moved in its conversation count.
+        stuck = moved.select(F.col("conv_id"), F.lit(True).alias("stuck")).distinct()
+        settled = settled.join(stuck, "conv_id", "left").withColumn(
+            "unsettled", F.coalesce(F.col("stuck") & (F.col("place.step") > 0), F.lit(False))
         )
     # A call without an identifier has no place of its own and stays at its turn.
     return settled.select(

@@ -22,6 +22,7 @@ PANE = 256  # bytes; a chunk is two neighbouring panes, so chunks overlap by hal
 STEPS = PANE // STRIDE
 STEP_BYTES = 1 << 20  # bytes of text that one numpy step handles
 PASSES = 6
+LEAST_STEPS = 300  # a small sample is passed more often
 BATCH = 48
 RATE = 0.01
 
@@ -188,8 +189,10 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     first = [np.zeros_like(p) for p in net.parts()]
     second = [np.zeros_like(p) for p in net.parts()]
-    turn, turns = 0, PASSES * -(-len(texts) // BATCH)
-    for _ in range(PASSES):
+    per_pass = -(-len(texts) // BATCH)
+    passes = max(PASSES, -(-LEAST_STEPS // per_pass))
+    turn, turns = 0, passes * per_pass
+    for _ in range(passes):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]

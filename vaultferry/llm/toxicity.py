@@ -22,6 +22,7 @@ DIM = 4
 GAIN = 60.0  # fixed factor on the averaged vector: a few words among hundreds must count
 MEMO = 500_000  # distinct words whose score a task remembers
 PASSES = 5
+LEAST_STEPS = 400  # a small sample is passed more often
 BATCH = 64
 RATE = 0.02
 SPARSE = 0.4  # how strongly n-grams that explain little are drawn to zero
@@ -152,8 +153,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Bag:
     corpus = _corpus(texts)
     embed = rng.normal(0, 0.01, (len(corpus.rows), DIM))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (embed, bag.out, bag.bias)]
-    turn, turns = 0, PASSES * -(-len(texts) // BATCH)
-    for _ in range(PASSES):
+    per_pass = -(-len(texts) // BATCH)
+    passes = max(PASSES, -(-LEAST_STEPS // per_pass))
+    turn, turns = 0, passes * per_pass
+    for _ in range(passes):
         shuffled = rng.permutation(len(texts))
         for at in range(0, len(shuffled), BATCH):
             batch = shuffled[at : at + BATCH]
