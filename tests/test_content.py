@@ -20,7 +20,7 @@ def test_repeats_are_kept(spark):
         spark, ["part-1"] * 3, b.parts(spark, part_1=b"x"), b.blob_hashes(spark, part_1=b"x")
     )
     assert (row["n_parts"], row["bytes"], row["error_code"]) == (3, 3, None)
-    lists = rh.assemble_parts(checked, 1000).first()["parts"]
+    lists = rh.assemble_parts(checked).first()["parts"]
     assert [p["partId"] for p in lists] == ["part-1"] * 3
 
 
@@ -29,17 +29,24 @@ def test_order_is_kept(spark):
     checked, row = run(
         spark, ["c", "a", "b"], b.parts(spark, **contents), b.blob_hashes(spark, **contents)
     )
-    lists = rh.assemble_parts(checked, 1000).first()["parts"]
+    lists = rh.assemble_parts(checked).first()["parts"]
     assert [p["sha256"] for p in lists] == [b.sha(b"\xcc"), b.sha(b"\xaa"), b.sha(b"\xbb")]
     assert row["error_code"] is None
 
 
-def test_long_lists_are_cut_into_chunks(spark):
-    checked, _ = run(
-        spark, ["part-1"] * 5, b.parts(spark, part_1=b"x"), b.blob_hashes(spark, part_1=b"x")
+def test_long_lists_stay_whole(spark):
+    checked, row = run(
+        spark, ["part-1"] * 3001, b.parts(spark, part_1=b"x"), b.blob_hashes(spark, part_1=b"x")
     )
-    rows = rh.assemble_parts(checked, 2).orderBy("chunk_no").collect()
-    assert [(r["chunk_no"], len(r["parts"])) for r in rows] == [(0, 2), (1, 2), (2, 1)]
+    lists = rh.assemble_parts(checked).collect()
+    assert [len(r["parts"]) for r in lists] == [3001] and row["n_parts"] == 3001
+
+
+def test_any_position_is_possible(spark):
+    rows = [("i", 2**63 - 1, "a", "BLOB_NOT_FOUND"), ("i", 2**62, "b", "HASH_MISMATCH")]
+    checked = spark.createDataFrame(rows, "item_id string, pos bigint, part_id string, error string")
+    got = rh.item_content(checked.withColumn("size_bytes", F.lit(None).cast("bigint"))).first()
+    assert (got["error_code"], got["error_pos"]) == ("HASH_MISMATCH", 2**62)
 
 
 def test_wrong_hash(spark):
@@ -103,22 +110,15 @@ def test_message(spark):
     checked = rh.check_refs(rh.part_refs(items), verified)
     joined = rh.with_content(items.join(archive, "archive_id"), rh.item_content(checked))
 
-    whole = build_messages(joined, rh.assemble_parts(checked, 1000), b.options()).first()
+    whole = build_messages(joined, rh.assemble_parts(checked), b.options()).first()
     assert whole["idempotencyKey"] == "ev:vault-1:archive-1:item-1"
     assert whole["legalHold"] is True and whole["archiveClass"] == "user_mailbox"
     assert whole["source"].asDict() == dict(
         system="EnterpriseVault", archiveId="archive-1", itemId="item-1", vaultStore="vault-1"
     )
-    assert whole["content"]["chunk"] is None and len(whole["content"]["parts"]) == 3
+    assert len(whole["content"]["parts"]) == 3
     assert whole["chainOfCustody"]["runId"] == "run-1"
 
-    small = b.options(parts_per_message=2)
-    rows = build_messages(joined, rh.assemble_parts(checked, 2), small).collect()
-    assert sorted((r["content"]["chunk"], r["content"]["chunks"], len(r["content"]["parts"])) for r in rows) == [
-        (0, 2, 2),
-        (1, 2, 1),
-    ]
-
 
 def test_blob_files(spark, tmp_path):
     (tmp_path / "part-1.bin").write_bytes(b"abc")
@@ -126,12 +126,14 @@ def test_blob_files(spark, tmp_path):
     (tmp_path / "part 3.bin").write_bytes(b"")
     (tmp_path / "notes.txt").write_bytes(b"zzz")
 
-    def rows(**options):
-        return {tuple(r) for r in readers.read_blobs(spark, str(tmp_path), **options).collect()}
-
-    filled = {("part-1", b.sha(b"abc"), 3), ("part 2", b.sha(b"x"), 1)}
-    assert rows() == filled
-    assert rows(find_empty=True) == filled | {("part 3", b.sha(b""), 0)}
+    sizes = [("part-1", 3), ("part 2", 1), ("part 3", 0)]
+    listing = spark.createDataFrame(sizes, "part_id string, length bigint")
+    got = {tuple(r) for r in readers.read_blobs(spark, str(tmp_path), listing).collect()}
+    assert got == {
+        ("part-1", b.sha(b"abc"), 3),
+        ("part 2", b.sha(b"x"), 1),
+        ("part 3", b.sha(b""), 0),
+    }
 
 
 def test_identity_file(spark, tmp_path):
@@ -144,7 +146,7 @@ def test_identity_file(spark, tmp_path):
     )
     entries = readers.read_identity_map(spark, str(path))
     got = {tuple(r) for r in unique_map(entries, "pos").collect()}
-    assert got == {("a@x", "three"), ("b@x", "two")}
+    assert got == {("A@X", "three"), ("B@X", "two")}
 
 
 def test_identity_table(spark, tmp_path):

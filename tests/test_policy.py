@@ -132,3 +132,33 @@ def test_routes(spark):
     assert routes(legal_hold=MIGRATE) == {"a": "routed", "b": "orphan", "c": "orphan"}
     only_a = MigrationFilters(archive_id="a")
     assert routes(filters=only_a) == {"a": "routed", "b": "filtered", "c": "filtered"}
+
+
+LETTERS = [
+    ("ΟΔΟΣΑ", "ΟΔΟΣ", True),  # a sigma equals a sigma, wherever it stands
+    ("οδος", "ΟΔΟΣ", True),
+    ("οδοσ", "οδος", True),
+    ("\u212aelvin", "kelvin", False),  # the Kelvin sign is a letter of its own
+    ("ıstanbul", "istanbul", False),
+    ("İstanbul", "istanbul", False),
+    ("Straße", "STRASSE", False),
+    ("ÉCOLE", "école", True),
+    ("Inbox/A", "inBOX", True),
+    (None, "inbox", False),
+]
+
+
+def test_folders_compare_letter_by_letter(spark):
+    from vaultferry.options import MigrationFilters
+    from vaultferry.operators import policy
+
+    for folder, prefix, inside in LETTERS:
+        row = b.item() | {"folder_path": folder, "retention_category": folder}
+        fields = "archive_id string, folder_path string, retention_category string, legal_hold boolean, type string, owner_upn string"
+        items = spark.createDataFrame(
+            [("a", row["folder_path"], row["retention_category"], False, "Fsa", None)], fields
+        )
+        filters = MigrationFilters(folder_path=prefix)
+        assert (policy.in_scope(items, filters).count() == 1) == inside, (folder, prefix)
+        got = policy.with_decision(items, filters).first()["outcome"]
+        assert (got == "Proceed") == inside, (folder, prefix)

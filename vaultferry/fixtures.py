@@ -18,6 +18,8 @@ from vaultferry.operators.audit import collect_audit
 from vaultferry.operators.lookups import with_position
 from vaultferry.operators.report import outcome_counts
 from vaultferry.options import RunOptions
+from vaultferry.schemas import RECEIPTS
+from vaultferry.session import scratch_path
 
 AS_OF = datetime(2024, 6, 1)
 RUN_ID = "run-batch"
@@ -57,11 +59,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _zoned(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
 
 
+# Micro-batches that a table is streamed in.
+ARRIVALS = 4
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream of its files."""
-    source = spark.readStream.schema(SCHEMAS[name])
-    # As a pattern the path may be a single file or a folder of files.
-    return _zoned(source.option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/{name}.parque[t]"))
+    """The table as files that arrive one after the other, in the order of its first column."""
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    key = rows.columns[0]
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    step = 1 if low is None else (high - low) // ARRIVALS + 1
+    path = scratch_path(spark, f"arrivals-{name}")
+    for n in range(ARRIVALS):
+        part = F.lit(n == 0) if low is None else F.expr(f"({key} - {low}) div {step}") == n
+        rows.where(part).write.mode("append").parquet(path)
+    files = spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", 1)
+    return _zoned(files.parquet(path))
 
 
 Reader = Callable[[SparkSession, str, str], DataFrame]
@@ -264,7 +277,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str, read: Reader = table) -> DataFrame:
-    """Delivery attempts on 2000 keys; ``attempt_order`` sorts the attempts of a key."""
+    """Delivery attempts, five or twenty per key; ``attempt_order`` sorts those of a key."""
     k = props_k()
     status = (
         F.when(k < 60, 200).when(k < 75, 503).when(k < 85, 429).when(k < 93, 422).cast("int")
@@ -274,18 +287,75 @@ def attempts(spark: SparkSession, sf_dir: str, read: Reader = table) -> DataFram
             "TaskCanceledException"
         )
     )
+    long = F.expr("event_id div 20 % 4 = 0")
+    number = F.when(long, F.concat(F.lit("long-"), F.expr("event_id div 20"))).otherwise(
+        F.expr("cast(event_id div 5 as string)")
+    )
     return read(spark, sf_dir, "events").select(
-        tagged("key-", F.col("event_id") % 2000).alias("idempotency_key"),
+        tagged("key-", number).alias("idempotency_key"),
         F.struct("ts", "event_id").alias("attempt_order"),
         status.alias("http_status"),
         exception.alias("exception"),
         F.when(status == 200, k % 10 == 0).alias("already_present"),
-        F.when(status == 200, tagged("sx-", F.col("event_id") % 2000)).alias("target_id"),
+        F.when(status == 200, tagged("sx-", number)).alias("target_id"),
         F.when(status == 429, (k % 5 + 1).cast("double")).alias("retry_after"),
         F.col("ts").alias("at_utc"),
     )
 
 
+def receipts(spark: SparkSession, sf_dir: str, read: Reader = table) -> DataFrame:
+    """Receipts of the target: two attempts for each of the first items, by events."""
+    tried = attempts(spark, sf_dir, read).select(
+        tagged("itm-", F.expr("attempt_order.event_id div 2")).alias("item_id"),
+        F.expr("cast(attempt_order.event_id % 2 + 1 as int)").alias("attempt_no"),
+        "http_status",
+        F.when(F.col("http_status") == 200, tagged("sx-", "attempt_order.event_id")).alias(
+            "target_id"
+        ),
+        F.lit(None).cast("boolean").alias("deduped"),
+        "already_present",
+        "retry_after",
+        "exception",
+        "at_utc",
+    )
+    stores = archives(spark, sf_dir).select("archive_id", "vault_store")
+    key = idempotency_key(F.col("vault_store"), F.col("archive_id"), F.col("item_id"))
+    keyed = items(spark, sf_dir).select("item_id", "archive_id").join(stores, "archive_id")
+    keyed = keyed.select("item_id", key.alias("idempotency_key"))
+    return tried.join(keyed, "item_id").select(*RECEIPTS.names)
+
+
+def long_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(items, checked parts): the lines of fifty customers are one item's part list."""
+    group = F.expr("o_custkey div 50")
+    orders = table(spark, sf_dir, "orders").withColumn("item_id", tagged("grp-", group))
+    owned = orders.groupBy("item_id").agg(F.max("o_orderdate").alias("sent_date_utc"))
+    none = F.array().cast("array<string>")
+    whole = owned.select(
+        "item_id",
+        F.lit("arc-1").alias("archive_id"),
+        F.lit("Journal").alias("type"),
+        F.lit("VS-1").alias("vault_store"),
+        F.lit("tgt-1").alias("target_archive"),
+        F.lit(False).alias("legal_hold"),
+        "sent_date_utc",
+        *[F.lit(c).alias(c) for c in ("subject", "from", "message_class", "folder_path")],
+        *[none.alias(c) for c in ("to", "cc", "bcc")],
+        F.lit("NoExpiry").alias("retention_category"),
+    )
+    lines = table(spark, sf_dir, "lineitem").join(
+        orders.select("item_id", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey"
+    )
+    checked = lines.select(
+        "item_id",
+        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"),
+        tagged("prt-", "l_partkey").alias("part_id"),
+        content_hash(tagged("part ", "l_partkey")).alias("sha256"),
+        F.lit(1).cast("bigint").alias("size_bytes"),
+    )
+    return whole, checked
+
+
 # Item status by event type.
 HISTORY_STATUS = {
     "signup": "Discovered",
@@ -307,9 +377,9 @@ def status_history(spark: SparkSession, sf_dir: str, read: Reader = table) -> Da
 
 def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record-log rows of purchases (delivered) and errors (failed); keys repeat."""
-    item = F.col("event_id") % 3000
+    item = F.expr("event_id div 3")
     good = F.col("event_type") == "purchase"
-    archive = tagged("arc-", item % 40)
+    archive = tagged("arc-", F.expr("event_id div 120"))
     item_id = tagged("itm-", item)
     return (
         table(spark, sf_dir, "events")
@@ -361,16 +431,16 @@ def document_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def conversation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as parts of their conversation, with whole-number positions without gaps."""
+    """Turns as parts of their conversation."""
     turns = table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
         content_hash(F.col("text")).alias("sha256"),
         F.octet_length("text").cast("bigint").alias("size_bytes"),
     )
-    return with_position(turns, ["conv_id"], ["turn", "sha256"]).select(
+    return turns.select(
         tagged("conv-", "conv_id").alias("item_id"),
-        "pos",
+        F.col("turn").alias("pos"),
         F.concat(tagged("conv-", "conv_id"), F.lit("-"), F.col("turn").cast("string")).alias(
             "part_id"
         ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultferry.functions.letters import ignore_case
 from vaultferry.functions.messages import type_target
 from vaultferry.operators.lookups import lookup_join
 from vaultferry.options import RETAIN, RunOptions
@@ -13,7 +14,7 @@ from vaultferry.options import RETAIN, RunOptions
 def unique_map(identity_map: DataFrame, order: str | None = None) -> DataFrame:
     """One target per owner, ignoring case; with ``order``, the last entry wins."""
     rank = F.col(order) if order else F.col("target_archive")
-    return identity_map.groupBy(F.lower("upn").alias("owner_key")).agg(
+    return identity_map.groupBy(ignore_case(F.col("upn")).alias("owner_key")).agg(
         F.max_by("target_archive", rank).alias("mapped_target")
     )
 
@@ -27,7 +28,7 @@ def resolve_targets(
     the reason is NullOwnerUpn or Unmapped.
     """
     mailbox = F.col("type") == "Mailbox"
-    keyed = archives.withColumn("owner_key", F.when(mailbox, F.lower("owner_upn")))
+    keyed = archives.withColumn("owner_key", F.when(mailbox, ignore_case(F.col("owner_upn"))))
     joined = lookup_join(
         keyed, unique_map(identity_map, order), ["owner_key"], "left", [F.col("archive_id")]
     )
@@ -69,7 +70,7 @@ def route_archives(
 def identity_map_stats(archives: DataFrame, identity_map: DataFrame) -> DataFrame:
     """Owners found in the map and owners that are not, counted once each."""
     owners = archives.where((F.col("type") == "Mailbox") & F.col("owner_upn").isNotNull())
-    distinct = owners.groupBy(F.lower("owner_upn").alias("owner_key")).agg(
+    distinct = owners.groupBy(ignore_case(F.col("owner_upn")).alias("owner_key")).agg(
         F.min("owner_upn").alias("owner_upn")
     )
     joined = distinct.join(unique_map(identity_map), "owner_key", "left")
@@ -82,5 +83,8 @@ def identity_map_stats(archives: DataFrame, identity_map: DataFrame) -> DataFram
 def orphaned_owners(archives: DataFrame, identity_map: DataFrame) -> DataFrame:
     """Distinct owners (in lower case) that have no target."""
     owners = archives.where((F.col("type") == "Mailbox") & F.col("owner_upn").isNotNull())
-    distinct = owners.select(F.lower("owner_upn").alias("owner_key")).distinct()
-    return distinct.join(unique_map(identity_map), "owner_key", "left_anti")
+    distinct = owners.groupBy(ignore_case(F.col("owner_upn")).alias("owner_key")).agg(
+        F.min(F.lower("owner_upn")).alias("owner")
+    )
+    unmapped = distinct.join(unique_map(identity_map), "owner_key", "left_anti")
+    return unmapped.select(F.col("owner").alias("owner_key"))

@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaultferry.functions.letters import ignore_case
 from vaultferry.functions.times import utc
 from vaultferry.options import MIGRATE, RETAIN, MigrationFilters
 
 SKIPPED = ("SkippedByFilter", "Orphaned", "LegalHoldRetain")
 
 
+# The reason texts below are fixed values.
+
+
 def scope_rules(filters: MigrationFilters) -> list[tuple[str, Column]]:
     """(reason, rule that leaves an item out) for each filter that is set, in order."""
     rules: list[tuple[str, Column]] = []
@@ -29,12 +33,15 @@ def scope_rules(filters: MigrationFilters) -> list[tuple[str, Column]]:
             ("Item is at or after ToUtc filter.", F.col("sent_date_utc") >= utc(filters.to_utc))
         )
     if filters.folder_path is not None:
-        inside = F.startswith(F.lower("folder_path"), F.lower(F.lit(filters.folder_path)))
+        prefix = ignore_case(F.lit(filters.folder_path))
+        inside = F.startswith(ignore_case(F.col("folder_path")), prefix)
         rules.append(("FolderPath filter not matched.", ~inside))
     if filters.retention_category is not None:
-        same = F.lower("retention_category") == F.lower(F.lit(filters.retention_category))
+        wanted = ignore_case(F.lit(filters.retention_category))
+        same = ignore_case(F.col("retention_category")) == wanted
         rules.append(("RetentionCategory filter not matched.", ~same))
-    return rules
+    # A value that is missing does not match.
+    return [(reason, F.coalesce(rule, F.lit(True))) for reason, rule in rules]
 
 
 def in_scope(items: DataFrame, filters: MigrationFilters) -> DataFrame:

@@ -57,12 +57,14 @@ def item_content(checked: DataFrame) -> DataFrame:
 
     Position and error code share one whole number, so that count, sum and minimum run in
     a hash aggregate that combines before the shuffle; an item may own any number of parts.
+    The number is a decimal with room for every position.
     """
-    code = F.lit(None).cast("bigint")
+    code = F.lit(None).cast("int")
     for number, name in enumerate(PART_ERRORS):
         code = F.when(F.col("error") == name, F.lit(number)).otherwise(code)
     base = len(PART_ERRORS)
-    first = F.min(F.col("pos").cast("bigint") * F.lit(base) + code)
+    place = F.col("pos").cast("decimal(19,0)") * F.lit(base).cast("decimal(2,0)")
+    first = F.min((place + code.cast("decimal(2,0)")).cast("decimal(22,0)"))
     names = F.array(*[F.lit(name) for name in PART_ERRORS])
     return (
         checked.groupBy("item_id")
@@ -71,8 +73,8 @@ def item_content(checked: DataFrame) -> DataFrame:
             "item_id",
             "n_parts",
             F.coalesce("bytes", F.lit(0)).alias("bytes"),
-            F.get(names, (F.col("_e") % F.lit(base)).cast("int")).alias("error_code"),
-            F.expr(f"_e div {base}").alias("error_pos"),
+            F.get(names, F.pmod("_e", F.lit(base)).cast("int")).alias("error_code"),
+            F.floor(F.col("_e") / F.lit(base).cast("decimal(2,0)")).cast("bigint").alias("error_pos"),
         )
     )
 
@@ -117,10 +119,11 @@ def with_error_detail(items: DataFrame, checked: DataFrame) -> DataFrame:
     )
 
 
-def assemble_parts(checked: DataFrame, per_chunk: int) -> DataFrame:
-    """Ordered part lists, cut into chunks of ``per_chunk`` consecutive whole-number positions.
+def assemble_parts(checked: DataFrame) -> DataFrame:
+    """The ordered part list of every item: ``item_id, parts``.
 
-    A chunk is small whatever the length of the list, and its rows land on their own reducer.
+    A list is one value of its message, as it was one value of its item at the source; steps
+    that must not gather use ``checked`` itself. Positions need not be dense.
     """
     part = F.struct(
         "pos",
@@ -130,8 +133,5 @@ def assemble_parts(checked: DataFrame, per_chunk: int) -> DataFrame:
             F.col("size_bytes").alias("sizeBytes"),
         ).alias("part"),
     )
-    chunk = F.expr(f"pos div {per_chunk}")
-    grouped = checked.groupBy("item_id", chunk.alias("chunk_no")).agg(
-        F.sort_array(F.collect_list(part)).alias("_ordered")
-    )
-    return grouped.select("item_id", "chunk_no", F.col("_ordered.part").alias("parts"))
+    grouped = checked.groupBy("item_id").agg(F.sort_array(F.collect_list(part)).alias("_ordered"))
+    return grouped.select("item_id", F.col("_ordered.part").alias("parts"))

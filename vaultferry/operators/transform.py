@@ -11,6 +11,7 @@ from vaultferry.functions.keys import idempotency_key
 from vaultferry.functions.times import utc
 from vaultferry.options import RunOptions
 
+# Fixed value of the message.
 SOURCE_SYSTEM = "EnterpriseVault"
 PART_LIST = T.ArrayType(
     T.StructType(
@@ -26,20 +27,16 @@ PART_LIST = T.ArrayType(
 def build_messages(
     archive_items: DataFrame, part_lists: DataFrame | None, options: RunOptions
 ) -> DataFrame:
-    """Nested target message per item.
+    """Nested target message, one per item.
 
-    ``archive_items`` are items joined with their archive and target; ``part_lists`` holds the
-    chunks of their part lists. An item whose list needs several chunks gets one message
-    row per chunk, numbered in ``content``; other messages carry no chunk number.
-    Rows that cannot be transformed must be left out before (see ``transform_error``).
+    ``archive_items`` are items joined with their archive and target; ``part_lists`` holds their
+    ordered part lists. Rows that cannot be transformed must be left out before (see
+    ``transform_error``).
     """
     if part_lists is None:
-        listed = archive_items.withColumns(
-            {"chunk_no": F.lit(None).cast("bigint"), "parts": F.lit(None).cast(PART_LIST)}
-        )
+        listed = archive_items.withColumn("parts", F.lit(None).cast(PART_LIST))
     else:
         listed = archive_items.join(part_lists, "item_id", "left")
-    many = F.col("n_parts") > F.lit(options.parts_per_message)
     col = F.col
     return listed.select(
         idempotency_key(col("vault_store"), col("archive_id"), col("item_id")).alias(
@@ -73,10 +70,6 @@ def build_messages(
         col("legal_hold").alias("legalHold"),
         F.struct(
             F.coalesce(col("parts"), F.array().cast(PART_LIST)).alias("parts"),
-            F.when(many, F.coalesce(col("chunk_no"), F.lit(0))).alias("chunk"),
-            F.when(
-                many, F.ceil(col("n_parts") / F.lit(options.parts_per_message)).cast("bigint")
-            ).alias("chunks"),
         ).alias("content"),
         F.struct(
             utc(options.as_of).alias("extractedAtUtc"),

@@ -44,11 +44,8 @@ class RunOptions:
     dry_run: bool = False
     filters: MigrationFilters = field(default_factory=MigrationFilters)
     tool_version: str = "1.0.0"
-    parts_per_message: int = 1000
     extensions: Extensions = field(default_factory=Extensions)
 
     def __post_init__(self) -> None:
         if self.legal_hold not in (RETAIN, MIGRATE):
             raise ValueError(f"legal_hold must be {RETAIN} or {MIGRATE}, got {self.legal_hold!r}")
-        if self.parts_per_message < 1:
-            raise ValueError("parts_per_message must be positive")

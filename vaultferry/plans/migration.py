@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaultferry import schemas
 from vaultferry.functions.keys import idempotency_key
-from vaultferry.functions.payload import audit_payload
+from vaultferry.functions.payload import audit_payload, payload_long
 from vaultferry.functions.times import utc
 from vaultferry.operators import audit as a
 from vaultferry.operators import ingest as ing
-from vaultferry.operators.delivery import classify_receipts
+from vaultferry.operators.delivery import attempt_rollup, retry_queue
 from vaultferry.operators.identity import route_archives
 from vaultferry.operators.lookups import lookup_join, rows_with_keys
 from vaultferry.operators.policy import SKIPPED, with_decision
@@ -23,6 +26,7 @@ from vaultferry.operators.rehydrate import (
     PART_NOT_FOUND,
     assemble_parts,
     check_refs,
+    distinct_part_ids,
     item_content,
     part_refs,
     verify_parts,
@@ -30,12 +34,11 @@ from vaultferry.operators.rehydrate import (
     with_error_detail,
 )
 from vaultferry.operators.report import COUNTERS, outcome_counts, run_summary
-from vaultferry.operators.state import fold_records
 from vaultferry.operators.transform import build_messages, transform_error
-from vaultferry.options import MigrationFilters, RunOptions
+from vaultferry.options import RunOptions
 from vaultferry.session import prepare_session
 from vaultferry.sinks import writers
-from vaultferry.sources.readers import read_if_present, read_table
+from vaultferry.sources.readers import read_if_present
 
 DELIVER = "Deliver"
 RESULT_EVENTS = {
@@ -51,7 +54,7 @@ RESULT_EVENTS = {
 class MigrationInputs:
     """Source tables.
 
-    ``refs`` (item_id, pos, part_id) may stand in for the items' part lists; positions run from 0.
+    ``refs`` (item_id, pos, part_id) may stand in for the items' part lists; positions grow.
     """
 
     archives: DataFrame
@@ -72,19 +75,18 @@ def scan_items(items: DataFrame, archives: DataFrame) -> DataFrame:
     return lookup_join(items, routed, ["archive_id"], "inner", [F.col("item_id")])
 
 
-def checked_refs(inputs: MigrationInputs, wanted: DataFrame, options: RunOptions) -> DataFrame:
-    """Part references, each with its verified part.
-
-    A table of references is cut down to the wanted items when the run is narrowed or
-    resumed; a full run needs nearly all of it and is spared that join.
-    """
+def wanted_refs(inputs: MigrationInputs, wanted: DataFrame) -> DataFrame:
+    """Part references of the wanted items only."""
     if inputs.refs is None:
-        refs = part_refs(wanted)
-    elif inputs.records is None and options.filters == MigrationFilters():
-        refs = inputs.refs
-    else:
-        ids = wanted.select("item_id")
-        refs = lookup_join(inputs.refs, ids, ["item_id"], "left_semi", [F.col("pos")])
+        return part_refs(wanted)
+    return lookup_join(
+        inputs.refs, wanted.select("item_id"), ["item_id"], "left_semi", [F.col("pos")]
+    )
+
+
+def checked_refs(inputs: MigrationInputs, wanted: DataFrame, options: RunOptions) -> DataFrame:
+    """Part references of the wanted items, each with its verified part."""
+    refs = wanted_refs(inputs, wanted)
     own = options.extensions.check_parts
     if own is not None:
         return own(refs, inputs.parts, inputs.blob_hashes)
@@ -166,6 +168,21 @@ def part_error_message() -> Column:
     )
 
 
+def unexpected_message() -> Column:
+    """Text of an unexpected error."""
+    return (
+        F.when(
+            F.col("exception") == "ArgumentException",
+            F.lit("A part of the item's key is missing or blank."),
+        )
+        .when(
+            F.col("exception") == "ArgumentOutOfRangeException",
+            F.lit("The archive type is unknown or the retention expires after year 9999."),
+        )
+        .otherwise(F.concat(F.lit("Delivery failed: "), F.col("delivery_error")))
+    )
+
+
 def without_detail(items: DataFrame) -> DataFrame:
     names = ("error_part", "error_stored_sha256", "error_sha256")
     return items.withColumns({c: F.lit(None).cast("string") for c in names})
@@ -202,7 +219,7 @@ def item_payload() -> Column:
             audit_payload(
                 archiveId=archive,
                 error=F.coalesce("exception", "delivery_error"),
-                message=F.coalesce("exception", "delivery_error"),
+                message=unexpected_message(),
             ),
         )
         .otherwise(audit_payload(archiveId=archive, errorCode=delivery_error))
@@ -232,9 +249,12 @@ def with_results(classified: DataFrame, results: DataFrame | None) -> DataFrame:
     return applied.withColumn("event_type", final)
 
 
-def archive_audit(archives: DataFrame, options: RunOptions) -> DataFrame:
-    run, at = F.lit(options.run_id), utc(options.as_of)
+def archive_audit(
+    archives: DataFrame, options: RunOptions, at: Column | None = None, scope: str = ""
+) -> DataFrame:
+    run, at = F.lit(options.run_id), utc(options.as_of) if at is None else at
     archive = F.col("archive_id")
+    subject = F.concat(archive, F.lit(scope))
     held = a.audit_events(
         archives.where(F.col("route") == "held"),
         run,
@@ -242,7 +262,7 @@ def archive_audit(archives: DataFrame, options: RunOptions) -> DataFrame:
         F.lit("ArchiveLegalHoldRetained"),
         F.lit(None).cast("string"),
         audit_payload(archiveId=archive),
-        archive,
+        subject,
     )
     ownerless = F.col("orphan_reason") == "NullOwnerUpn"
     orphan = a.audit_events(
@@ -254,64 +274,85 @@ def archive_audit(archives: DataFrame, options: RunOptions) -> DataFrame:
         F.when(
             ownerless, audit_payload(archiveId=archive, reason=F.col("orphan_reason"))
         ).otherwise(audit_payload(archiveId=archive, ownerUpn=F.col("owner_upn"))),
-        archive,
+        subject,
     )
     return a.collect_audit([held, orphan])
 
 
-def item_audit(results: DataFrame, options: RunOptions) -> DataFrame:
+def item_audit(
+    results: DataFrame, options: RunOptions, at: Column | None = None, scope: str = ""
+) -> DataFrame:
+    """Final events of items; ``scope`` keeps the ids of different batches apart."""
     return a.audit_events(
         results.where(F.col("event_type") != DELIVER),
         F.lit(options.run_id),
-        utc(options.as_of),
+        utc(options.as_of) if at is None else at,
         F.col("event_type"),
         F.col("item_id"),
         item_payload(),
-        F.col("item_id"),
+        F.concat("item_id", F.lit(scope)),
     )
 
 
 def _run_event(
-    one_row: DataFrame, options: RunOptions, event: str, payload: Column, batch: str = ""
+    one_row: DataFrame,
+    options: RunOptions,
+    event: str,
+    payload: Column,
+    scope: str = "",
+    at: datetime | None = None,
 ) -> DataFrame:
     return a.audit_events(
         one_row,
         F.lit(options.run_id),
-        utc(options.as_of),
+        utc(at or options.as_of),
         F.lit(event),
         F.lit(None).cast("string"),
         payload,
-        F.lit(batch),
+        F.lit(scope),
     )
 
 
-def run_started(spark: SparkSession, options: RunOptions) -> DataFrame:
+def run_started(
+    spark: SparkSession, options: RunOptions, scope: str = "", at: datetime | None = None
+) -> DataFrame:
     payload = audit_payload(runId=F.lit(options.run_id), dryRun=F.lit(options.dry_run))
-    return _run_event(spark.range(1), options, "RunStarted", payload)
+    return _run_event(spark.range(1), options, "RunStarted", payload, scope, at)
 
 
 def run_completed(
-    archives: DataFrame, events: DataFrame, options: RunOptions, batch: str = ""
+    archives: DataFrame,
+    events: DataFrame,
+    options: RunOptions,
+    scope: str = "",
+    at: datetime | None = None,
+    pending: Column | None = None,
 ) -> DataFrame:
-    """RunCompleted event with the counters of the run's archive and item events."""
+    """RunCompleted event with the counters of the run's archive and item events.
+
+    ``pending`` is the number of scanned items that still await a receipt.
+    """
     counted = events.agg(*outcome_counts())
     total = F.col("migrated") + F.col("already_present") + F.col("skipped") + F.col("failed")
     counted = counted.withColumns(
         {
-            "total_items": total,
+            "total_items": total + (F.lit(0) if pending is None else pending),
             "total_archives": archives.agg(F.count(F.lit(1))).scalar(),
         }
     )
     payload = audit_payload(**{p: F.col(c) for c, p in COUNTERS.items()})
-    return _run_event(counted, options, "RunCompleted", payload, batch)
+    return _run_event(counted, options, "RunCompleted", payload, scope, at)
 
 
-def record_entries(results: DataFrame, options: RunOptions) -> DataFrame:
+def record_entries(
+    results: DataFrame, options: RunOptions, at: Column | None = None
+) -> DataFrame:
     """Record-log rows of delivered and failed items."""
-    at = utc(options.as_of)
+    at = utc(options.as_of) if at is None else at
     success = F.col("event_type") == "ItemMigrated"
     failed = F.col("event_type").isin(*schemas.ERROR_EVENTS)
     code = F.coalesce("error_code", "exception", "delivery_error")
+    tries = F.col("attempts").cast("int") if "attempts" in results.columns else F.lit(1)
     return (
         results.where((success | failed) & F.col("idempotency_key").isNotNull())
         .select(
@@ -324,7 +365,7 @@ def record_entries(results: DataFrame, options: RunOptions) -> DataFrame:
             at.alias("extracted_at_utc"),
             F.when(success, at).alias("ingested_at_utc"),
             at.alias("last_attempt_at_utc"),
-            F.lit(1).alias("attempt_count"),
+            F.coalesce(tries, F.lit(1)).alias("attempt_count"),
             F.when(~success, code).alias("last_error_code"),
         )
         .select(*schemas.RECORDS.names)
@@ -334,11 +375,16 @@ def record_entries(results: DataFrame, options: RunOptions) -> DataFrame:
 def messages_of(classified: DataFrame, checked: DataFrame, options: RunOptions) -> DataFrame:
     """Messages of the items ready for delivery (or, in a dry run, passed)."""
     ready = classified.where(F.col("event_type").isin(DELIVER, "ItemDryRun"))
-    lists = assemble_parts(checked, options.parts_per_message)
+    lists = assemble_parts(checked)
     build = options.extensions.build_messages or build_messages
     return build(ready, lists, options)
 
 
+def pending_items(items: DataFrame) -> Column:
+    """Number of items that are ready and have no receipt yet."""
+    return items.agg(F.count_if(F.col("event_type") == DELIVER)).scalar()
+
+
 @dataclass(frozen=True)
 class MigrationPlan:
     """Lazy frames of one run without delivery."""
@@ -350,7 +396,7 @@ class MigrationPlan:
     audit: DataFrame
 
     def messages(self) -> DataFrame:
-        """Nested messages; the positions of a list must run from 0 without gaps."""
+        """Nested messages, one per item."""
         return messages_of(self.items, self.checked, self.options)
 
 
@@ -363,8 +409,8 @@ def plan_migration(
 ) -> MigrationPlan:
     """Build a run as lazy DataFrames; ``results`` are classified final receipts, if any.
 
-    Messages and audit log share the checked references; pass ``keep=durable`` when both
-    are wanted. Content errors in the audit log name the position; ``run_migration`` adds
+    The log needs the items twice, messages and log the checked references; with
+    ``keep=durable`` each is computed once. Content errors in the audit log name the position; ``run_migration`` adds
     part and hashes.
     """
     prepare_session(spark)
@@ -374,174 +420,374 @@ def plan_migration(
     selected = flag_history(inputs, select_items(inputs, options, archives))
     checked = keep(checked_refs(inputs, selected.where(goes_on()), options))
     classified = classify_items(selected, checked, options)
-    items = without_detail(with_results(classified, results))
+    items = keep(without_detail(with_results(classified, results)))
     outcome = a.collect_audit([archive_audit(archives, options), item_audit(items, options)])
     log = a.collect_audit(
-        [run_started(spark, options), outcome, run_completed(archives, outcome, options)]
+        [
+            run_started(spark, options),
+            outcome,
+            run_completed(archives, outcome, options, pending=pending_items(items)),
+        ]
     )
     return MigrationPlan(options, archives, items, checked, log)
 
 
+Deliver = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
-class Store:
-    """Folder of a migration's tables."""
+class Execution:
+    """One call of a run: the run's options, the store's folder and an id of its own.
 
+    Every batch writes under an id no other attempt uses and is read by others only once
+    its row is in the table of commits. So a run may be repeated, narrowed or resumed under
+    its id, and a batch that died half-way leaves nothing that is ever read.
+    """
+
+    spark: SparkSession
+    options: RunOptions
     root: str
+    number: str
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def batch_id(self, kind: str) -> str:
+        return f"{self.options.run_id}.{self.number}.{kind}.{uuid.uuid4().hex[:12]}"
+
+    def read(
+        self, table: str, schema: T.StructType, own: bool = False, run: bool = False
+    ) -> DataFrame | None:
+        """Rows of the committed batches with their batch_id; None if the table is not there.
+
+        ``run`` keeps the batches of this run, ``own`` those of this execution.
+        """
+        wanted = F.lit(True)
+        if run or own:
+            wanted = F.col("run_id") == self.options.run_id
+        if own:
+            wanted &= F.col("execution") == self.number
+        return read_committed(self.spark, self.root, table, schema, wanted)
+
+    def done(self, name: str) -> bool:
+        """Whether a batch of this name is committed in this run, by any execution."""
+        commits = read_if_present(self.spark, schemas.COMMITS, self.path("commits"))
+        if commits is None:
+            return False
+        same = (F.col("run_id") == self.options.run_id) & (F.col("name") == name)
+        return not commits.where(same).isEmpty()
+
+    def commit(self, batch_id: str, kind: str, name: str, at: datetime | None) -> None:
+        row = self.spark.range(1).select(
+            F.lit(batch_id).alias("batch_id"),
+            F.lit(self.options.run_id).alias("run_id"),
+            F.lit(self.number).alias("execution"),
+            F.lit(kind).alias("kind"),
+            F.lit(name).alias("name"),
+            utc(at or self.options.as_of).alias("at_utc"),
+        )
+        row.coalesce(1).write.mode("append").parquet(self.path("commits"))
 
-def deliver_to_registry(
-    spark: SparkSession,
-    store: Store,
-    ready: DataFrame,
-    checked: DataFrame,
-    batch_id: str,
-    small_batch: bool = False,
-) -> DataFrame:
-    """Run the target's accept rules on ready items and return classified results.
 
-    A batch that runs again sees the target as it was before its first try.
+def read_committed(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    schema: T.StructType,
+    wanted: Column | None = None,
+) -> DataFrame | None:
+    """Rows of a store's table whose batch is committed (and ``wanted``); None without any."""
+    rows = read_if_present(spark, schemas.with_batch(schema), f"{root}/{table}")
+    commits = read_if_present(spark, schemas.COMMITS, f"{root}/commits")
+    if rows is None or commits is None:
+        return None
+    if wanted is not None:
+        commits = commits.where(wanted)
+    return rows.join(commits.select("batch_id").distinct(), "batch_id", "left_semi")
+
+
+def records_of(spark: SparkSession, root: str) -> DataFrame | None:
+    """The record log: the compacted table, if there is one, and what was written since.
+
+    ``compact_store`` names the batches it holds; their rows in the log are not read again.
     """
-    earlier = F.col("batch_id") != F.lit(batch_id)
-    registry = read_if_present(spark, schemas.with_batch(schemas.REGISTRY), store.path("registry"))
-    part_store = read_if_present(spark, schemas.with_batch(schemas.PART_STORE), store.path("part_store"))
-    if small_batch and registry is not None and part_store is not None:
-        registry = rows_with_keys(registry, ready, ["idempotency_key"])
-        hashes = checked.select("sha256").distinct()
-        part_store = rows_with_keys(part_store, hashes, ["sha256"])
-    seq = F.struct("archive_id", "item_id").alias("seq")
-    messages = ready.select("idempotency_key", seq, "target_archive", "n_parts")
-    owners = ready.select("item_id", "idempotency_key", seq)
-    parts = lookup_join(checked, owners, ["item_id"], "inner", [F.col("pos")])
+    log = read_committed(spark, root, "records", schemas.RECORDS)
+    held = read_if_present(spark, schemas.COMPACTED, f"{root}/compacted")
+    if log is None or held is None:
+        return None if log is None else log.drop("batch_id")
+    newest = held.agg(F.max(F.struct("number", "folder")).alias("n")).first()["n"]
+    batches = held.where(F.col("number") == newest["number"]).select("batch_id")
+    folded = spark.read.schema(schemas.RECORDS).parquet(f"{root}/{newest['folder']}")
+    return folded.unionByName(log.join(batches, "batch_id", "left_anti").drop("batch_id"))
+
+
+def compact_store(spark: SparkSession, root: str) -> None:
+    """Fold the committed record log into a new folder that later runs read instead."""
+    log = read_committed(spark, root, "records", schemas.RECORDS)
+    if log is None:
+        return
+    held = read_if_present(spark, schemas.COMPACTED, f"{root}/compacted")
+    number = 0 if held is None else held.agg(F.max("number")).first()[0] + 1
+    folder = f"records-{number}-{uuid.uuid4().hex[:12]}"
+    batches = log.select("batch_id").distinct().cache()
+    try:
+        batches.count()
+        writers.compact_records(records_of(spark, root), f"{root}/{folder}")
+        batches.select(
+            F.lit(number).alias("number"), F.lit(folder).alias("folder"), "batch_id"
+        ).write.mode("append").parquet(f"{root}/compacted")
+    finally:
+        batches.unpersist()
 
-    def keep(table: str, rows: DataFrame) -> DataFrame:
-        return writers.keep_batch(rows, store.path(table), batch_id)
-
-    accepted = ing.ingest_batch(
-        messages,
-        parts.select("idempotency_key", "seq", "pos", "part_id", "sha256", "size_bytes"),
-        None if registry is None else registry.where(earlier),
-        None if part_store is None else part_store.where(earlier),
-        keep,
-    )
-    receipts = keep("receipts", accepted.receipts.drop("seq"))
-    final = receipts.groupBy("idempotency_key").agg(
-        F.min_by(
-            F.struct("http_status", "target_id", "deduped", "already_present"), "already_present"
-        ).alias("_r")
+
+def start_run(
+    spark: SparkSession,
+    inputs: MigrationInputs,
+    options: RunOptions,
+    store_root: str,
+    at: datetime | None = None,
+) -> Execution:
+    """Write the archive routes of an execution, RunStarted and the archive events."""
+    prepare_session(spark)
+    execution = Execution(spark, options, store_root, uuid.uuid4().hex[:12])
+    batch_id = execution.batch_id("start")
+    routed = route_archives(
+        inputs.archives, inputs.identity_map, options, inputs.identity_order
     )
-    return classify_receipts(
-        final.select("idempotency_key", "_r.*").withColumns(
-            {
-                "exception": F.lit(None).cast("string"),
-                "retry_after": F.lit(None).cast("double"),
-            }
-        )
+    routes = writers.keep_batch(routed, execution.path("archives"), batch_id)
+    scope = f".{execution.number}"
+    log = a.collect_audit(
+        [
+            run_started(spark, options, scope, at),
+            archive_audit(routes, options, utc(at or options.as_of), scope),
+        ]
     )
+    writers.append_audit(log, execution.path("audit"), batch_id)
+    execution.commit(batch_id, "start", f"start-{execution.number}", at)
+    return execution
 
 
-def _audit_table(spark: SparkSession, store: Store) -> DataFrame:
-    return read_table(spark, schemas.with_batch(schemas.AUDIT), store.path("audit"))
+def routes_of(execution: Execution) -> DataFrame:
+    rows = execution.read("archives", schemas.ROUTES, own=True)
+    assert rows is not None
+    return rows.drop("batch_id")
 
 
-def start_run(
-    spark: SparkSession, inputs: MigrationInputs, options: RunOptions, store_root: str
-) -> None:
-    """Write the archive routes of a run, its RunStarted event and its archive events."""
-    prepare_session(spark)
-    store = Store(store_root)
-    batch_id = f"{options.run_id}.start"
-    routed = route_archives(
-        inputs.archives, inputs.identity_map, options, inputs.identity_order
+def verified_for(
+    execution: Execution, inputs: MigrationInputs, refs: DataFrame, batch_id: str
+) -> DataFrame:
+    """Verified parts behind some references; bytes are hashed for new parts only.
+
+    Parts found good are kept in the store, so no later batch or run reads their bytes. Parts
+    with an error are looked at again each time, as their bytes or metadata may have come.
+    """
+    needed = distinct_part_ids(refs)
+    known = execution.read("verified_parts", schemas.VERIFIED)
+    if known is not None:
+        known = rows_with_keys(known.drop("batch_id"), needed, ["part_id"])
+        known = known.dropDuplicates(["part_id"])
+        needed = needed.join(known.select("part_id"), "part_id", "left_anti")
+    parts = inputs.parts.join(needed, "part_id", "left_semi")
+    hashes = inputs.blob_hashes.join(needed, "part_id", "left_semi")
+    fresh = writers.keep_batch(
+        verify_parts(parts, hashes), execution.path("checked_parts"), batch_id
     )
-    routes = writers.keep_batch(routed, store.path("archives"), batch_id)
-    log = a.collect_audit([run_started(spark, options), archive_audit(routes, options)])
-    writers.append_audit(log, store.path("audit"), batch_id)
+    good = fresh.where(F.col("error").isNull())
+    writers.write_batch(good, execution.path("verified_parts"), batch_id)
+    return fresh if known is None else fresh.unionByName(known)
 
 
-def routes_of(spark: SparkSession, options: RunOptions, store: Store) -> DataFrame:
-    path, batch_id = store.path("archives"), f"{options.run_id}.start"
-    return writers.read_batch(spark, schemas.ROUTES, path, batch_id)
+def _mark(
+    execution: Execution, events: DataFrame, batch_id: str, at: datetime | None
+) -> None:
+    """Progress row of a batch: items of the run processed so far."""
+    options = execution.options
+    processed = F.col("event_type").isin("ItemMigrated", "ItemDryRun", *schemas.ERROR_EVENTS)
+    before = execution.read("checkpoints", schemas.CHECKPOINTS)
+    done = F.lit(0).cast("bigint")
+    if before is not None:
+        mine = before.where(F.col("run_id") == options.run_id)
+        done = F.coalesce(
+            mine.agg(F.max(payload_long(F.col("metadata"), "processedCount"))).scalar(), done
+        )
+    mark = events.agg(F.count_if(processed).alias("n")).select(
+        F.lit(options.run_id).alias("run_id"),
+        F.lit("Ingest").alias("phase"),
+        utc(at or options.as_of).alias("created_at_utc"),
+        audit_payload(processedCount=F.col("n") + done).alias("metadata"),
+    )
+    writers.save_checkpoints(mark, execution.path("checkpoints"), batch_id)
 
 
 def migrate_batch(
-    spark: SparkSession,
+    execution: Execution,
     inputs: MigrationInputs,
-    options: RunOptions,
-    store_root: str,
-    batch: str = "0",
-    small_batch: bool = False,
-) -> None:
-    """Take a batch of items through all steps and write every table below ``store_root``.
-
-    Checked references and classified items are written and read back, so each later table
-    is built from the same rows and a lost executor repeats only its own step. Writing a
-    batch again replaces it; items delivered by other batches are skipped. The items of a
-    ``small_batch`` are also written when scanned, and the history tables are first cut down
-    to their keys; a large batch reads its source again instead of copying it.
+    name: str | None = None,
+    at: datetime | None = None,
+) -> DataFrame | None:
+    """Take a batch of items up to the outbox; returns the items ready for delivery.
+
+    Selected items, checked references and classified items are written and read back, so
+    each later table is built from the same rows and a lost executor repeats only its own
+    step. History tables are first cut down to the batch's keys. A batch with a ``name`` runs
+    once in a run: when it is committed, nothing is done and None is returned.
     """
-    prepare_session(spark)
-    store = Store(store_root)
-    batch_id = f"{options.run_id}.{batch}"
-    if inputs.records is None:
-        log = read_if_present(spark, schemas.with_batch(schemas.RECORDS), store.path("records"))
-        if log is not None:
-            others = log.where(F.col("batch_id") != F.lit(batch_id)).drop("batch_id")
-            inputs = replace(inputs, records=others)
+    if name is not None and execution.done(name):
+        return None
+    spark, options = execution.spark, execution.options
+    batch_id = execution.batch_id("items")
+    when = utc(at or options.as_of)
 
     def keep(table: str, rows: DataFrame) -> DataFrame:
-        return writers.keep_batch(rows, store.path(table), batch_id)
-
-    routes = routes_of(spark, options, store)
-    scanned = select_items(inputs, options, routes)
-    if small_batch:
-        scanned = keep("scanned", scanned)
-        if inputs.records is not None:
-            history = rows_with_keys(inputs.records, scanned, ["idempotency_key"])
-            inputs = replace(inputs, records=history)
-    selected = flag_history(inputs, scanned)
-    checked = keep("checked", checked_refs(inputs, selected.where(goes_on()), options))
-    classified = keep("classified", classify_items(selected, checked, options))
-
-    results = None
+        return writers.keep_batch(rows, execution.path(table), batch_id)
+
+    selected = keep("selected", select_items(inputs, options, routes_of(execution)))
+    history = inputs.records if inputs.records is not None else records_of(spark, execution.root)
+    if history is not None:
+        history = rows_with_keys(history, selected, ["idempotency_key"])
+    flagged = flag_history(replace(inputs, records=history), selected)
+    wanted = flagged.where(goes_on())
+    if options.extensions.check_parts is not None:
+        checked = keep("checked", checked_refs(inputs, wanted, options))
+    else:
+        refs = keep("refs", wanted_refs(inputs, wanted))
+        checked = keep("checked", check_refs(refs, verified_for(execution, inputs, refs, batch_id)))
+    classified = keep("classified", classify_items(flagged, checked, options))
+    ready = classified.where(F.col("event_type") == DELIVER)
     if not options.dry_run:
         messages = messages_of(classified, checked, options)
-        writers.write_outbox(messages, store.path("outbox"), batch_id)
-        ready = classified.where(F.col("event_type") == DELIVER)
-        results = deliver_to_registry(spark, store, ready, checked, batch_id, small_batch)
-    items = with_results(classified, results)
+        writers.write_outbox(messages, execution.path("outbox"), batch_id)
+    items = with_results(classified, None)
     if not options.dry_run:
-        entries = record_entries(items, options)
-        writers.append_records(entries, store.path("records"), batch_id)
-    detailed = with_error_detail(items, checked)
-    writers.append_audit(item_audit(detailed, options), store.path("audit"), batch_id)
-
-    mine = _audit_table(spark, store).where(
-        (F.col("run_id") == options.run_id) & (F.col("batch_id") == F.lit(batch_id))
+        entries = record_entries(items, options, when)
+        writers.append_records(entries, execution.path("records"), batch_id)
+    events = item_audit(with_error_detail(items, checked), options, when, f".{batch_id}")
+    writers.append_audit(events, execution.path("audit"), batch_id)
+    _mark(execution, items.where(F.col("event_type") != DELIVER), batch_id, at)
+    execution.commit(batch_id, "items", name or batch_id, at)
+    return ready
+
+
+def awaiting(execution: Execution, keys: DataFrame) -> DataFrame | None:
+    """Items of this run with one of the keys that were sent and are not delivered yet."""
+    rows = execution.read("classified", schemas.CLASSIFIED, run=True)
+    if rows is None:
+        return None
+    sent = rows.where(F.col("event_type") == DELIVER)
+    sent = rows_with_keys(sent, keys, ["idempotency_key"])
+    one = sent.groupBy("idempotency_key").agg(
+        F.max(
+            F.struct("batch_id", *[c for c in schemas.CLASSIFIED.names if c != "idempotency_key"])
+        ).alias("_i")
     )
-    processed = F.col("event_type").isin("ItemMigrated", "ItemDryRun", *schemas.ERROR_EVENTS)
-    mark = mine.agg(F.count_if(processed).alias("n")).select(
-        F.lit(options.run_id).alias("run_id"),
-        F.lit(f"Ingest-{batch}").alias("phase"),
-        utc(options.as_of).alias("created_at_utc"),
-        audit_payload(processedCount=F.col("n")).alias("metadata"),
+    items = one.select("idempotency_key", "_i.*").select(*schemas.CLASSIFIED.names)
+    records = records_of(execution.spark, execution.root)
+    if records is None:
+        return items
+    return ing.skip_migrated(items, rows_with_keys(records, keys, ["idempotency_key"]))[0]
+
+
+def apply_delivery(
+    execution: Execution,
+    receipts: DataFrame,
+    name: str | None = None,
+    at: datetime | None = None,
+) -> None:
+    """Apply a batch of the target's receipts to the items that await one.
+
+    Attempts are rolled up per key over all receipts so far; the last one decides. Audit
+    events and records carry the receipt's time. Keys worth another try are written to the
+    retry queue. Receipts of unknown or delivered keys are kept and change nothing.
+    """
+    if name is not None and execution.done(name):
+        return
+    options = execution.options
+    batch_id = execution.batch_id("receipts")
+    new = writers.keep_batch(
+        receipts.select(*schemas.RECEIPTS.names), execution.path("receipts"), batch_id
     )
-    writers.save_checkpoints(mark, store.path("checkpoints"), batch_id)
+    keys = new.select("idempotency_key").distinct()
+    earlier = execution.read("receipts", schemas.RECEIPTS)
+    attempts = new
+    if earlier is not None:
+        earlier = rows_with_keys(earlier.drop("batch_id"), keys, ["idempotency_key"])
+        attempts = new.unionByName(earlier)
+    waiting = awaiting(execution, keys)
+    if waiting is not None:
+        rollup = attempt_rollup(attempts, ["at_utc", "attempt_no"])
+        rollup = writers.keep_batch(rollup, execution.path("rollups"), batch_id)
+        more = rollup.select("idempotency_key", "attempts", "at_utc")
+        answered = with_results(waiting, rollup).join(more, "idempotency_key")
+        items = writers.keep_batch(answered, execution.path("answered"), batch_id)
+        when = F.coalesce("at_utc", utc(at or options.as_of))
+        entries = record_entries(items, options, when)
+        writers.append_records(entries, execution.path("records"), batch_id)
+        events = item_audit(without_detail(items), options, when, f".{batch_id}")
+        writers.append_audit(events, execution.path("audit"), batch_id)
+        mine = rollup.join(items.select("idempotency_key"), "idempotency_key", "left_semi")
+        writers.write_batch(retry_queue(mine), execution.path("retry_queue"), batch_id)
+        _mark(execution, items, batch_id, at)
+    execution.commit(batch_id, "receipts", name or batch_id, at)
+
+
+def audit_of(execution: Execution, whole_run: bool = False) -> DataFrame:
+    """Committed events of this execution, or of all executions of its run."""
+    rows = execution.read("audit", schemas.AUDIT, own=not whole_run, run=True)
+    assert rows is not None
+    return rows.where(F.col("run_id") == execution.options.run_id)
+
+
+def last_events(events: DataFrame) -> DataFrame:
+    """The last event of every item, and every archive event once."""
+    order = F.struct("timestamp_utc", F.col("event_type") == "ItemMigrated", "id")
+    items = events.where(F.col("item_id").isNotNull())
+    last = items.groupBy("item_id").agg(F.max_by("event_type", order).alias("event_type"))
+    archives = events.where(F.col("event_type").startswith("Archive"))
+    once = archives.select("event_type", "payload").distinct()
+    return last.select("event_type").unionByName(once.select("event_type"))
 
 
 def finish_run(
-    spark: SparkSession, options: RunOptions, store_root: str, batch: str = "0"
+    execution: Execution, at: datetime | None = None, whole_run: bool = False
 ) -> DataFrame:
-    """Write RunCompleted with the counters of all batches and return the run's summary."""
-    store = Store(store_root)
-    mine = _audit_table(spark, store).where(F.col("run_id") == options.run_id)
-    routes = routes_of(spark, options, store)
-    done = run_completed(routes, mine, options, batch)
-    writers.append_audit(done, store.path("audit"), f"{options.run_id}.{batch}-end")
-    final = _audit_table(spark, store)
-    return run_summary(final.where(F.col("run_id") == options.run_id))
+    """Write RunCompleted and return the summary.
+
+    Each scanned item counts once, by its last event or as pending. With ``whole_run`` the
+    counters cover all executions of the run, as those of a stream that was started again.
+    """
+    options = execution.options
+    log = audit_of(execution, whole_run)
+    classified = execution.read("classified", schemas.CLASSIFIED, own=not whole_run, run=True)
+    pending = F.lit(0).cast("bigint")
+    if classified is not None:
+        seen = log.where(F.col("item_id").isNotNull()).select("item_id")
+        sent = classified.where(F.col("event_type") == DELIVER).select("item_id").distinct()
+        pending = sent.join(seen, "item_id", "left_anti").agg(F.count(F.lit(1))).scalar()
+    batch_id = execution.batch_id("end")
+    done = run_completed(
+        routes_of(execution), last_events(log), options, f".{batch_id}", at, pending
+    )
+    writers.append_audit(done, execution.path("audit"), batch_id)
+    execution.commit(batch_id, "end", batch_id, at)
+    return run_summary(audit_of(execution, whole_run).drop("batch_id"), latest=True)
+
+
+def _end(execution: Execution, event: str, payload: Column, at: datetime | None) -> None:
+    batch_id = execution.batch_id("end")
+    one = execution.spark.range(1)
+    log = _run_event(one, execution.options, event, payload, f".{batch_id}", at)
+    writers.append_audit(log, execution.path("audit"), batch_id)
+    execution.commit(batch_id, "end", batch_id, at)
+
+
+def fail_run(execution: Execution, error: str, at: datetime | None = None) -> None:
+    """Write RunFailed; the run can be resumed under its id."""
+    _end(execution, "RunFailed", audit_payload(error=F.lit(error)), at)
+
+
+def cancel_run(execution: Execution, at: datetime | None = None) -> None:
+    """Write RunCancelled; the run can be resumed under its id."""
+    _end(execution, "RunCancelled", audit_payload(runId=F.lit(execution.options.run_id)), at)
 
 
 def run_migration(
@@ -549,22 +795,38 @@ def run_migration(
     inputs: MigrationInputs,
     options: RunOptions,
     store_root: str,
-    batch: str = "0",
+    deliver: Deliver | None = None,
+    at: datetime | None = None,
 ) -> DataFrame:
-    """A whole run in one batch; returns its summary."""
-    start_run(spark, inputs, options, store_root)
-    migrate_batch(spark, inputs, options, store_root, batch)
-    return finish_run(spark, options, store_root, batch)
+    """A whole run in one batch; returns its summary.
+
+    ``deliver`` gets the items that are ready and returns the target's receipts; without it
+    the items stay pending. An error ends the run with RunFailed.
+    """
+    execution = start_run(spark, inputs, options, store_root, at)
+    try:
+        ready = migrate_batch(execution, inputs, at=at)
+        if deliver is not None and ready is not None and not options.dry_run:
+            apply_delivery(execution, deliver(ready), at=at)
+        return finish_run(execution, at)
+    except Exception as error:
+        fail_run(execution, str(error)[:500], at)
+        raise
 
 
 __all__ = [
+    "Execution",
     "MigrationInputs",
     "MigrationPlan",
-    "Store",
+    "apply_delivery",
+    "cancel_run",
     "classify_items",
+    "compact_store",
+    "fail_run",
     "finish_run",
     "migrate_batch",
     "plan_migration",
+    "read_committed",
     "rejects",
     "run_migration",
     "select_items",

@@ -134,27 +134,38 @@ VIEWS = {
                case run_id when 'run-3' then 'Failed' when 'run-4' then 'Running' else 'Completed' end as status
         from v_run_totals""",
     "v_attempts": """
-        select 'key-' || (event_id % 2000) as key, event_id, ts, k,
+        select 'key-' || num as key, event_id, ts, k,
                case when k < 60 then 200 when k < 75 then 503 when k < 85 then 429 when k < 93 then 422
                end as http_status,
                case when k < 93 then null when k < 97 then 'HttpRequestException'
                     else 'TaskCanceledException' end as exception,
-               case when k < 60 then 'sx-' || (event_id % 2000) end as target_id,
+               case when k < 60 then 'sx-' || num end as target_id,
                case when k between 75 and 84 then cast(k % 5 + 1 as double) end as retry_after,
                case when k < 60 and k % 10 = 0 then 'AlreadyPresent' when k < 60 then 'Ingested'
                     when k between 85 and 92 then 'PermanentError' else 'TransientError' end as ingest_status,
                case when k < 60 then null when k < 75 then 'ServiceUnavailable'
                     when k < 85 then 'TooManyRequests' when k < 93 then 'UnprocessableEntity'
                     when k < 97 then 'HttpRequestException' else 'TaskCanceledException' end as error_code
-        from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events)""",
+        from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k,
+                     case when event_id // 20 % 4 = 0 then 'long-' || (event_id // 20)
+                          else cast(event_id // 5 as varchar) end as num
+              from events)""",
+    "v_receipts": """
+        select 'itm-' || (event_id // 2) as item_id, arg_max(k, event_id) as k,
+               arg_max(ts, event_id) as ts, count(*) as attempts
+        from v_attempts group by 1""",
+    "v_answers": """
+        select i.*, r.k, r.ts, r.attempts, i.error_code is null and r.k < 60 as good,
+               i.error_code is not null or r.k >= 60 as bad
+        from v_run_items i left join v_receipts r on i.item_id = r.item_id""",
     "v_rollup": """
         select *, http_status in (503, 429) or coalesce(exception = 'HttpRequestException', false) as retryable_raw
         from (select *, row_number() over (partition by key order by ts desc, event_id desc) as rn,
                      count(*) over (partition by key) as attempts
               from v_attempts) where rn = 1""",
     "v_log": """
-        select 'ev:VS-1:arc-' || (event_id % 3000 % 40) || ':itm-' || (event_id % 3000) as key,
-               'itm-' || (event_id % 3000) as item_id, 'arc-' || (event_id % 3000 % 40) as archive_id,
+        select 'ev:VS-1:arc-' || (event_id // 120) || ':itm-' || (event_id // 3) as key,
+               'itm-' || (event_id // 3) as item_id, 'arc-' || (event_id // 120) as archive_id,
                'tgt-' || (event_id % 7) as target_archive, ts, event_id,
                event_type = 'purchase' as good,
                case when event_type = 'purchase' then 'sx-' || event_id end as target_id,
@@ -279,14 +290,15 @@ _AS_OF = "'2024-06-01 00:00:00.000000'"
 
 
 def _run_totals(run_id: str, second: bool = False) -> str:
-    good = "count(*) filter (error_code is null)"
+    good = "count(*) filter (good)"
     return f"""
         select '{run_id}' as run_id, {_AS_OF} as started_at_utc, {_AS_OF} as finished_at_utc, {_TOTALS},
                {_ZERO if second else good} as migrated, {good if second else _ZERO} as already_present,
-               {_ORPHANS} as orphaned, {_ZERO} as skipped, count(*) filter (error_code is not null) as failed
-        from v_run_items"""
+               {_ORPHANS} as orphaned, {_ZERO} as skipped, count(*) filter (bad) as failed
+        from v_answers"""
 
 
+_INBOX = "lower(folder_path) like 'inbox%'"
 _ARCHIVE_COUNTS = """
     count(*) filter (event_type in ('ItemMigrated', 'ItemDryRun')) as migrated,
     count(*) filter (event_type = 'ItemAlreadyPresent') as already_present,
@@ -337,7 +349,7 @@ SQL = {
     "blob_hashes": """
         select part_id, sha256(payload) as sha256, strlen(payload) as blob_bytes from v_blobs""",
     "identity_entries": """
-        select lower(c_name) as owner_key, 'new-' || c_custkey as mapped_target from customer""",
+        select upper(c_name) as owner_key, 'new-' || c_custkey as mapped_target from customer""",
     "recipient_lists": """
         select item_id, sender || ';' || team as to_line, case when has_cc then team end as cc_line,
                case when has_bcc then sender end as bcc_line,
@@ -409,14 +421,14 @@ SQL = {
     "checked_parts": "select item_id, pos, part_id, sha256, size_bytes, error from v_checked",
     "distinct_part_ids": "select distinct 'prt-' || l_partkey as part_id from lineitem",
     "item_part_lists": """
-        select item_id, pos // 3 as chunk_no,
+        select item_id,
                string_agg(part_id || '=' || coalesce(sha256, '?'), ';' order by pos) as part_list
-        from v_checked group by 1, 2""",
+        from v_checked group by 1""",
     "conversation_assembly": """
-        select 'conv-' || conv_id as item_id, turn // 1000 as chunk_no, count(*) as n_parts,
+        select 'conv-' || conv_id as item_id, count(*) as n_parts,
                string_agg('conv-' || conv_id || '-' || turn || '=' || sha256(text), ';' order by turn)
                as part_list
-        from conversations group by conv_id, turn // 1000""",
+        from conversations group by conv_id""",
     "archive_class": """
         select archive_id,
                case type when 'Mailbox' then 'user_mailbox' when 'Journal' then 'compliance_journal'
@@ -519,10 +531,10 @@ SQL = {
     "count_by_status": "select status, count(*) as records from v_folded group by status",
     "find_by_keys": """
         select key as idempotency_key, status from v_folded
-        where key in (select 'ev:VS-1:arc-' || (doc_id % 40) || ':itm-' || doc_id from documents)""",
+        where key in (select 'ev:VS-1:arc-' || (doc_id // 40) || ':itm-' || doc_id from documents)""",
     "find_by_key": """
         select key as idempotency_key, status, attempt_count from v_folded
-        where key = 'ev:VS-1:arc-7:itm-7'""",
+        where key = 'ev:VS-1:arc-1:itm-47'""",
     "save_checkpoints": f"""
         select run_id, phase, {_time('max(ts)')} as created_at_utc, arg_max(metadata, ts) as metadata
         from v_checkpoints group by run_id, phase""",
@@ -599,7 +611,7 @@ SQL = {
                     when t > l then (t - l) || ' item(s) in the target exceed the local records of run ' || run_id
                end as note, l = t as is_clean
         from (select run_id, count(*) filter (event_type in ('ItemMigrated', 'ItemAlreadyPresent')) as l,
-                     (select count(*) from documents where doc_id % 2 = 0) as t
+                     (select count(*) from documents) as t
               from v_audit group by run_id)""",
     "reconcile_totals_unavailable": f"""
         select run_id, count(*) filter (event_type in ('ItemMigrated', 'ItemAlreadyPresent')) as local_total,
@@ -648,6 +660,26 @@ SQL = {
         select item_id, archive_id, error_code from v_run_items where error_code is not null""",
     "migration_run": _run_totals("run-batch"),
     "migration_resume": _run_totals("run-second", second=True),
+    "resume_same_run": f"""
+        select 0 as step, count(*) filter (good) as migrated, {_ZERO} as already_present,
+               {_ZERO} as skipped, count(*) filter (bad) as failed, count(*) as total_items,
+               (select count(*) from v_answers where good) as delivered from v_answers
+        union all
+        select 1, 0, count(*) filter (good and {_INBOX}), count(*) filter (not {_INBOX}),
+               count(*) filter (bad and {_INBOX}), count(*), (select count(*) from v_answers where good) from v_answers
+        union all
+        select 2, 0, count(*) filter (good), 0, count(*) filter (bad), count(*),
+               (select count(*) from v_answers where good) from v_answers""",
+    "run_retry_queue": f"""
+        select key as idempotency_key, attempts,
+               {_time('ts + to_microseconds(cast(delay * 1000000 as bigint))')} as due_at
+        from (select *, case when k between 75 and 84 then k % 5 + 1
+                             else 0.5 * pow(2, attempts - 1) end as delay
+              from v_answers where error_code is null and (k between 60 and 84 or k between 93 and 96))""",
+    "own_run_reports": f"""
+        select 'checkpoint' as what, 'Ingest' as phase, count(*) filter (good or bad) as n from v_answers
+        union all
+        select 'rate', {_time("date_trunc('minute', ts)")}, count(*) from v_answers where good group by 2""",
     "outbox_messages": f"""
         select key as idempotency_key,
                case type when 'Mailbox' then 'user_mailbox' when 'Journal' then 'compliance_journal'
@@ -659,6 +691,11 @@ SQL = {
                n_parts, r.part_id as first_part, false as has_null
         from v_run_items i left join v_refs r on i.item_id = r.item_id and r.pos = 0
         where error_code is null""",
+    "outbox_long_lists": """
+        select 'ev:VS-1:arc-1:grp-' || (o_custkey // 50) as idempotency_key, count(l_orderkey) as n_parts,
+               sha256(coalesce(string_agg('prt-' || l_partkey, ','
+                                          order by l_orderkey, l_linenumber, l_partkey), '')) as parts_sha256
+        from orders left join lineitem on l_orderkey = o_orderkey group by o_custkey // 50""",
     "audit_csv_export": """
         select id, strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' as timestamp_utc, event_type,
                item_id, payload, run_id from v_audit where run_id = 'run-0'""",
@@ -673,15 +710,23 @@ SQL = {
                'tgt-' || o_custkey as target_archive, o_orderkey % 2 = 0 as deduped
         from orders where o_orderkey % 5 = 0""",
     "stream_migration": _run_totals("run-batch"),
-    "stream_checkpoints": "select 'run-batch' as run_id, count(*) as processed from v_run_items",
+    "stream_restart": _run_totals("run-batch"),
+    "stream_checkpoints": """
+        select 'run-batch' as run_id, 'Ingest' as phase, count(*) as processed from v_run_items""",
+    "stream_dedup_watermark": """
+        select key as idempotency_key, cast(1 as bigint) as rows from v_attempts group by key""",
     "stream_ingest_rate": f"select run_id, {_time('m')} as minute, ingested from ({_HISTOGRAM})",
     "stream_failure_ratio": _RATIO,
     "stream_dedup_keys": """
         select key as idempotency_key, arg_min(event_id, (ts, event_id)) as event_id
         from v_attempts group by key""",
     "status_tracker": """
-        select key, arg_max(status, (ts, event_id)) as status, count(*) as changes
-        from v_history group by key""",
+        select key, arg_max(status, (ts, event_id)) as status, count(*) as changes,
+               count(*) filter (before is not null and (before, status) not in (
+                   ('Discovered', 'Mapped'), ('Mapped', 'Rehydrated'),
+                   ('Failed', 'Rehydrated'), ('Ingesting', 'Failed'))) as illegal
+        from (select *, lag(status) over (partition by key order by ts, event_id) as before
+              from v_history) group by key""",
 }
 
 

@@ -416,18 +416,17 @@ def _list_text(parts: str) -> Column:
 
 @query
 def item_part_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered part lists in chunks of three."""
+    """Ordered part list of every item, from positions that only grow."""
     verified = rh.verify_parts(fx.parts(spark, d), readers.blob_hashes(fx.blobs(spark, d)))
-    lists = rh.assemble_parts(rh.check_refs(fx.part_refs(spark, d), verified), 3)
-    return lists.select("item_id", "chunk_no", _list_text("parts").alias("part_list"))
+    lists = rh.assemble_parts(rh.check_refs(fx.part_refs_in_order(spark, d), verified))
+    return lists.select("item_id", _list_text("parts").alias("part_list"))
 
 
 @query
 def conversation_assembly(spark: SparkSession, d: str) -> DataFrame:
-    lists = rh.assemble_parts(fx.conversation_parts(spark, d), 1000)
+    lists = rh.assemble_parts(fx.conversation_parts(spark, d))
     return lists.select(
         "item_id",
-        "chunk_no",
         F.size("parts").cast("bigint").alias("n_parts"),
         _list_text("parts").alias("part_list"),
     )
@@ -528,7 +527,10 @@ def _documents_in(spark: SparkSession, d: str) -> ingest.Ingested:
 
 
 def _replay(spark: SparkSession, d: str) -> ingest.Ingested:
-    """Item messages of which each fifth is known and each key of a third comes twice."""
+    """Item messages of which each fifth is known and each key of a third comes twice.
+
+    Every fortieth part's hash is in the target's store already.
+    """
     orders = fx.table(spark, d, "orders")
     key = fx.tagged("ev:VS-1:itm-", "o_orderkey")
     once = orders.select(
@@ -551,11 +553,21 @@ def _replay(spark: SparkSession, d: str) -> ingest.Ingested:
     )
     store = (
         fx.table(spark, d, "part")
-        .where(F.col("p_partkey") % 40 == 0)
-        .select(content_hash(fx.tagged("part ", F.floor(F.col("p_partkey") / 4))).alias("sha256"))
+        .select(
+            F.when(
+                F.col("p_partkey") % 40 == 0,
+                content_hash(fx.tagged("part ", F.floor(F.col("p_partkey") / 4))),
+            )
+            .otherwise(content_hash(fx.tagged("other ", "p_partkey")))
+            .alias("sha256")
+        )
     )
     return ingest.ingest_batch(
-        batch, lines.unionByName(lines_again), fx.registry(spark, d), store
+        batch,
+        lines.unionByName(lines_again),
+        fx.registry(spark, d),
+        store,
+        lambda _, rows: durable(rows),
     )
 
 
@@ -713,7 +725,7 @@ def find_by_keys(spark: SparkSession, d: str) -> DataFrame:
     wanted = fx.table(spark, d, "documents").select(
         keys.idempotency_key(
             F.lit("VS-1"),
-            fx.tagged("arc-", F.col("doc_id") % 40),
+            fx.tagged("arc-", F.expr("doc_id div 40")),
             fx.tagged("itm-", "doc_id"),
         ).alias("idempotency_key")
     )
@@ -724,7 +736,7 @@ def find_by_keys(spark: SparkSession, d: str) -> DataFrame:
 @query
 def find_by_key(spark: SparkSession, d: str) -> DataFrame:
     folded = state.fold_records(fx.record_log(spark, d))
-    found = state.find_by_key(folded, "ev:VS-1:arc-7:itm-7")
+    found = state.find_by_key(folded, "ev:VS-1:arc-1:itm-47")
     return found.select("idempotency_key", "status", F.col("attempt_count").cast("bigint"))
 
 
@@ -875,8 +887,7 @@ def progress_marks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reconcile_totals(spark: SparkSession, d: str) -> DataFrame:
-    held = fx.table(spark, d, "documents").where(F.col("doc_id") % 2 == 0)
-    return reconcile.reconcile_totals(fx.audit(spark, d), held)
+    return reconcile.reconcile_totals(fx.audit(spark, d), fx.table(spark, d, "documents"))
 
 
 @query
@@ -956,29 +967,33 @@ def _inputs_with(spark: SparkSession, d: str, refs: DataFrame) -> mg.MigrationIn
 
 
 def _inputs(spark: SparkSession, d: str) -> mg.MigrationInputs:
-    return _inputs_with(spark, d, fx.part_refs(spark, d))
+    return _inputs_with(spark, d, fx.part_refs_in_order(spark, d))
 
 
-def _lean_inputs(spark: SparkSession, d: str) -> mg.MigrationInputs:
-    """The same inputs with part references that are only ordered, not numbered."""
-    return _inputs_with(spark, d, fx.part_refs_in_order(spark, d))
+def _dry_plan(spark: SparkSession, d: str) -> mg.MigrationPlan:
+    return mg.plan_migration(spark, _inputs(spark, d), fx.options(dry_run=True), keep=durable)
+
+
+def _deliver(spark: SparkSession, d: str) -> mg.Deliver:
+    """A target whose receipts are in the table of events."""
+    return lambda ready: fx.receipts(spark, d)
 
 
 @query
 def dry_run_events(spark: SparkSession, d: str) -> DataFrame:
-    plan = mg.plan_migration(spark, _lean_inputs(spark, d), fx.options(dry_run=True))
+    plan = _dry_plan(spark, d)
     return plan.audit.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def dry_run_archive_summary(spark: SparkSession, d: str) -> DataFrame:
-    plan = mg.plan_migration(spark, _lean_inputs(spark, d), fx.options(dry_run=True))
+    plan = _dry_plan(spark, d)
     return report.archive_summary(plan.audit)
 
 
 @query
 def dry_run_error_payloads(spark: SparkSession, d: str) -> DataFrame:
-    plan = mg.plan_migration(spark, _lean_inputs(spark, d), fx.options(dry_run=True))
+    plan = _dry_plan(spark, d)
     failed = au.error_events(plan.audit)
     return failed.select(
         "item_id",
@@ -993,19 +1008,79 @@ def _summary(summary: DataFrame) -> DataFrame:
 
 @query
 def migration_run(spark: SparkSession, d: str) -> DataFrame:
-    """A full run with delivery to an empty target."""
+    """A full run up to the target's receipts; items without a receipt stay pending."""
     store = scratch_path(spark, "run")
-    return _summary(mg.run_migration(spark, _inputs(spark, d), fx.options(), store))
+    deliver = _deliver(spark, d)
+    return _summary(mg.run_migration(spark, _inputs(spark, d), fx.options(), store, deliver))
 
 
 @query
 def migration_resume(spark: SparkSession, d: str) -> DataFrame:
     """The second run over the same store: what was delivered is found by its key."""
     store = scratch_path(spark, "resume")
-    inputs = _inputs(spark, d)
-    mg.run_migration(spark, inputs, fx.options(), store)
+    inputs, deliver = _inputs(spark, d), _deliver(spark, d)
+    mg.run_migration(spark, inputs, fx.options(), store, deliver)
     second = replace(fx.options(), run_id="run-second")
-    return _summary(mg.run_migration(spark, inputs, second, store))
+    return _summary(mg.run_migration(spark, inputs, second, store, deliver))
+
+
+@query
+def resume_same_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run, repeated under its id with a narrower filter, then in full.
+
+    Nothing delivered is lost or delivered again: the records say so after each step.
+    """
+    store = scratch_path(spark, "same-run")
+    inputs, deliver = _inputs(spark, d), _deliver(spark, d)
+    narrow = replace(fx.options(), filters=MigrationFilters(folder_path="inbox"))
+    steps = []
+    for n, options in enumerate((fx.options(), narrow, fx.options())):
+        summary = mg.run_migration(spark, inputs, options, store, deliver)
+        records = mg.records_of(spark, store)
+        assert records is not None
+        good = state.fold_records(records).where("status = 'Migrated'")
+        outcome = ("migrated", "already_present", "skipped", "failed", "total_items")
+        step = summary.select(F.lit(n).alias("step"), *outcome)
+        steps.append(durable(step.withColumn("delivered", good.agg(F.count("*")).scalar())))
+        if n == 0:
+            mg.compact_store(spark, store)
+    return steps[0].union(steps[1]).union(steps[2])
+
+
+@query
+def run_retry_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of a run that are worth another try, as written beside its records."""
+    store = scratch_path(spark, "retries")
+    execution = mg.start_run(spark, _inputs(spark, d), fx.options(), store)
+    mg.migrate_batch(execution, _inputs(spark, d))
+    mg.apply_delivery(execution, fx.receipts(spark, d))
+    queue = spark.read.parquet(execution.path("retry_queue"))
+    return queue.select("idempotency_key", "attempts", text_time("due_at_utc").alias("due_at"))
+
+
+@query
+def own_run_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Progress and rate of an own run of thirteen batches: the last checkpoint holds the
+    running total, and the delivered items lie at their receipts' minutes."""
+    store = scratch_path(spark, "own-run")
+    inputs, options = _inputs(spark, d), fx.options()
+    execution = mg.start_run(spark, inputs, options, store)
+    for n in range(12):
+        archive = F.substring_index("archive_id", "-", -1).cast("bigint")
+        mine = inputs.items.where(archive % 12 == n)
+        mg.migrate_batch(execution, replace(inputs, items=mine), f"part-{n}")
+    mg.apply_delivery(execution, fx.receipts(spark, d))
+    marks = readers.read_checkpoints(spark, execution.path("checkpoints"), fx.RUN_ID)
+    last = state.latest_checkpoint(marks).select(
+        F.lit("checkpoint").alias("what"),
+        "phase",
+        payload_long(F.col("metadata"), "processedCount").alias("n"),
+    )
+    minutes = au.ingest_histogram(mg.audit_of(execution).drop("batch_id"))
+    rate = minutes.select(
+        F.lit("rate").alias("what"), text_time("minute").alias("phase"), F.col("ingested").alias("n")
+    )
+    return last.union(rate)
 
 
 @query
@@ -1033,6 +1108,22 @@ def outbox_messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def outbox_long_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Items with thousands of parts: one message each, all parts in order."""
+    items, checked = fx.long_lists(spark, d)
+    store = scratch_path(spark, "outbox-long")
+    messages = build_messages(items, rh.assemble_parts(checked), fx.options())
+    writers.write_outbox(messages, store, "0")
+    fields = "idempotencyKey string, content struct<parts: array<struct<partId: string>>>"
+    body = spark.read.text(store).select(F.from_json("value", fields).alias("m"))
+    return body.select(
+        F.col("m.idempotencyKey").alias("idempotency_key"),
+        F.size("m.content.parts").cast("bigint").alias("n_parts"),
+        F.sha2(F.array_join("m.content.parts.partId", ","), 256).alias("parts_sha256"),
+    )
+
+
 @query
 def audit_csv_export(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "audit-csv")
@@ -1080,6 +1171,7 @@ def target_registry(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_migration(spark: SparkSession, d: str) -> DataFrame:
+    """Items and receipts that arrive in several micro-batches."""
     root = scratch_path(spark, "stream-run")
     summary = jobs.stream_migration(
         spark,
@@ -1088,25 +1180,37 @@ def stream_migration(spark: SparkSession, d: str) -> DataFrame:
         fx.options(),
         f"{root}/store",
         f"{root}/checkpoint",
+        fx.receipts(spark, d, fx.stream),
     )
     return _summary(summary)
 
 
+@query
+def stream_restart(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that is stopped after the items and started again for the receipts."""
+    root = scratch_path(spark, "stream-restart")
+    inputs, options = _inputs(spark, d), fx.options()
+    arrivals, receipts = fx.items(spark, d, fx.stream), fx.receipts(spark, d, fx.stream)
+    at = (f"{root}/store", f"{root}/checkpoint")
+    jobs.stream_migration(spark, arrivals, inputs, options, *at)
+    return _summary(jobs.stream_migration(spark, arrivals, inputs, options, *at, receipts))
+
+
 @query
 def stream_checkpoints(spark: SparkSession, d: str) -> DataFrame:
-    """Progress rows of a dry streaming run, summed over its micro-batches."""
+    """Progress rows of a dry streaming run: the newest holds the running total."""
     root = scratch_path(spark, "stream-marks")
     jobs.stream_migration(
         spark,
         fx.items(spark, d, fx.stream),
-        _lean_inputs(spark, d),
+        _inputs(spark, d),
         fx.options(dry_run=True),
         f"{root}/store",
         f"{root}/checkpoint",
     )
     marks = readers.read_checkpoints(spark, f"{root}/store/checkpoints", fx.RUN_ID)
-    return marks.groupBy("run_id").agg(
-        F.sum(payload_long(F.col("metadata"), "processedCount")).alias("processed")
+    return state.latest_checkpoint(marks).select(
+        "run_id", "phase", payload_long(F.col("metadata"), "processedCount").alias("processed")
     )
 
 
@@ -1138,13 +1242,33 @@ def stream_dedup_keys(spark: SparkSession, d: str) -> DataFrame:
     return firsts.select("idempotency_key", F.col("attempt_order.event_id").alias("event_id"))
 
 
+@query
+def stream_dedup_watermark(spark: SparkSession, d: str) -> DataFrame:
+    """First row per key, state dropped a day after: keys here never repeat later than that."""
+    root = scratch_path(spark, "stream-watermark")
+    keyed = fx.attempts(spark, d, fx.stream).select("idempotency_key", "at_utc")
+    firsts = jobs.dedup_within_watermark(keyed, "at_utc", "1 day")
+    out = f"{root}/keys"
+    jobs.drain(
+        firsts,
+        lambda batch, n: batch.write.mode("append").parquet(out),
+        f"{root}/checkpoint",
+    )
+    rows = spark.read.schema(firsts.schema).parquet(out)
+    return rows.groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def status_tracker(spark: SparkSession, d: str) -> DataFrame:
+    """Status, changes and illegal moves per key of a status stream."""
     root = scratch_path(spark, "stream-status")
-    tracked = jobs.status_tracker(
-        fx.status_history(spark, d, fx.stream), ["at_utc", "event_id"]
+    return jobs.track_status(
+        spark,
+        fx.status_history(spark, d, fx.stream),
+        ["at_utc", "event_id"],
+        f"{root}/status",
+        f"{root}/checkpoint",
     )
-    return jobs.upsert_stream(tracked, ["key"], f"{root}/status", f"{root}/checkpoint")
 
 
 FLAGSHIP = "dry_run_archive_summary"

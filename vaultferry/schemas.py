@@ -105,6 +105,37 @@ RECEIPTS = _schema(
     ("at_utc", _TS, True),
 )
 
+# What a run's store holds beside the tables above.
+COMMITS = _schema(
+    ("batch_id", _S, False),
+    ("run_id", _S, False),
+    ("execution", _S, False),
+    ("kind", _S, False),
+    ("name", _S, False),
+    ("at_utc", _TS, False),
+)
+COMPACTED = _schema(
+    ("number", T.IntegerType(), False), ("folder", _S, False), ("batch_id", _S, False)
+)
+VERIFIED = _schema(
+    ("part_id", _S, False),
+    ("sha256", _S, True),
+    ("stored_sha256", _S, True),
+    ("size_bytes", _L, True),
+    ("error", _S, True),
+)
+# The columns of a classified item that its delivery needs.
+CLASSIFIED = _schema(
+    ("item_id", _S, False),
+    ("archive_id", _S, False),
+    ("target_archive", _S, True),
+    ("idempotency_key", _S, True),
+    ("outcome", _S, False),
+    ("error_code", _S, True),
+    ("error_pos", _L, True),
+    ("exception", _S, True),
+    ("event_type", _S, False),
+)
 
 
 def with_batch(schema: T.StructType) -> T.StructType:

@@ -18,8 +18,6 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
-    # Batch ids and run ids in folder names are text.
-    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # Parquet files shrink several times; judge broadcast sizes by the unpacked size.
     "spark.sql.sources.fileCompressionFactor": "4.0",
 }

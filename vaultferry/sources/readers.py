@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,23 +88,19 @@ def blob_hashes(blobs: DataFrame) -> DataFrame:
     )
 
 
-def read_blobs(spark: SparkSession, directory: str, find_empty: bool = False) -> DataFrame:
+def read_blobs(spark: SparkSession, directory: str, listing: DataFrame) -> DataFrame:
     """Hash and size of every ``<part_id>.bin`` file in a folder.
 
-    Spark's file scan leaves out files without bytes. ``find_empty`` adds them from the file
-    listing, which the driver holds for any scan; for very many blobs keep (part_id, content)
-    tables instead and use ``blob_hashes``.
+    Spark's file scan leaves out files without bytes, so the store's ``listing`` (part_id,
+    length) is needed: an empty blob is in it with length 0, a missing one is not. Without a
+    listing keep (part_id, content) tables and use ``blob_hashes``.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(directory)
     named = files.select(
         F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("part_id"), F.col("content")
     )
-    found = blob_hashes(named)
-    if not find_empty:
-        return found
-    listed = [(unquote(path.rsplit("/", 1)[-1]).removesuffix(".bin"),) for path in files.inputFiles()]
-    empty = spark.createDataFrame(listed, "part_id string").join(found, "part_id", "left_anti")
-    return found.unionByName(blob_hashes(empty.withColumn("content", F.lit("").cast("binary"))))
+    empty = listing.where("length = 0").select("part_id", F.lit("").cast("binary").alias("content"))
+    return blob_hashes(named.unionByName(empty))
 
 
 IDENTITY_DOCUMENT = "mappings array<struct<upn: string, targetArchiveId: string>>"
