@@ -18,7 +18,10 @@ SKIPPED = ("SkippedByFilter", "Orphaned", "LegalHoldRetain")
 
 
 def scope_rules(filters: MigrationFilters) -> list[tuple[str, Column]]:
-    """(reason, rule that leaves an item out) for each filter that is set, in order."""
+    """(reason, rule that leaves an item out) for each filter that is set, in order.
+
+    A rule is null for a missing value; that leaves the item out too.
+    """
     rules: list[tuple[str, Column]] = []
     if filters.archive_id is not None:
         rules.append(
@@ -40,8 +43,7 @@ def scope_rules(filters: MigrationFilters) -> list[tuple[str, Column]]:
         wanted = ignore_case(F.lit(filters.retention_category))
         same = ignore_case(F.col("retention_category")) == wanted
         rules.append(("RetentionCategory filter not matched.", ~same))
-    # A value that is missing does not match.
-    return [(reason, F.coalesce(rule, F.lit(True))) for reason, rule in rules]
+    return rules
 
 
 def in_scope(items: DataFrame, filters: MigrationFilters) -> DataFrame:
@@ -63,7 +65,7 @@ def decide(
     hold = F.col("legal_hold")
     ownerless = (F.col("type") == "Mailbox") & F.col("owner_upn").isNull()
     cascade = [
-        *[("SkippedByFilter", why, rule) for why, rule in scope_rules(filters)],
+        *[("SkippedByFilter", why, F.coalesce(r, F.lit(True))) for why, r in scope_rules(filters)],
         *[("SkippedByFilter", why, rule) for why, rule in extra_rules],
         (
             "LegalHoldRetain",

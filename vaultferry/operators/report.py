@@ -49,9 +49,11 @@ def run_counters(events: DataFrame) -> DataFrame:
 def run_summary(events: DataFrame, latest: bool = False) -> DataFrame:
     """One row per run: start, finish and the counters its RunCompleted event carries.
 
-    A run that was repeated reports its first completion, or with ``latest`` its last.
+    A run that was repeated reports its first completion, or with ``latest`` its last; of
+    completions at one time, the last is the one that saw and delivered more items.
     """
     pick_by, pick_time = (F.max_by, F.max) if latest else (F.min_by, F.min)
+    seen = [payload_long(F.col("payload"), c) for c in ("totalItems", "migrated")] if latest else []
     done = F.when(_is("RunCompleted"), F.col("timestamp_utc"))
     picked = (
         events.where(_is("RunStarted", "RunCompleted"))
@@ -60,7 +62,7 @@ def run_summary(events: DataFrame, latest: bool = False) -> DataFrame:
             F.min(F.when(_is("RunStarted"), F.col("timestamp_utc"))).alias("started_at_utc"),
             pick_time(done).alias("finished_at_utc"),
             pick_by(
-                "payload", F.when(_is("RunCompleted"), F.struct("timestamp_utc", "id"))
+                "payload", F.when(_is("RunCompleted"), F.struct("timestamp_utc", *seen, "id"))
             ).alias("_payload"),
         )
     )
