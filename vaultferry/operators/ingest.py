@@ -20,7 +20,7 @@ def delivered_keys(records: DataFrame) -> DataFrame:
 def flag_delivered(items: DataFrame, records: DataFrame) -> DataFrame:
     """Add already_delivered: the key has a record that ended well."""
     done = delivered_keys(records).withColumn("_done", F.lit(True))
-    joined = lookup_join(items, done, ["idempotency_key"], "left", [F.col("item_id")], salts=2)
+    joined = lookup_join(items, done, ["idempotency_key"], "left", [F.col("item_id")], salts=1)
     return joined.withColumn("already_delivered", F.col("_done").isNotNull()).drop("_done")
 
 
@@ -121,7 +121,7 @@ def ingest_batch(
         )
     accepted = winners.where(F.col("held_target_id").isNull()).select("idempotency_key", "seq")
     accepted_parts = lookup_join(
-        parts, accepted, ["idempotency_key", "seq"], "left_semi", [F.col("pos")]
+        parts, accepted, ["idempotency_key", "seq"], "left_semi", [F.col("pos")], salts=1
     )
     uses = keep("part_store", first_part_uses(accepted_parts, part_store))
     rollup = part_rollup(parts, uses, accepted)
@@ -157,6 +157,7 @@ def ingest_batch(
         ["idempotency_key"],
         "inner",
         [F.col("seq")],
+        salts=1,
     )
     receipts = answered.select(
         "idempotency_key",
@@ -176,4 +177,4 @@ def apply_receipts(items: DataFrame, results: DataFrame) -> DataFrame:
     """
     final = results.select("idempotency_key", "ingest_status", "target_id", "error_code")
     final = final.withColumnRenamed("error_code", "delivery_error")
-    return lookup_join(items, final, ["idempotency_key"], "left", [F.col("item_id")], salts=2)
+    return lookup_join(items, final, ["idempotency_key"], "left", [F.col("item_id")], salts=1)

@@ -28,7 +28,8 @@ def lookup_join(
     Rows of a hot key go to ``salts`` reducers, picked by the ``spread`` columns, and the
     lookup rows are repeated once per salt. The salted lookup always needs its own
     exchange, so adaptive execution can split what is still too large, or send a lookup
-    found to be small at run time to all executors. No size is assumed here.
+    found to be small at run time to all executors. No size is assumed here. Where a key has
+    few facts, as an item or a message key, ``salts=1`` keeps the lookup from being copied.
     Facts without a key cannot match and are spread over all reducers.
     """
     keys = list(on)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,21 +10,26 @@ def target_stats(
     registry: DataFrame, part_store: DataFrame, attempts: DataFrame | None = None
 ) -> DataFrame:
     """One row: items and parts the target holds, items with a known part, refused deliveries."""
-    held = registry.agg(
-        F.count(F.lit(1)).alias("total_ingested"),
-        F.count_if("deduped").alias("deduped_parts"),
-    )
-    unique = part_store.agg(F.count_distinct("sha256")).scalar()
-    stats = held.withColumn("unique_parts", unique)
-    if attempts is None:
+    names = ("total_ingested", "deduped_parts", "unique_parts", "rejected_429", "transient_503")
+
+    def counted(rows: DataFrame, **flags: Column) -> DataFrame:
         zero = F.lit(0).cast("bigint")
-        return stats.withColumns({"rejected_429": zero, "transient_503": zero})
-    return stats.withColumns(
-        {
-            "rejected_429": attempts.agg(F.count_if(F.col("http_status") == 429)).scalar(),
-            "transient_503": attempts.agg(F.count_if(F.col("http_status") == 503)).scalar(),
-        }
-    )
+        return rows.select(
+            *[flags[c].cast("bigint").alias(c) if c in flags else zero.alias(c) for c in names]
+        )
+
+    # Each table is read once; its rows carry the counters they raise.
+    rows = counted(
+        registry,
+        total_ingested=F.lit(1),
+        deduped_parts=F.coalesce(F.col("deduped"), F.lit(False)),
+    ).unionByName(counted(part_store.select("sha256").distinct(), unique_parts=F.lit(1)))
+    if attempts is not None:
+        status = F.coalesce("http_status", F.lit(0))
+        rows = rows.unionByName(
+            counted(attempts, rejected_429=status == 429, transient_503=status == 503)
+        )
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names])
 
 
 def ingested_by_target(registry: DataFrame) -> DataFrame:

@@ -118,17 +118,25 @@ def run_list(events: DataFrame) -> DataFrame:
 
 def run_detail(events: DataFrame) -> DataFrame:
     """Run list with the summary of the runs that are completed."""
+    done = F.when(_is("RunCompleted"), F.struct("timestamp_utc", "id"))
+    picked = (
+        run_events(events)
+        .groupBy("run_id")
+        .agg(
+            F.max_by("status", _moment()).alias("status"),
+            F.min(F.when(_is("RunStarted"), F.col("timestamp_utc"))).alias("started_at_utc"),
+            F.min(F.when(_is("RunCompleted"), F.col("timestamp_utc"))).alias("finished_at_utc"),
+            F.min_by("payload", done).alias("_payload"),
+        )
+    )
     completed = F.col("status") == "Completed"
-    summary = run_summary(events).drop("started_at_utc")
-    joined = run_list(events).join(summary, "run_id", "left")
-    return joined.select(
+    counters = [payload_long(F.col("_payload"), p).alias(c) for c, p in COUNTERS.items()]
+    counted = picked.select("run_id", "status", "started_at_utc", "finished_at_utc", *counters)
+    return counted.select(
         "run_id",
         "status",
         "started_at_utc",
-        *[
-            F.when(completed, F.col(c)).alias(c)
-            for c in ("finished_at_utc", *COUNTERS)
-        ],
+        *[F.when(completed, F.col(c)).alias(c) for c in ("finished_at_utc", *COUNTERS)],
     )
 
 

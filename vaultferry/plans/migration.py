@@ -80,7 +80,7 @@ def wanted_refs(inputs: MigrationInputs, wanted: DataFrame) -> DataFrame:
     if inputs.refs is None:
         return part_refs(wanted)
     return lookup_join(
-        inputs.refs, wanted.select("item_id"), ["item_id"], "left_semi", [F.col("pos")]
+        inputs.refs, wanted.select("item_id"), ["item_id"], "left_semi", [F.col("pos")], salts=1
     )
 
 
