@@ -3,6 +3,8 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tests.llm.cases import awkward, documents, prose
 from vaultferry.llm import near_dedup as nd
@@ -60,7 +62,9 @@ def variants(base, n, edits, first):
     return out
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [nd.BLOCK, 8])
+def test_groups_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
     rows = awkward()
     rows += [(100 + n, " ".join(prose(1, 60))) for n in range(30)]  # exact copies
     rows += variants(prose(2, 160), 40, 2, 200)  # star-shaped: two edits each
@@ -82,6 +86,34 @@ def test_empty_table(spark):
     assert nd.near_duplicates(documents(spark, []), 85).collect() == []
 
 
+@pytest.mark.parametrize("columns", [nd.COLUMNS, 7])
+def test_blocks_equal_brute_force(monkeypatch, columns):
+    """Exactly one link for each pair of groups that has any, and only true ones."""
+    monkeypatch.setattr(nd, "COLUMNS", columns)
+    rows = variants(prose(7, 90), 30, 1, 0) + variants(prose(7, 90), 10, 4, 100) + [(200, "a b")]
+    outer = [n % 3 == 0 for n in range(len(rows))]
+    classes = [i // 2 for i, _ in rows]
+    table = pa.table(
+        {"outer": outer, "id": [i for i, _ in rows], "class": classes, "text": [t for _, t in rows]}
+    )
+    got = nd._block_links(table, 80).to_pylist()
+    sets = {i: shingles(t) for i, t in rows}
+    group = dict(zip(sets, classes))
+
+    def linked(a, b):
+        x, y = sets[a], sets[b]
+        return group[a] != group[b] and 100 * len(x & y) >= 80 * len(x | y)
+
+    want = {
+        frozenset((group[a], group[b]))
+        for (a, _), o in zip(rows, outer)
+        for (b, _), p in zip(rows, outer)
+        if o and not p and linked(a, b)
+    }
+    assert want and all(linked(r["a"], r["b"]) for r in got)
+    assert sorted(map(sorted, want)) == sorted(sorted((group[r["a"]], group[r["b"]])) for r in got)
+
+
 def test_signature_is_the_smallest_offer():
     """Against SuperMinHash written as its definition says: one element after the other."""
     rng = np.random.default_rng(3)

@@ -193,6 +193,62 @@ select doc_id, shard from documents join slots on slot =
   ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint % {SLOTS}
 """
 
+def _shared(level: int, before: str) -> str:
+    """One level of the budget tree: children share what the level above gave their parent."""
+    levels = ("domain", "lang", "source")
+    names = ", ".join(levels[: level + 1])
+    above = ", ".join(levels[:level])
+    weights = "".join(f" when '{k}' then {v}" for k, v in MIX.weights[level].items())
+    weight = f"(case {levels[level]}{weights} else 1.0 end)::double" if weights else "1.0::double"
+    by = f"partition by {above} " if above else ""
+    order = f"{by}order by cap / weight, {levels[level]}"
+    join = f"join b{before} using ({above})" if above else f"cross join b{before}"
+    return f"""
+c{level} as (select {names}, sum(total * {MIX.epochs})::double as cap, {weight} as weight
+  from leaf group by {names}),
+r{level} as (select *, (budget - coalesce(sum(cap) over (
+    {order} rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over ({order} rows between current row and unbounded following) as rate
+  from c{level} {join}),
+b{level} as (select {names}, greatest(coalesce(least(cap, weight
+  * max(case when cap > rate * weight then rate end) over ({by})), cap), 0) as budget
+  from r{level})"""
+
+
+MIX_SQL = f"""
+with t as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    {list(DOMAINS)}[coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as int), 0)
+      % {len(DOMAINS)} + 1] as domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0b]+')) as n_tokens,
+    coalesce(doc_id::varchar, md5(coalesce(text, ''))) as key
+  from documents
+), leaf as (select domain, lang, source, sum(n_tokens) as total from t group by all),
+b as (select sum(total * {MIX.epochs}) / {MIX.epochs} * {MIX.share}::double as budget from leaf),
+{_shared(0, "")}, {_shared(1, "0")}, {_shared(2, "1")},
+q as (
+  select domain, lang, source, total::bigint as total, floor(round(budget, 3))::bigint as quota
+  from b2 join leaf using (domain, lang, source)
+), f as (
+  select *, if(total > 0, quota // total, 0) as reads,
+    quota - if(total > 0, quota // total, 0) * total as rest from q
+), p as (
+  select t.*, reads, rest,
+    ('0x' || substr(md5('{MIX.seed}:' || reads || ':' || key), 1, 15))::bigint as place
+  from t join f using (domain, lang, source)
+), o as (
+  select *, sum(n_tokens) over (partition by domain, lang, source order by place) - n_tokens
+    as start from p
+)
+select doc_id, domain, lang, source, epoch::integer as epoch, n_tokens::integer as n_tokens,
+  n_tokens::integer as tokens_taken
+from o, unnest(range(0, reads)) as e(epoch)
+union all
+select doc_id, domain, lang, source, reads::integer, n_tokens::integer,
+  least(n_tokens, rest - start)::integer
+from o where start < rest
+"""
+
 COPIES_SQL = """
 with t as (select doc_id, coalesce(text, '') as text from documents),
 g as (select text, max(doc_id) as keep_id, count(*) as group_size from t group by text)
@@ -233,6 +289,7 @@ select conv_id, row_number() over (partition by conv_id order by turn) - 1 as po
 
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": OVERLAP_SQL,
+    "op2_mixing": MIX_SQL,
     "op6_sharding": SHARD_SQL,
     "op8_chat_formatting": CHAT_SQL,
     "op9_exact_dedup": COPIES_SQL,
