@@ -1,7 +1,8 @@
 """Near-duplicate grouping with SuperMinHash signatures.
 
 Steps: one signature per text, one vertex per distinct shingle set, banding, exact
-verification against a bucket's centre, union-find, then the pairs the centres left open.
+verification against a bucket's centre, union-find, then an exact comparison, in blocks, of
+the members that their bucket's centre left outside its largest group.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultferry.llm.graph import components
@@ -22,11 +23,10 @@ SHINGLE = 5
 ROWS = 7
 BANDS = 36
 SLOTS = ROWS * BANDS  # below 256: a permutation fits in bytes
-CHUNK = 150_000  # shingles that one numpy step handles
-MEMO = 1_000_000  # distinct words remembered per task
-# Open pairs that are tested at once, per vertex of the open buckets.
-OPEN_PAIRS = 8
-PIVOT_ROUNDS = 4
+CHUNK = 100_000  # shingles that one numpy step handles
+MEMO = 500_000  # distinct words remembered per task
+BLOCK = 256  # members of an open bucket that are compared with as many others at once
+COLUMNS = 4096  # shingles that one matrix product covers
 
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 
@@ -203,42 +203,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "vertices",
     )
     spread = vertices.select("vertex", F.explode("bands").alias("bucket"))
+    # Another centre in each bucket: members of a large group are tested against several.
+    drawn = F.struct(F.xxhash64("bucket", "vertex").alias("draw"), "vertex")
     shared = (
         spread.groupBy("bucket")
-        .agg(F.min("vertex").alias("centre"), F.max("vertex").alias("last"))
-        .where("centre < last")
+        .agg(F.min(drawn)["vertex"].alias("centre"), F.count("*").alias("size"))
+        .where("size > 1")
         .select("bucket", "centre")
     )
     members = stored(spread.join(shared, "bucket"), "members")
-    first = members.select(F.col("centre").alias("a"), F.col("vertex").alias("b"))
-    tested = stored(
-        verified(docs, stored(first.where("a < b").distinct(), "pairs")), "tested"
+    first = members.where("centre <> vertex").select(
+        F.least("centre", "vertex").alias("a"), F.greatest("centre", "vertex").alias("b")
     )
+    tested = stored(verified(docs, stored(first.distinct(), "pairs")), "tested")
     is_link = F.expr(f"100 * common >= {int(percent)} * together")
     # Rows that repeat a doc_id with another text tie their sets together.
     copies = usable.groupBy("doc_id").agg(
         F.min("set_key").alias("k1"), F.max("set_key").alias("k2")
     )
-    ties = (
-        copies.where("k1 <> k2")
-        .select("doc_id")
-        .join(usable, "doc_id")
-        .join(vertices.select("set_key", "vertex"), "set_key")
-        .select(F.col("doc_id").alias("a"), F.col("vertex").alias("b"))
-    )
-    links = tested.where(is_link).select("a", "b").union(ties)
+    doubled = stored(copies.where("k1 <> k2").select("doc_id"), "doubled")
+    links = tested.where(is_link).select("a", "b")
+    if not doubled.isEmpty():
+        own = usable.join(doubled, "doc_id").join(vertices.select("set_key", "vertex"), "set_key")
+        links = links.union(own.select(F.col("doc_id").alias("a"), F.col("vertex").alias("b")))
     groups = components(links)
-    for turn in range(PIVOT_ROUNDS + 1):
-        more = _open_pairs(members, tested, groups, percent, turn)
-        if more is None:
-            break
-        checked = stored(verified(docs, more), "tested")
-        tested = tested.union(checked)
-        found = checked.where(is_link).select("a", "b")
-        if not found.isEmpty():
-            groups = components(
-                groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)
-            )
+    found = stored(_open_links(docs, members, groups, percent), "open-links")
+    if not found.isEmpty():
+        groups = components(
+            groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)
+        )
     vertex_of = vertices.select("set_key", "vertex")
     named = groups.select(F.col("node").alias("vertex"), "component")
     classes = vertex_of.join(named, "vertex", "left").select(
@@ -258,67 +251,91 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def _open_pairs(
-    members: DataFrame, tested: DataFrame, groups: DataFrame, percent: int, turn: int
-) -> DataFrame | None:
-    """Pairs of one bucket that lie in different groups and were not tested; null when none.
+def _open_links(
+    docs: DataFrame, members: DataFrame, groups: DataFrame, percent: int
+) -> DataFrame:
+    """Links between members of one bucket that are in different groups so far.
 
-    Jaccard distance is a metric: with both distances to the bucket's centre known, a pair
-    whose distances differ by more than the limit cannot be a link and is left out.
-    While the pairs outnumber ``OPEN_PAIRS`` per member, each bucket tests one more pivot
-    from outside its largest group against all its members, which merges groups or proves
-    them apart; after ``PIVOT_ROUNDS`` all pairs that are left are tested.
+    Members outside the largest group of their bucket are compared with all its members.
+    Both sides are dealt into blocks, and each pair of blocks is a task's work: counts come
+    from a matrix product over the shingles the two blocks share, and only one link per
+    pair of groups leaves the task, so no list of pairs is ever made, however large a
+    bucket is.
     """
-    near = tested.select(
-        F.col("a").alias("centre"),
-        F.col("b").alias("vertex"),
-        (F.col("common") / F.col("together")).alias("near"),
-    )
     labelled = members.join(groups.withColumnRenamed("node", "vertex"), "vertex", "left").select(
-        "bucket", "centre", "vertex", F.coalesce("component", "vertex").alias("class")
+        "bucket", "vertex", F.coalesce("component", "vertex").alias("class")
     )
-    mixed_up = (
-        labelled.groupBy("bucket")
-        .agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("size"))
-        .where("c1 < c2 and size > 2")
-        .select("bucket")
+    by_class = labelled.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    open_buckets = (
+        by_class.groupBy("bucket")
+        .agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("size"))
+        .where("top.n < size and size > 2")
+        .select(
+            "bucket",
+            F.col("top.class").alias("main"),
+            F.ceil(F.col("size") / BLOCK).alias("blocks"),
+            F.ceil((F.col("size") - F.col("top.n")) / BLOCK).alias("outer_blocks"),
+        )
     )
-    rows = stored(
-        labelled.join(mixed_up, "bucket")
-        .join(near, ["centre", "vertex"], "left")
-        .withColumn("near", F.coalesce("near", F.lit(1.0))),
-        "open",
+    rows = stored(labelled.join(open_buckets, "bucket"), "open")
+    named = stored(rows.select(F.col("vertex").alias("named")).distinct(), "named")
+    texts = restrict(docs.select(F.col("doc_id").alias("id"), "text"), named, "id", True)
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("vertex"), F.col(n))
+
+    outside = rows.where("class <> main").select(
+        "bucket", "vertex", "class", F.lit(True).alias("outer"),
+        block("outer_blocks").alias("i"), every("blocks").alias("j"),
     )
-    by_class = rows.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    sums = by_class.groupBy("bucket").agg(
-        F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares")
+    inside = rows.select(
+        "bucket", "vertex", "class", F.lit(False).alias("outer"),
+        every("outer_blocks").alias("i"), block("blocks").alias("j"),
     )
-    total = sums.agg(F.sum(F.expr("(all * all - squares) / 2")).alias("pairs")).first()["pairs"]
-    if not total:
-        return None
-    x = rows.select("bucket", F.col("vertex").alias("a"), F.col("class").alias("ca"),
-                    F.col("near").alias("na"))
-    if turn < PIVOT_ROUNDS and total > OPEN_PAIRS * rows.count() + 100_000:
-        largest = by_class.groupBy("bucket").agg(
-            F.max(F.struct("n", "class"))["class"].alias("class")
-        )
-        outside = rows.join(largest, ["bucket", "class"], "left_anti")
-        x = outside.groupBy("bucket").agg(
-            F.min_by(F.struct("vertex", "class", "near"),
-                     F.xxhash64("vertex", F.lit(turn))).alias("p")
-        ).select("bucket", F.col("p.vertex").alias("a"), F.col("p.class").alias("ca"),
-                 F.col("p.near").alias("na"))
-    y = rows.select("bucket", F.col("vertex").alias("b"), F.col("class").alias("cb"),
-                    F.col("near").alias("nb"))
-    limit = (100 - percent) / 100 + 1e-9
-    pairs = (
-        x.join(y, "bucket")
-        .where((F.col("ca") != F.col("cb")) & (F.abs(F.col("na") - F.col("nb")) <= limit))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    sides = outside.union(inside).withColumnRenamed("vertex", "id")
+    work = sides.join(texts, "id").select("bucket", "i", "j", "outer", "id", "class", "text")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        return _block_links(rows, percent)
+
+    return work.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """One link per pair of groups between the outer and the other rows of a pair of blocks."""
+    memo = _WordHashes()
+    outer = np.array(rows["outer"].to_pylist(), bool)
+    ids = rows["id"].to_numpy()
+    classes = rows["class"].to_numpy()
+    sets = [shingle_set(t, memo) for t in rows["text"].cast(pa.large_binary()).to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(
+        np.concatenate(sets), return_inverse=True, return_counts=True
     )
-    pairs = stored(pairs, "pairs")
-    if turn == PIVOT_ROUNDS or total <= OPEN_PAIRS * rows.count() + 100_000:
-        return None if pairs.isEmpty() else pairs
-    return pairs
+    shared = count[column] > 1  # a shingle of one text alone is in no intersection
+    owner, column = owner[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    place = np.empty(len(sets), np.int64)
+    place[outer], place[~outer] = np.arange(outer.sum()), np.arange((~outer).sum())
+    common = np.zeros((outer.sum(), (~outer).sum()), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        part = (column >= low) & (column < low + COLUMNS)
+        left, right = part & outer[owner], part & ~outer[owner]
+        a = np.zeros((common.shape[0], COLUMNS), np.float32)
+        b = np.zeros((common.shape[1], COLUMNS), np.float32)
+        a[place[owner[left]], column[left] - low] = 1
+        b[place[owner[right]], column[right] - low] = 1
+        common += a @ b.T
+    common = common.astype(np.int64)  # whole numbers far below 2**24 are exact
+    union = sizes[outer][:, None] + sizes[~outer][None, :] - common
+    linked = 100 * common >= percent * union
+    linked &= classes[outer][:, None] != classes[~outer][None, :]
+    x, y = np.nonzero(linked)
+    pairs = np.stack([classes[outer][x], classes[~outer][y]], axis=1)
+    _, first = np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)
+    a, b = ids[outer][x[first]], ids[~outer][y[first]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
