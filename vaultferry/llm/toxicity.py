@@ -27,7 +27,7 @@ BATCH = 64
 RATE = 0.02
 SPARSE = 0.4  # how strongly n-grams that explain little are drawn to zero
 LEAST = 5  # texts an n-gram must occur in
-SAMPLE_ROWS = 8000  # labelled rows at most that the model is fitted on
+SAMPLE_ROWS = 6000  # labelled rows at most that the model is fitted on
 EDGE = "\t\n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -46,7 +46,7 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     )
     points = points.astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     end = np.repeat(np.cumsum(sizes), sizes)
     rows, owners = [], []
     rolled = np.zeros(len(points), np.uint64)
@@ -55,7 +55,7 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rolled = rolled[:usable] * GOLDEN + points[n - 1 : n - 1 + usable] + np.uint64(1)
         if n in GRAMS:
             inside = np.arange(usable) + n <= end[:usable]
-            rows.append((mixed(rolled[inside]) % np.uint64(ROWS)).astype(np.int64))
+            rows.append((mixed(rolled[inside]) % np.uint64(ROWS)).astype(np.int32))
             owners.append(owner[:usable][inside])
     return np.concatenate(rows), np.concatenate(owners)
 
