@@ -32,6 +32,35 @@ def test_main_text(page, text):
     assert ht.main_text(page) == text
 
 
+SHARE, AD = "<div class=share>Share this</div>", f"<div class=ad>{BOX}</div>"
+HEAD, END = "<h1>Short title</h1>", "<p>Short end.</p>"
+STORY = f"Short title {LONG.strip()} Short end."
+CARD = "<article class=card><h3>Teaser</h3><p>A few words.</p></article>"
+TEASER = f"<article class=card><p>{LONG}</p></article>"
+
+WHOLE = [
+    (f"<div>{HEAD}{SHARE}<p>{LONG}</p>{AD}{END}</div>", STORY),
+    (f"<body>{HEAD}{SHARE}<p>{LONG}</p>{AD}{END}</body>", STORY),
+    (f"<div>{HEAD}<button>Play</button><div><p>{LONG}</p></div><svg></svg><div>{END}</div></div>", STORY),
+    (f"<div><div>{HEAD}</div>{AD}<div><p>{LONG}</p></div>{AD}<div>{END}</div></div>", STORY),
+    (f"<div>{HEAD}{AD}<p>Few words.</p>{AD}{END}</div>", "Short title Few words. Short end."),
+    # what lies outside the story's container needs a surge of its own
+    (f"<div><p>Menu</p><p>Shop</p></div>{AD}<div>{HEAD}{SHARE}<p>{LONG}</p>{AD}{END}</div>", STORY),
+    # the story is not in what is named an article
+    (f"<div>{HEAD}{AD}<p>{LONG}</p>{AD}{END}</div>{CARD}{CARD}", STORY),
+    (f"<div>{HEAD}<p>{LONG}</p>{CARD}{END}</div>", STORY),
+    (f"{TEASER}<div>{HEAD}<p>{LONG}{LONG}</p>{AD}{END}</div>", f"{LONG.strip()} Short title {LONG}{LONG.strip()} Short end."),
+    # it is
+    (f"<div><p>{LONG}</p></div><article>{HEAD}<p>{LONG}{LONG}</p></article>{CARD}", f"Short title {LONG}{LONG.strip()}"),
+    (f"<p>Few words.</p><article>{END}</article>", "Short end."),
+]
+
+
+@pytest.mark.parametrize("page,text", WHOLE)
+def test_no_block_of_the_story_is_lost(page, text):
+    assert ht.main_text(page) == text
+
+
 def test_window_sums():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 10, 57):

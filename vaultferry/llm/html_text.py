@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ BLOCKS = frozenset(
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu "
     "nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+# Elements that hold blocks of text: the story lies in one of them.
+CONTAINERS = frozenset("article center div main section table td th".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr keygen frame".split()
 )
@@ -71,35 +74,49 @@ def _is_around(name: str, rest: str, notes: bool) -> bool:
     return bool(HIDDEN_BY.search(rest))
 
 
-def lines_of(page: str, notes: bool = True) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, characters outside links, and whether an article holds it.
+@dataclass
+class Page:
+    """Lines of a page and the tree of its containers, numbered as they open; 0 is the page.
+
+    A line has its text, characters outside links, the number of its outermost article (0 if
+    it is in none) and its container.
+    """
+
+    lines: list[tuple[str, int, int, int]] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [0])
+    articles: list[bool] = field(default_factory=lambda: [False])
+
+
+def lines_of(page: str, notes: bool = True) -> Page:
+    """Lines of a page and their containers.
 
     Markup is stripped; a part around the article leaves empty lines, as many as a window
     is long, so that text on its two sides never meets in one window. Inside an article such
     a part is just left out. ``notes`` tells whether classes, ids and roles are regarded.
     """
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, around, article
+    found = Page()
+    lines = found.lines
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, around, article, container
     text: list[str] = []
     plain = 0
-    around = article = links = 0
+    around = article = links = holder = named = 0
 
     def close_line() -> None:
         nonlocal plain
         joined = SPACE.sub(" ", "".join(text)).strip()
         if joined:
-            lines.append((joined, plain, article > 0))
+            lines.append((joined, plain, named if article else 0, holder))
         text.clear()
         plain = 0
 
     def gap() -> None:
         close_line()
         if not article:
-            lines.extend([("", 0, False)] * WINDOW)
+            lines.extend([("", 0, 0, holder)] * WINDOW)
 
     def leave() -> str:
-        nonlocal around, article, links
-        name, was_around, was_article = stack.pop()
+        nonlocal around, article, links, holder
+        name, was_around, was_article, was_container = stack.pop()
         if was_around:
             text.clear()
             around -= 1
@@ -110,6 +127,9 @@ def lines_of(page: str, notes: bool = True) -> list[tuple[str, int, bool]]:
         if was_article:
             close_line()
             article -= 1
+        if was_container:
+            holder = found.parents[holder]
+        if was_article:
             gap()
         links -= name == "a"
         return name
@@ -154,18 +174,25 @@ def lines_of(page: str, notes: bool = True) -> list[tuple[str, int, bool]]:
         is_around = name not in ("html", "body") and _is_around(name, rest, notes)
         if is_article and not around:
             gap()
+            named += not article
             article += 1
         if is_around:
             if not around:
                 gap()
             around += 1
         links += name == "a"
-        stack.append((name, is_around, bool(is_article and not around)))
+        is_article = bool(is_article and not around)
+        is_container = not around and (name in CONTAINERS or is_article)
+        if is_container:
+            found.parents.append(holder)
+            found.articles.append(is_article)
+            holder = len(found.parents) - 1
+        stack.append((name, is_around, is_article, is_container))
     add(page[at:])
     while stack:
         leave()
     close_line()
-    return lines
+    return found
 
 
 def block_sums(weights: np.ndarray) -> np.ndarray:
@@ -202,22 +229,65 @@ def main_lines(weights: np.ndarray, used: np.ndarray) -> np.ndarray:
     return keep
 
 
+def story_lines(
+    page: Page, weights: np.ndarray, used: np.ndarray, within: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the lines to keep, and of those among them in the container of the surge.
+
+    The container of the surge is the innermost one with more than half of the text that
+    surges. Of its lines all that ``within`` marks are kept, whatever was left out between
+    them. The page itself, or a container around a surge of one wrapped line, also holds the
+    parts around the story: of these only their own blocks are kept, a wrapped line being one.
+    """
+    keep = main_lines(weights, used)
+    holders = np.array([h for _, _, _, h in page.lines], np.int64)
+    size = len(page.parents)
+    held = np.bincount(holders, weights * keep, size)
+    count = np.bincount(holders, used, size)
+    for h in range(size - 1, 0, -1):  # a container comes after the one around it
+        held[page.parents[h]] += held[h]
+        count[page.parents[h]] += count[h]
+    if not held[0]:
+        return keep, keep
+    home = int(np.flatnonzero(2 * held > held[0])[-1])
+    block = [h > 0 and count[h] == 1 and not page.articles[h] for h in range(size)]
+    whole = home > 0 and not block[home]
+    while block[home]:
+        home = page.parents[home]
+    inside = np.zeros(size, bool)
+    inside[home] = True
+    for h in range(home + 1, size):
+        inside[h] = inside[page.parents[h]] and (whole or block[h])
+    story = used & inside[holders] & (keep | within)
+    return keep | story, story
+
+
 def main_text(page: str) -> str:
     """Text of the article, its blocks joined by one space; empty if there is none.
 
-    Where the page names its article, only lines inside it count.
+    Where the page names its article, only lines inside it count, unless a longer surge lies
+    outside: then what is named so are teasers, which count only if they surge themselves.
     """
-    lines = lines_of(page)
-    used = np.array([bool(t) for t, _, _ in lines], bool)
+    found = lines_of(page)
+    used = np.array([bool(line[0]) for line in found.lines], bool)
     if not used.any():  # names that mark parts around an article mark everything here
-        lines = lines_of(page, notes=False)
-        used = np.array([bool(t) for t, _, _ in lines], bool)
-    inside = np.array([a for _, _, a in lines], bool)
-    if (used & inside).any():
-        used &= inside
-    weights = np.array([w for _, w, _ in lines], np.int64) * used
-    keep = main_lines(weights, used)
-    return " ".join(lines[i][0] for i in np.flatnonzero(keep))
+        found = lines_of(page, notes=False)
+        used = np.array([bool(line[0]) for line in found.lines], bool)
+        if not used.any():
+            return ""
+    plain = np.array([line[1] for line in found.lines], np.int64)
+    named = np.array([line[2] for line in found.lines], np.int64)
+    outside = used & (named == 0)
+    inside = used & (named > 0)
+    if inside.any() and outside.any():
+        _, story = story_lines(found, plain * outside, outside, outside)
+        surges = block_sums(plain * outside).max() >= SURGE
+        if not surges or (plain * story).sum() <= np.bincount(named, plain * inside).max():
+            used = outside = inside
+    elif inside.any():
+        outside = inside
+    keep, _ = story_lines(found, plain * used, used, outside)
+    return " ".join(found.lines[i][0] for i in np.flatnonzero(keep))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
