@@ -124,6 +124,25 @@ def test_long_conversation(spark):
     assert sorted((r.position, r.turn) for r in got) == [(n, n) for n in range(3000)]
 
 
+def test_rows_without_conversation_are_one(spark):
+    """So many of them that a range sort spreads them over partitions."""
+    messages = [(None, n, "user", "x" * (n % 7)) for n in range(3000)] + [(1, 5, "user", "z")]
+    calls = [(None, 40, "a", "add", ARGS, ["b"]), (None, 50, "b", "add", ARGS, None)]
+    results = [(None, 41, "a", "early"), (None, 60, "b", "6"), (1, 6, "b", "elsewhere")]
+    messages, calls, results = tables(spark, messages, calls, results)
+    got = chat.formatted(messages.repartition(8), calls, results, SCHEMAS).collect()
+    own = sorted((r for r in got if r.conv_id is None), key=lambda r: r.position)
+    assert [r.position for r in own] == list(range(3004))
+    assert [r.turn for r in own if r.kind == "message"] == list(range(3000))
+    linked = [(r.kind, r.call_id, r.state) for r in own if r.kind != "message"]
+    assert linked == [
+        ("call", "b", "answered"), ("call", "a", "answered"),
+        ("result", "a", "result"), ("result", "b", "result"),
+    ]
+    assert [r.position for r in got if r.conv_id == 1] in ([0, 1], [1, 0])
+    assert [r.state for r in got if r.conv_id == 1 and r.kind == "result"] == ["orphan"]
+
+
 def test_empty_tables(spark):
     assert chat.formatted(*tables(spark), SCHEMAS).collect() == []
 

@@ -90,13 +90,13 @@ def canonical(json: Column) -> Column:
 
 
 def linked(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hash-join results to calls by conversation and identifier.
+    """Hash-join results to calls by conversation (``conv``) and identifier.
 
     Of several calls with one identifier the earliest counts, of several results the
     earliest answers. Returns the calls with ``state`` (answered, unanswered or repeated)
     and the results with ``call_turn`` and ``state`` (result, orphan or repeated).
     """
-    keys = ["conv_id", "call_id"]
+    keys = ["conv", "call_id"]
     seen = calls.groupBy(*keys).agg(F.min("turn").alias("first_call"))
     answer = results.groupBy(*keys).agg(F.min("turn").alias("first_result"))
     named = calls.join(seen, keys, "left").join(answer, keys, "left")
@@ -131,13 +131,13 @@ def ordered_calls(calls: DataFrame) -> DataFrame:
     """
     rows = calls.withColumns({"ready": F.col("turn"), "step": F.lit(0)})
     needs = stored(
-        calls.select("conv_id", "call_id", "turn", F.explode_outer("after").alias("need"))
+        calls.select("conv", "call_id", "turn", F.explode_outer("after").alias("need"))
         .where("need is not null")
         .distinct(),
         "needs",
     )
     places = stored(
-        calls.groupBy("conv_id", "call_id").agg(
+        calls.groupBy("conv", "call_id").agg(
             F.min(F.struct(F.col("turn").alias("ready"), F.lit(0).alias("step"))).alias("place")
         ),
         "places",
@@ -145,18 +145,18 @@ def ordered_calls(calls: DataFrame) -> DataFrame:
     moved = None
     for _ in range(ROUNDS):
         there = places.select(
-            "conv_id", F.col("call_id").alias("need"), F.col("place").alias("needed")
+            "conv", F.col("call_id").alias("need"), F.col("place").alias("needed")
         )
-        own = places.select("conv_id", "call_id", "place")
+        own = places.select("conv", "call_id", "place")
         late = (
-            needs.select("conv_id", "call_id", "need")
-            .join(there, ["conv_id", "need"])
-            .groupBy("conv_id", "call_id")
+            needs.select("conv", "call_id", "need")
+            .join(there, ["conv", "need"])
+            .groupBy("conv", "call_id")
             .agg(F.max("needed").alias("needed"))
-            .join(own, ["conv_id", "call_id"])
+            .join(own, ["conv", "call_id"])
             .where(F.col("place") <= F.col("needed"))
             .select(
-                "conv_id",
+                "conv",
                 "call_id",
                 F.struct(
                     F.col("needed.ready").alias("ready"), (F.col("needed.step") + 1).alias("step")
@@ -168,18 +168,18 @@ def ordered_calls(calls: DataFrame) -> DataFrame:
             moved = None
             break
         places = stored(
-            places.join(moved, ["conv_id", "call_id"], "left").select(
-                "conv_id", "call_id", F.coalesce("later", "place").alias("place")
+            places.join(moved, ["conv", "call_id"], "left").select(
+                "conv", "call_id", F.coalesce("later", "place").alias("place")
             ),
             "places",
         )
-    settled = rows.drop("ready", "step").join(places, ["conv_id", "call_id"], "left")
+    settled = rows.drop("ready", "step").join(places, ["conv", "call_id"], "left")
     if moved is None:
         settled = settled.withColumn("unsettled", F.lit(False))
     else:
         # A ring moves one call after the other, so all that moved in its conversation count.
-        stuck = moved.select(F.col("conv_id"), F.lit(True).alias("stuck")).distinct()
-        settled = settled.join(stuck, "conv_id", "left").withColumn(
+        stuck = moved.select(F.col("conv"), F.lit(True).alias("stuck")).distinct()
+        settled = settled.join(stuck, "conv", "left").withColumn(
             "unsettled", F.coalesce(F.col("stuck") & (F.col("place.step") > 0), F.lit(False))
         )
     # A call without an identifier has no place of its own and stays at its turn.
@@ -209,16 +209,22 @@ def formatted(
     arguments that are no JSON are kept as a string; repeated rows stay. No conversation is
     gathered: positions come from a range sort, so one of any length is spread over tasks.
     """
+    # A struct is not null and equals another with the same field, also if that is null: so
+    # joins, ranges and windows all see one conversation in the rows without one.
+    conv = F.struct("conv_id").alias("conv")
+    messages, calls, results = (
+        t.select(conv, *[c for c in t.columns if c != "conv_id"]) for t in (messages, calls, results)
+    )
     marked_calls, marked_results = linked(calls, results)
     in_order = stored(ordered_calls(marked_calls), "calls")
-    spots = in_order.groupBy("conv_id", "call_id").agg(
+    spots = in_order.groupBy("conv", "call_id").agg(
         F.min(F.struct("ready", "step")).alias("spot")
     )
     zero = F.lit(0)
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit("unknown"))
     said = messages.select(
-        "conv_id",
+        "conv",
         "turn",
         F.lit("message").alias("kind"),
         F.lit(None).cast("string").alias("call_id"),
@@ -245,7 +251,7 @@ def formatted(
         )
     )
     asked = in_order.select(
-        "conv_id",
+        "conv",
         "turn",
         F.lit("call").alias("kind"),
         "call_id",
@@ -257,8 +263,8 @@ def formatted(
         F.lit(1).alias("rank"),
     )
     content = F.coalesce(F.col("content"), F.lit(""))
-    given = marked_results.join(spots, ["conv_id", "call_id"], "left").select(
-        "conv_id",
+    given = marked_results.join(spots, ["conv", "call_id"], "left").select(
+        "conv",
         "turn",
         F.lit("result").alias("kind"),
         "call_id",
@@ -277,6 +283,6 @@ def formatted(
     )
     rows = said.union(asked).union(given)
     order = ["ready", "step", "rank", "turn", "call_id", "json"]
-    return with_position(rows, ["conv_id"], order, "position").select(
-        "conv_id", "position", "turn", "kind", "call_id", "state", "fault", "json"
+    return with_position(rows, ["conv"], order, "position").select(
+        "conv.conv_id", "position", "turn", "kind", "call_id", "state", "fault", "json"
     )
