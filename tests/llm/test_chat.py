@@ -118,6 +118,23 @@ def test_cycles_are_reported(spark, monkeypatch):
     assert [r.fault for r in got] == ["needs do not settle"] * 2 + [None]
 
 
+def test_long_chains_and_rings_apart(spark, monkeypatch):
+    monkeypatch.setattr(chat, "ROUNDS", 2)
+    calls = [(1, n, f"c{n}", "add", ARGS, [f"c{n + 1}"]) for n in range(6)]  # last to first
+    calls += [(1, 6, "c6", "add", ARGS, None)]
+    calls += [(2, 1, "a", "add", ARGS, ["b"]), (2, 2, "b", "add", ARGS, ["a"])]  # a ring
+    calls += [(2, 0, "z", "none", ARGS, ["b"])]  # behind the ring, with a fault of its own
+    calls += [(2, 3, "s", "add", ARGS, ["s"])]  # needs itself
+    calls += [(2, 5, "x", "add", ARGS, ["y", "a"]), (2, 7, "y", "add", ARGS, None)]
+    got = chat.formatted(*tables(spark, calls=calls), SCHEMAS).collect()
+    found = {c: [(r.call_id, r.fault) for r in sorted(got, key=lambda r: r.position) if r.conv_id == c] for c in (1, 2)}
+    assert found[1] == [(f"c{n}", None) for n in range(6, -1, -1)]
+    ring = "needs do not settle"
+    assert found[2] == [
+        ("a", ring), ("b", ring), ("z", "unknown tool"), ("s", ring), ("y", None), ("x", None)
+    ]
+
+
 def test_long_conversation(spark):
     messages = [(1, n, "user", "x" * (n % 7)) for n in range(3000)]
     got = chat.formatted(*tables(spark, messages=messages), SCHEMAS).collect()

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from vaultferry.llm.support import stored
 from vaultferry.operators.lookups import with_position
 
-# Rounds of moving late calls behind what they need; a chain of n late calls takes n rounds.
-# Calls that still move after the last round, as in a cycle, are reported as unsettled.
+# Layers of calls that are kept apart before they are written together; no limit of rounds.
 ROUNDS = 64
 
 
@@ -120,76 +119,119 @@ def linked(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked_calls, marked_results
 
 
-def ordered_calls(calls: DataFrame) -> DataFrame:
-    """Calls with ``ready``, the turn they can be placed at, and ``unsettled``.
+def _latest(needs: DataFrame, places: DataFrame) -> DataFrame:
+    """``places(conv, call_id, turn)`` with ``ready``: the latest turn of a call and all it needs.
 
-    A call follows the calls named in ``after``. ``ready`` is its own turn, or that of the
-    latest call it needs if that comes later. Only calls that stand before something they
-    need are moved, round by round with what hangs on them; in logs that are in order no
-    round is needed. Calls that have not settled after ``ROUNDS`` rounds wait for each other or end a
-    very long late chain: they are marked and keep their own turn.
+    Turns only grow, up to the last one, so this ends with rings as well. A round looks at
+    the calls that need one that has just moved; in logs that are in order the first is the last.
     """
-    rows = calls.withColumns({"ready": F.col("turn"), "step": F.lit(0)})
-    needs = stored(
-        calls.select("conv", "call_id", "turn", F.explode_outer("after").alias("need"))
-        .where("need is not null")
-        .distinct(),
-        "needs",
-    )
-    places = stored(
-        calls.groupBy("conv", "call_id").agg(
-            F.min(F.struct(F.col("turn").alias("ready"), F.lit(0).alias("step"))).alias("place")
-        ),
-        "places",
-    )
-    moved = None
-    for _ in range(ROUNDS):
-        there = places.select(
-            "conv", F.col("call_id").alias("need"), F.col("place").alias("needed")
-        )
-        own = places.select("conv", "call_id", "place")
+    ready = moved = places.withColumn("ready", F.col("turn"))
+    while True:
+        there = moved.select("conv", F.col("call_id").alias("need"), F.col("ready").alias("later"))
         late = (
-            needs.select("conv", "call_id", "need")
-            .join(there, ["conv", "need"])
+            needs.join(there, ["conv", "need"])
             .groupBy("conv", "call_id")
-            .agg(F.max("needed").alias("needed"))
-            .join(own, ["conv", "call_id"])
-            .where(F.col("place") <= F.col("needed"))
-            .select(
-                "conv",
-                "call_id",
-                F.struct(
-                    F.col("needed.ready").alias("ready"), (F.col("needed.step") + 1).alias("step")
-                ).alias("later"),
-            )
+            .agg(F.max("later").alias("later"))
+            .join(ready, ["conv", "call_id"])
+            .where("later > ready or (ready is null and later is not null)")
+            .select("conv", "call_id", F.col("later").alias("ready"))
         )
         moved = stored(late, "late")
         if moved.isEmpty():
-            moved = None
-            break
-        places = stored(
-            places.join(moved, ["conv", "call_id"], "left").select(
-                "conv", "call_id", F.coalesce("later", "place").alias("place")
+            return ready
+        later = moved.withColumnRenamed("ready", "later")
+        ready = stored(
+            ready.join(later, ["conv", "call_id"], "left").select(
+                "conv", "call_id", "turn", F.coalesce("later", "ready").alias("ready")
             ),
-            "places",
+            "ready",
         )
-    settled = rows.drop("ready", "step").join(places, ["conv", "call_id"], "left")
-    if moved is None:
-        settled = settled.withColumn("unsettled", F.lit(False))
-    else:
-        # A ring moves one call after the other, so all that moved in its conversation count.
-        stuck = moved.select(F.col("conv"), F.lit(True).alias("stuck")).distinct()
-        settled = settled.join(stuck, "conv", "left").withColumn(
-            "unsettled", F.coalesce(F.col("stuck") & (F.col("place.step") > 0), F.lit(False))
+
+
+def _peeled(ties: DataFrame, end: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """Peel off the ties whose ``end`` is no tie's ``other`` end, until there are none.
+
+    Returns the calls of the peeled ties with ``step``, the latest round one of theirs went,
+    and the ties that stay: those of rings and of what hangs on them at the other side.
+    """
+    peeled: DataFrame | None = None
+    step = 0
+    while True:
+        step += 1
+        held = ties.select("conv", F.col(other).alias(end), F.lit(True).alias("held")).distinct()
+        marked = stored(
+            ties.join(held, ["conv", end], "left").select(
+                "conv", "call_id", "need", F.coalesce("held", F.lit(False)).alias("held")
+            ),
+            "ties",
         )
+        free = marked.where("not held")
+        ties = marked.where("held").drop("held")
+        if free.isEmpty():
+            break
+        layer = free.select("conv", "call_id", F.lit(step).alias("step")).distinct()
+        peeled = layer if peeled is None else peeled.union(layer)
+        if step % ROUNDS == 0:
+            peeled = stored(peeled, "layers")
+    if peeled is None:
+        peeled = ties.select("conv", "call_id", F.lit(0).alias("step")).limit(0)
+    return peeled.groupBy("conv", "call_id").agg(F.max("step").alias("step")), ties
+
+
+def ordered_calls(calls: DataFrame) -> DataFrame:
+    """Calls with ``ready`` and ``step``, the place they can stand at, and ``unsettled``.
+
+    A call follows the calls named in ``after``. ``ready`` is its own turn, or the latest turn
+    of what it needs, directly or not, if that comes later. Only calls tied to one they need
+    by the same ``ready`` have to be put in order within it: those that need none of the others
+    come first, and so on (``step``), however long the chain is. What is never free is on a ring
+    or behind one. Calls on a ring, or between two rings of one ``ready``, wait for each other:
+    they are ``unsettled``, keep their own turn, and all others are placed by what they need.
+    """
+    places = stored(calls.groupBy("conv", "call_id").agg(F.min("turn").alias("turn")), "places")
+    needs = stored(
+        calls.select("conv", "call_id", F.explode("after").alias("need"))
+        .where("need is not null and call_id is not null")
+        .distinct(),
+        "needs",
+    )
+    rings = None
+    while True:
+        ready = _latest(needs, places)
+        there = ready.select("conv", F.col("call_id").alias("need"), F.col("ready").alias("needed"))
+        ties = stored(
+            needs.join(there, ["conv", "need"])
+            .join(ready, ["conv", "call_id"])
+            .where("ready <=> needed")
+            .select("conv", "call_id", "need"),
+            "tied",
+        )
+        steps = None
+        if ties.isEmpty():
+            break
+        steps, stuck = _peeled(ties, "need", "call_id")
+        if stuck.isEmpty():
+            break
+        _, ring = _peeled(stuck, "call_id", "need")
+        ring = stored(ring.select("conv", "call_id").distinct(), "rings")
+        needs = stored(needs.join(ring, ["conv", "call_id"], "left_anti"), "needs")
+        rings = ring if rings is None else rings.union(ring)
+    placed = ready.drop("turn")
+    if steps is None:
+        placed = placed.withColumn("step", F.lit(0))
+    else:
+        placed = placed.join(steps, ["conv", "call_id"], "left")
+    if rings is None:
+        placed = placed.withColumn("unsettled", F.lit(False))
+    else:
+        marks = rings.withColumn("unsettled", F.lit(True))
+        placed = placed.join(marks, ["conv", "call_id"], "left")
     # A call without an identifier has no place of its own and stays at its turn.
-    return settled.select(
+    return calls.join(placed, ["conv", "call_id"], "left").select(
         *calls.columns,
-        F.when(F.col("unsettled"), F.col("turn"))
-        .otherwise(F.greatest("turn", "place.ready"))
-        .alias("ready"),
-        F.when(F.col("unsettled"), F.lit(0)).otherwise(F.coalesce("place.step", F.lit(0))).alias("step"),
-        "unsettled",
+        F.greatest("turn", "ready").alias("ready"),
+        F.coalesce("step", F.lit(0)).alias("step"),
+        F.coalesce("unsettled", F.lit(False)).alias("unsettled"),
     )
 
 
