@@ -78,6 +78,27 @@ def test_weak_parts_need_a_complement():
     assert len(brute_links(TEXTS[9])) >= 2 and len(brute_links(TEXTS[11])) == 1
 
 
+NAMED = [
+    (f"AWS_ACCESS_KEY_ID={ACCESS}\nAWS_SECRET_ACCESS_KEY={KEY}\n", KEY),
+    (f"export ID={ACCESS}; export SIGNING={KEY}==", f"{KEY}=="),
+    (f"{ACCESS} https://h.example/x?sig={KEY}&z=1", KEY),
+    (f"{ACCESS} {KEY * 5}", KEY * 5),  # 225 characters
+    (f"{ACCESS} BLOB={KEY * 50}", KEY * 50),
+    (f"{ACCESS} +={KEY}", None),  # no name
+    (f"{ACCESS} NAME=={KEY}", None),
+    (f"{FAR} SECRET_ACCESS_KEY={KEY}", None),  # a key alone
+]
+
+
+def test_named_and_long_keys(spark):
+    docs = documents(spark, list(enumerate(t for t, _ in NAMED)))
+    got = {r.doc_id: r.spans for r in sc.secret_spans(docs).collect()}
+    for n, (text, key) in enumerate(NAMED):
+        found = [text[s.start : s.end] for s in got[n] if s.kind == "key"]
+        assert found == ([key] if key else []), text
+        assert [(s.start, s["rank"], s.end) for s in got[n]] == sorted(base(text) + brute_links(text))
+
+
 def test_redaction(spark):
     docs = documents(spark, [(1, TEXTS[0]), (2, "clean é text"), (3, None)])
     got = {r.doc_id: r.text for r in sc.redacted(docs, sc.secret_spans(docs)).collect()}

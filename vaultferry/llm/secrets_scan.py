@@ -27,7 +27,10 @@ IDENTITY = re.compile(
     r"([A-Za-z0-9+/_.@-]{3,})",
     re.IGNORECASE | re.ASCII,
 )
-KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40,88}={0,2}(?![A-Za-z0-9+/=_-])")
+# An equals sign before a key is that of NAME=VALUE; after other signs it is padding.
+KEY = re.compile(
+    r"(?:(?<![A-Za-z0-9+/=_-])|(?<=[A-Za-z0-9_]=))[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=_-])"
+)
 ENDPOINT = re.compile(
     r"(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+"
 )
