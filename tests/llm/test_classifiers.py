@@ -121,6 +121,24 @@ def test_sample_is_outside_the_fold(spark):
     assert again == (texts, marks)
 
 
+def test_long_texts_are_in_the_sample(spark):
+    docs = documents(spark, [(n, f"{n:03d}" * 10) for n in range(60)] + [(60, "x" * 99)])
+    labels = spark.createDataFrame([(n, n % 2) for n in range(61)], "doc_id bigint, toxic int")
+    texts, marks = training_sample(docs, labels, "toxic", 5, 0, rows=4, size=20)
+    assert [len(t) for t in texts] == [30, 30]  # 80 bytes at most, no text alone is short
+    assert marks == [int(t[:3]) % 2 for t in texts]
+
+
+def test_gradients_of_a_batch_in_steps(monkeypatch):
+    texts = [b"some bytes of text", bytes(range(256)) * 3, b"ab" * 700, b""]
+    wanted = np.array([0, 1, 1, 0], np.float32)
+    net = ql._fresh(1)
+    whole = ql._gradients(net, texts, wanted)
+    monkeypatch.setattr(ql, "STEP_BYTES", 1000)
+    for a, b in zip(ql._batch_gradients(net, texts, wanted), whole):
+        assert np.allclose(a, b, atol=1e-6)
+
+
 @pytest.mark.skipif(not TESTDATA.exists(), reason="needs the test tables")
 def test_held_out_accuracy(spark):
     folder = f"{TESTDATA}/sf0.1"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A model is fitted on at most this many labelled rows, picked by a hash of their ids,
-# among those whose text has at most this many bytes.
+# A model is fitted on at most this many labelled rows, picked by a hash of their ids. Their
+# texts may be of any length, as long as all together have at most this many bytes a row.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 16_384
 
@@ -27,22 +27,36 @@ def training_sample(
 ) -> tuple[list[bytes], list[int]]:
     """Texts and 0/1 labels of a bounded sample outside the held-out fold, in a fixed order.
 
-    Repeated labels of an id are averaged; ids without a text are left out. Only the ids of
-    the sample are shuffled, and only its rows, ``rows * size`` bytes at most, reach the
-    driver.
+    Repeated labels of an id are averaged; ids without a text are left out. Rows are taken by
+    hash until there are ``rows`` of them or the next would exceed ``rows * size`` bytes; only
+    a text longer than that by itself is never taken. Only ids and lengths are shuffled, and
+    only the rows of the sample reach the driver.
     """
     own = (
         labels.where((fold(F.col("doc_id"), folds) != held_out) & F.col(column).isNotNull())
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.avg(F.col(column).cast("double")).alias("label"))
     )
-    short = docs.where(F.octet_length("text") <= size)
-    texts = short.select(F.col("doc_id").alias("id"))
-    picked = own.join(texts, "id").orderBy(F.xxhash64("id"), "id").limit(rows).distinct()
+    limit = rows * size
+    sized = docs.withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= limit)
+    texts = sized.select(F.col("doc_id").alias("id"), "bytes")
+    order = [F.xxhash64("id"), F.col("id"), F.col("bytes")]
+    # At most ``rows`` rows of ids and lengths are summed up.
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = (
+        own.join(texts, "id")
+        .orderBy(*order)
+        .limit(rows)
+        .withColumn("total", F.sum("bytes").over(so_far))
+        .groupBy("id", "label", "bytes")
+        .agg(F.max("total").alias("total"))
+        .where(F.col("total") <= limit)
+        .drop("total")
+    )
     sample = (
-        short.select(F.col("doc_id").alias("id"), "text")
-        .join(F.broadcast(picked), "id")
-        .orderBy(F.xxhash64("id"), "id", "text")
+        sized.select(F.col("doc_id").alias("id"), "bytes", "text")
+        .join(F.broadcast(picked), ["id", "bytes"])
+        .orderBy(*order, "text")
         .limit(rows)
         .collect()
     )

@@ -175,6 +175,22 @@ def _gradients(net: Network, texts: list[bytes], wanted: np.ndarray) -> list[np.
     return [d_embed, d_left.T, d_right.T, d_shift, features.T @ error, error.sum(keepdims=True)]
 
 
+def _batch_gradients(net: Network, texts: list[bytes], wanted: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean log loss of a batch, in steps of bounded size as for scores."""
+    total, start = None, 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= STEP_BYTES):
+            size += len(texts[end])
+            end += 1
+        grads = _gradients(net, texts[start:end], wanted[start:end])
+        if end - start < len(texts):
+            grads = [g * np.float32((end - start) / len(texts)) for g in grads]
+        total = grads if total is None else [a + b for a, b in zip(total, grads)]
+        start = end
+    return total
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
     """Fit all weights together by Adam. With one class only, the share of ones is the score."""
     net = _fresh(seed)
@@ -196,7 +212,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            grads = _gradients(net, [texts[i] for i in batch], wanted[batch])
+            grads = _batch_gradients(net, [texts[i] for i in batch], wanted[batch])
             turn += 1
             rate = RATE * (1 - turn / (turns + 1))
             for value, grad, m, v in zip(net.parts(), grads, first, second):
