@@ -1,0 +1,87 @@
+"""Nearest neighbours against all distances."""
+
+import numpy as np
+import pytest
+
+from tests.compare import TESTDATA
+from vaultferry.llm.nearest import nearest
+
+SCHEMA = "vec_id bigint, embedding array<float>, id string, vector int, ids int, n int, score int"
+CLASH = ("x", 1, 2, 3, 4)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, *CLASH) for r in rows], SCHEMA)
+
+
+def fits(vector):
+    return bool(
+        vector and all(x is not None and np.isfinite(x) for x in vector) and any(vector)
+    )
+
+
+def brute(rows, queries, k=10):
+    rows = [(i, np.float32(v).astype(np.float64)) for i, v in rows if i is not None and fits(v)]
+    result = []
+    for q, query in [(i, np.float32(v).astype(np.float64)) for i, v in queries if i is not None and fits(v)]:
+        left, own = [], False
+        for i, v in rows:
+            if len(v) != len(query):
+                continue
+            if not own and i == q and np.array_equal(v, query):
+                own = True
+                continue
+            left.append((float(np.sqrt(((v - query) ** 2).sum())), i))
+        for rank, (score, i) in enumerate(sorted(left)[:k], 1):
+            result.append((q, rank, i, score))
+    return result
+
+
+def same(got, want):
+    got, want = sorted(got, key=repr), sorted(want, key=repr)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12, atol=0)
+
+
+def awkward():
+    rng = np.random.default_rng(1)
+    rows = [(n, rng.standard_normal(8).tolist()) for n in range(300)]
+    rows += [(n, [0.5] * 8) for n in range(400, 460)]
+    rows += [(n, [1.0, 0.0, -0.0]) for n in range(500, 504)] + [(504, [1.0, -0.0, 0.0])]
+    rows += [(600, None), (600, []), (600, [0.0] * 8), (700, [float("nan")] * 8)]
+    rows += [(700, [float("inf")] + [1.0] * 7), (800, [None] + [1.0] * 7), (None, [1.0] * 8)]
+    rows += [(200, rows[200][1]), (200, rows[200][1]), (900, [3.0])]
+    return rows
+
+
+@pytest.mark.parametrize("query_rows, block_rows", [(10_000, 16_384), (3, 40)])
+def test_awkward_rows(spark, query_rows, block_rows):
+    """Copies beyond the index's ids, ties, other lengths, repeated rows; groups of queries."""
+    rows = awkward()
+    df = frame(spark, rows)
+    asked = [r for r in rows if r[0] is not None and r[0] % 100 == 0]
+    found = nearest(
+        df, df.where("vec_id % 100 = 0"), query_rows=query_rows, block_rows=block_rows
+    )
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    same([tuple(r) for r in found.collect()], brute(rows, asked))
+
+
+def test_empty_tables(spark):
+    df = frame(spark, awkward()[:3])
+    assert nearest(df.limit(0), df.limit(0)).collect() == []
+    assert nearest(df, df.limit(0)).collect() == []
+    assert nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).collect() == []
+
+
+@pytest.mark.skipif(not TESTDATA.exists(), reason="needs the test tables")
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall(spark, scale):
+    df = spark.read.parquet(f"{TESTDATA}/{scale}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    asked = [r for r in rows if r[0] % 100 == 0]
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(df, df.where("vec_id % 100 = 0")).collect()}
+    want = {(q, i): s for q, _, i, s in brute(rows, asked)}
+    assert len(got) == len(want)
+    assert len(got.keys() & want.keys()) >= 0.98 * len(want)
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in got.keys() & want.keys())

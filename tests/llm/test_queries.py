@@ -22,7 +22,7 @@ needs_tables = pytest.mark.skipif(not TESTDATA.exists(), reason="needs the test
 
 def test_all_operators_are_registered():
     names = driver.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) <= set(names) and "pipeline" in names
 
 

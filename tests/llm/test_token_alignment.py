@@ -1,0 +1,129 @@
+"""Alignment of tokens against a plain walk over both token lists."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tests.llm.cases import awkward, documents
+from vaultferry.llm import token_alignment as ta
+
+LEFT, RIGHT = ta.sides(ta.TOKENIZERS)
+NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+# Strings of special tokens, several spaces, bytes without a piece, composed and odd characters.
+TEXTS = [
+    "plain words, and some more words.",
+    " leading  double   spaces \n\n\ttabs ",
+    "<|endoftext|> <unk> <s> </s> <0x0A>",
+    "naïve café ﬁne ① Ａ １２ é   ​",
+    "日本語のテキスト 😀😀 ▁ piece mark",
+    "日本語 😀 ру́сский ქართული",
+    "x" * 3000 + " " + "ab" * 2000 + "\x00\x01",
+    " " * 500 + "end",
+    "it's we'll I'd THEY'RE 12345 3.14 a_b-c",
+    "▁",
+    "\r\n\x85　",
+]
+
+
+def words(seed, n):
+    rng = random.Random(seed)
+    letters = "abcdefgh éßñ.,-'\n0123ABC"
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def plain_ids():
+    """Both tokenizers by their own libraries, with the bytes of every id."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(f"{ta.TOKENIZERS}/{ta.LEFT}")
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=f"{ta.TOKENIZERS}/{ta.RIGHT}")
+    letters = ta.byte_letters()
+
+    def left(text):
+        ids = a.encode(" " + text, add_special_tokens=False).ids
+        return [(i, bytes(letters[c] for c in a.id_to_token(i))) for i in ids]
+
+    def right(text):
+        out = []
+        for i in b.encode(text):
+            piece = b.id_to_piece(i)
+            raw = bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
+            out.append((i, raw))
+        return out
+
+    return left, right
+
+
+def brute(rows):
+    left, right = plain_ids()
+    docs, counts = [], Counter()
+    for doc_id, text, *_ in rows:
+        a, b = (left(text), right(text)) if text else ([], [])
+        raw = (" " + (text or "")).encode()
+        if not text or b"".join(x for _, x in a) != raw or b"".join(x for _, x in b) != raw:
+            docs.append((doc_id, 0, 0, [], Counter()))
+            continue
+        groups, mine, other, ends = [], [], [], [0, 0]
+        i = j = 0
+        while i < len(a) or j < len(b):
+            if ends[0] <= ends[1] and i < len(a):
+                mine.append(a[i][0])
+                ends[0] += len(a[i][1])
+                i += 1
+            else:
+                other.append(b[j][0])
+                ends[1] += len(b[j][1])
+                j += 1
+            if ends[0] == ends[1]:
+                groups.append((mine, other))
+                mine, other = [], []
+        links = Counter((x, y) for m, o in groups for x in m for y in o)
+        counts.update(links.keys())
+        docs.append((doc_id, len(a), len(b), groups, links))
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(best.get(x, 0), n)
+    result = []
+    for doc_id, n_a, n_b, groups, links in docs:
+        text = ";".join(
+            f"{','.join(map(str, m))}|{','.join(map(str, o))}" for m, o in groups
+        )
+        result.append((
+            doc_id, n_a, n_b, len(groups), sum(links.values()),
+            sum(n for p, n in links.items() if counts[p] == best[p[0]]),
+            sum(n * counts[p] for p, n in links.items()),
+            hashlib.sha256(text.encode()).hexdigest() if groups else "",
+        ))
+    return result
+
+
+@pytest.mark.parametrize("most", [ta.BROADCAST_PAIRS, 0])
+def test_equals_the_plain_walk(spark, most):
+    rows = awkward() + [(100 + n, t) for n, t in enumerate(TEXTS)]
+    rows += [(200 + n, words(n, 400)) for n in range(30)]
+    found = ta.token_alignment(documents(spark, rows).repartition(3), broadcast_pairs=most)
+    assert found.columns == NAMES
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert got == sorted(brute(rows), key=repr)
+    assert sum(r[1] == 0 for r in got) > 4 and any(r[4] > r[3] for r in got)
+
+
+def test_runs_and_equal_windows_change_nothing(monkeypatch):
+    texts = [None, ""] + [words(n, 200) for n in range(20)] + [words(3, 200)] + TEXTS
+    whole = ta.align_texts(texts, LEFT, RIGHT)
+    monkeypatch.setattr(ta, "RUN_LETTERS", 100)
+    monkeypatch.setattr(ta, "LONG_GROUP", 1)
+    monkeypatch.setattr(ta, "fingerprints", lambda ids, cuts, seed: np.zeros(len(cuts) - 1, np.uint64))
+    alone = ta.align_texts(texts, LEFT, RIGHT)
+    for x, y in zip(whole, alone):
+        assert x[:5] == y[:5] and x[5].tolist() == y[5].tolist() and x[6].tolist() == y[6].tolist()
+
+
+def test_empty_table(spark):
+    docs = documents(spark, [(1, "a")]).limit(0)
+    assert ta.token_alignment(docs).collect() == []

@@ -11,12 +11,15 @@ from vaultferry.llm.chat import Param, formatted
 from vaultferry.llm.decontaminate import benchmark_overlap, contaminated
 from vaultferry.llm.exact_dedup import exact_duplicates
 from vaultferry.llm.html_text import page_texts
+from vaultferry.llm.merkle import LOWER, UPPER, merkle_manifest
 from vaultferry.llm.mixing import Mix, domain_of, mixed_documents, tokens
 from vaultferry.llm.near_dedup import near_duplicates
+from vaultferry.llm.nearest import nearest
 from vaultferry.llm.quality import quality_scores
 from vaultferry.llm.secrets_scan import secret_spans, span_text
 from vaultferry.llm.sharding import lookup_table, placed, table_size
 from vaultferry.llm.support import table
+from vaultferry.llm.token_alignment import token_alignment
 from vaultferry.llm.toxicity import toxicity_scores
 
 DOMAINS = ("web", "books", "code")
@@ -136,6 +139,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_mixing": op2_mixing,
@@ -147,6 +163,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_approximate_nearest_neighbours": op12_approximate_nearest_neighbours,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 SLOTS = table_size(len(SHARDS))
@@ -287,10 +306,80 @@ select conv_id, row_number() over (partition by conv_id order by turn) - 1 as po
   turn, kind, call_id, state, fault, json from e
 """
 
+def _levels(name: str, key: str, count: int) -> str:
+    """Levels of a tree as tables, each run of eight nodes one node of the next level."""
+    by = f"{key}, " if key else ""
+    group = "1, 2, 3" if key else "1, 2"
+    part = f"partition by {by}pos // 8 order by pos rows between"
+    return ",".join(
+        f"""
+{name}{n + 1} as (select {by}if(total > 1, pos // 8, pos) as pos,
+  if(total > 1, (total + 7) // 8, 1) as total,
+  if(any_value(total) > 1, sha256(string_agg(node, '' order by pos)), any_value(node)) as node
+  from {name}{n} group by {group}),
+{name}s{n} as (select *,
+  coalesce(string_agg(node, '') over ({part} unbounded preceding and 1 preceding), '') as before,
+  coalesce(string_agg(node, '') over ({part} 1 following and unbounded following), '') as after
+  from {name}{n})"""
+        for n in range(count)
+    )
+
+
+def _fold(name: str, key: str, place: str, start: str, count: int) -> str:
+    """Fold nodes and proofs of a table up a tree, one level after another."""
+    steps, before = [], start
+    for n in range(count):
+        same = f"x.{key} is not distinct from s.{key} and " if key else ""
+        steps.append(f"""
+{name}f{n} as (select x.* exclude (folded, proof),
+  if(s.total > 1, sha256(s.before || folded || s.after), folded) as folded,
+  proof || if(s.total > 1, s.before || s.after, '') as proof
+  from {before} x join {name}s{n} s on {same}s.pos = x.{place} // {8 ** n})""")
+        before = f"{name}f{n}"
+    return ",".join(steps)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}, '-')"
+
+
+DEPTH = 9
+MERKLE_SQL = f"""
+with d as (
+  select doc_id, lang, {" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} as head,
+    text, translate(text, '{UPPER}', '{LOWER}') as lowered,
+    list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+      range(1, len(doc_id::varchar) + 1),
+      lambda i: [ord(substr(doc_id::varchar, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: case when x >= 0 then xor(c, x)
+        when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as crc
+  from documents
+), h as (
+  select doc_id, lang, sha256(head || {_field("text")}) as node, sha256(head ||
+    case when xor(crc, 4294967295) % 3 = 0 then {_field("lowered")} else {_field("text")} end) as shown
+  from d
+), a0 as (
+  select doc_id, lang, node, shown, count(*) over (partition by lang) as total,
+    row_number() over (partition by lang order by doc_id nulls first, node) - 1 as pos from h
+), {_levels("a", "lang", DEPTH)},
+b0 as (select lang, node, count(*) over () as total,
+  row_number() over (order by lang nulls first) - 1 as pos from a{DEPTH}),
+{_levels("b", "", DEPTH)},
+leaf as (select doc_id, lang, pos, node as leaf, shown as folded, '' as proof from a0),
+{_fold("a", "lang", "pos", "leaf", DEPTH)},
+joined as (select f.* exclude (pos), b0.pos as place, b0.node as subroot
+  from af{DEPTH - 1} f join b0 on b0.lang is not distinct from f.lang),
+{_fold("b", "", "place", "joined", DEPTH)}
+select doc_id, leaf, subroot, b{DEPTH}.node as root, sha256(proof) as proof_sha256,
+  folded as folded_root, folded = b{DEPTH}.node as verified
+from bf{DEPTH - 1} cross join b{DEPTH}
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": OVERLAP_SQL,
     "op2_mixing": MIX_SQL,
     "op6_sharding": SHARD_SQL,
     "op8_chat_formatting": CHAT_SQL,
     "op9_exact_dedup": COPIES_SQL,
+    "op11_merkle_manifest": MERKLE_SQL,
 }
