@@ -352,7 +352,9 @@ def record_entries(
     success = F.col("event_type") == "ItemMigrated"
     failed = F.col("event_type").isin(*schemas.ERROR_EVENTS)
     code = F.coalesce("error_code", "exception", "delivery_error")
-    tries = F.col("attempts").cast("int") if "attempts" in results.columns else F.lit(1)
+    # Attempts add up when the log is folded: an entry holds those that came with it.
+    counted = next((c for c in ("tries", "attempts") if c in results.columns), None)
+    tries = F.lit(1) if counted is None else F.col(counted).cast("int")
     return (
         results.where((success | failed) & F.col("idempotency_key").isNotNull())
         .select(
@@ -485,6 +487,7 @@ class Execution:
             F.lit(kind).alias("kind"),
             F.lit(name).alias("name"),
             utc(at or self.options.as_of).alias("at_utc"),
+            F.current_timestamp().alias("written_utc"),
         )
         row.coalesce(1).write.mode("append").parquet(self.path("commits"))
 
@@ -573,24 +576,50 @@ def routes_of(execution: Execution) -> DataFrame:
     return rows.drop("batch_id")
 
 
+def unchanged_parts(
+    known: DataFrame, inputs: MigrationInputs, needed: DataFrame
+) -> DataFrame:
+    """Verified parts whose metadata, and version if there is one, are still as they were."""
+    now = inputs.parts.join(needed, "part_id", "left_semi").select(
+        "part_id",
+        F.lower("sha256").alias("_sha256"),
+        F.col("size_bytes").alias("_size"),
+    )
+    same = (F.lower("stored_sha256") == F.col("_sha256")) & F.col("size_bytes").eqNullSafe(
+        F.col("_size")
+    )
+    if "version" in inputs.blob_hashes.columns:
+        versions = inputs.blob_hashes.select("part_id", F.col("version").alias("_version"))
+        now = now.join(versions.join(needed, "part_id", "left_semi"), "part_id", "left")
+        same &= F.col("version").eqNullSafe(F.col("_version"))
+    return known.join(now, "part_id").where(same).select(*schemas.VERIFIED.names)
+
+
 def verified_for(
     execution: Execution, inputs: MigrationInputs, refs: DataFrame, batch_id: str
 ) -> DataFrame:
-    """Verified parts behind some references; bytes are hashed for new parts only.
+    """Verified parts behind some references; bytes are hashed for new and changed parts only.
 
-    Parts found good are kept in the store, so no later batch or run reads their bytes. Parts
-    with an error are looked at again each time, as their bytes or metadata may have come.
+    Parts found good are kept in the store, so no later batch or run reads their bytes, as long
+    as the stated hash and size are the same, and the version of the bytes where the source
+    has one. Parts with an error are looked at again each time, as their bytes or metadata may
+    have come.
     """
     needed = distinct_part_ids(refs)
     known = execution.read("verified_parts", schemas.VERIFIED)
     if known is not None:
         known = rows_with_keys(known.drop("batch_id"), needed, ["part_id"])
-        known = known.dropDuplicates(["part_id"])
+        known = unchanged_parts(known, inputs, needed).dropDuplicates(["part_id"])
         needed = needed.join(known.select("part_id"), "part_id", "left_anti")
     parts = inputs.parts.join(needed, "part_id", "left_semi")
     hashes = inputs.blob_hashes.join(needed, "part_id", "left_semi")
+    checked = verify_parts(parts, hashes)
+    if "version" in hashes.columns:
+        checked = checked.join(hashes.select("part_id", "version"), "part_id", "left")
+    else:
+        checked = checked.withColumn("version", F.lit(None).cast("string"))
     fresh = writers.keep_batch(
-        verify_parts(parts, hashes), execution.path("checked_parts"), batch_id
+        checked.select(*schemas.VERIFIED.names), execution.path("checked_parts"), batch_id
     )
     good = fresh.where(F.col("error").isNull())
     writers.write_batch(good, execution.path("verified_parts"), batch_id)
@@ -668,17 +697,36 @@ def migrate_batch(
     return ready
 
 
+def times_of(execution: Execution) -> DataFrame:
+    """Committed batches of the run with the time they were written."""
+    commits = read_if_present(execution.spark, schemas.COMMITS, execution.path("commits"))
+    assert commits is not None
+    mine = commits.where(F.col("run_id") == execution.options.run_id)
+    return mine.groupBy("batch_id").agg(F.max("written_utc").alias("written_utc"))
+
+
+def attempts_to_count(execution: Execution, rollup: DataFrame) -> DataFrame:
+    """Attempts per key that no record entry holds yet: all so far less those counted."""
+    counted = execution.read("answered", schemas.ANSWERED)
+    total = rollup.select("idempotency_key", "attempts", "at_utc")
+    if counted is None:
+        return total.withColumn("tries", F.col("attempts"))
+    counted = rows_with_keys(counted, rollup, ["idempotency_key"])
+    before = counted.groupBy("idempotency_key").agg(F.sum("tries").alias("_before"))
+    left = F.col("attempts") - F.coalesce("_before", F.lit(0))
+    return total.join(before, "idempotency_key", "left").withColumn("tries", left).drop("_before")
+
+
 def awaiting(execution: Execution, keys: DataFrame) -> DataFrame | None:
     """Items of this run with one of the keys that were sent and are not delivered yet."""
     rows = execution.read("classified", schemas.CLASSIFIED, run=True)
     if rows is None:
         return None
     sent = rows.where(F.col("event_type") == DELIVER)
-    sent = rows_with_keys(sent, keys, ["idempotency_key"])
+    sent = rows_with_keys(sent, keys, ["idempotency_key"]).join(times_of(execution), "batch_id")
+    rest = [c for c in schemas.CLASSIFIED.names if c != "idempotency_key"]
     one = sent.groupBy("idempotency_key").agg(
-        F.max(
-            F.struct("batch_id", *[c for c in schemas.CLASSIFIED.names if c != "idempotency_key"])
-        ).alias("_i")
+        F.max(F.struct("written_utc", "batch_id", *rest)).alias("_i")
     )
     items = one.select("idempotency_key", "_i.*").select(*schemas.CLASSIFIED.names)
     records = records_of(execution.spark, execution.root)
@@ -697,7 +745,8 @@ def apply_delivery(
 
     Attempts are rolled up per key over all receipts so far; the last one decides. Audit
     events and records carry the receipt's time. Keys worth another try are written to the
-    retry queue. Receipts of unknown or delivered keys are kept and change nothing.
+    retry queue, and keys that were tried before and need no more are marked as settled
+    (``plans.retries`` reads both). Receipts of unknown or delivered keys are kept and change nothing.
     """
     if name is not None and execution.done(name):
         return
@@ -716,7 +765,7 @@ def apply_delivery(
     if waiting is not None:
         rollup = attempt_rollup(attempts, ["at_utc", "attempt_no"])
         rollup = writers.keep_batch(rollup, execution.path("rollups"), batch_id)
-        more = rollup.select("idempotency_key", "attempts", "at_utc")
+        more = attempts_to_count(execution, rollup)
         answered = with_results(waiting, rollup).join(more, "idempotency_key")
         items = writers.keep_batch(answered, execution.path("answered"), batch_id)
         when = F.coalesce("at_utc", utc(at or options.as_of))
@@ -726,6 +775,11 @@ def apply_delivery(
         writers.append_audit(events, execution.path("audit"), batch_id)
         mine = rollup.join(items.select("idempotency_key"), "idempotency_key", "left_semi")
         writers.write_batch(retry_queue(mine), execution.path("retry_queue"), batch_id)
+        ended = ~F.col("retryable") | F.col("exhausted")
+        settled = mine.where(ended & (F.col("attempts") > 1)).select(
+            "idempotency_key", "attempts", F.lit("settled").alias("mark")
+        )
+        writers.write_batch(settled, execution.path("retry_marks"), batch_id)
         _mark(execution, items, batch_id, at)
     execution.commit(batch_id, "receipts", name or batch_id, at)
 

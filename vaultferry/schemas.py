@@ -113,6 +113,8 @@ COMMITS = _schema(
     ("kind", _S, False),
     ("name", _S, False),
     ("at_utc", _TS, False),
+    # Wall-clock time, to tell which of two batches came later.
+    ("written_utc", _TS, True),
 )
 COMPACTED = _schema(
     ("number", T.IntegerType(), False), ("folder", _S, False), ("batch_id", _S, False)
@@ -123,7 +125,16 @@ VERIFIED = _schema(
     ("stored_sha256", _S, True),
     ("size_bytes", _L, True),
     ("error", _S, True),
+    ("version", _S, True),
 )
+# Attempts that the record entries of answered items counted.
+ANSWERED = _schema(("idempotency_key", _S, False), ("tries", _L, True))
+# Keys to try again, and what became of them: sent again, or settled.
+RETRIES = _schema(("idempotency_key", _S, False), ("attempts", _L, False), ("due_at_utc", _TS, True))
+RETRY_MARKS = _schema(
+    ("idempotency_key", _S, False), ("attempts", _L, False), ("mark", _S, False)
+)
+OUTBOX = _schema(("message", _S, False), ("archive_class", _S, True))
 # The columns of a classified item that its delivery needs.
 CLASSIFIED = _schema(
     ("item_id", _S, False),

@@ -111,8 +111,13 @@ def outbox_rows(messages: DataFrame) -> DataFrame:
 
 def write_outbox(messages: DataFrame, path: str, batch_id: str) -> None:
     """One JSON message per line, below one folder per batch and archive class."""
+    write_outbox_lines(outbox_rows(messages), path, batch_id)
+
+
+def write_outbox_lines(lines: DataFrame, path: str, batch_id: str) -> None:
+    """Messages that are text already (archive_class, message)."""
     (
-        outbox_rows(messages)
+        lines.select("archive_class", "message")
         .withColumn("batch_id", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -80,11 +80,15 @@ def read_parts(spark: SparkSession, location: str, fmt: str = "parquet", **optio
 
 
 def blob_hashes(blobs: DataFrame) -> DataFrame:
-    """part_id, sha256 and byte count of (part_id, content) rows; the bytes are dropped at once."""
+    """part_id, sha256 and byte count of (part_id, content) rows; the bytes are dropped at once.
+
+    A ``version`` of the bytes (a time, a length) is kept, so that changed bytes are read again.
+    """
     return blobs.select(
         "part_id",
         content_hash(F.col("content")).alias("sha256"),
         F.octet_length("content").cast("bigint").alias("blob_bytes"),
+        *[c for c in ("version",) if c in blobs.columns],
     )
 
 
