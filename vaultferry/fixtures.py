@@ -5,7 +5,7 @@ Each view takes the folder of the tables. Time columns become session-zone times
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,14 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ARRIVALS = 4
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str, arrivals: int = ARRIVALS) -> DataFrame:
     """The table as files that arrive one after the other, in the order of its first column."""
     rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
     key = rows.columns[0]
     low, high = rows.agg(F.min(key), F.max(key)).first()
-    step = 1 if low is None else (high - low) // ARRIVALS + 1
+    step = 1 if low is None else (high - low) // arrivals + 1
     path = scratch_path(spark, f"arrivals-{name}")
-    for n in range(ARRIVALS):
+    for n in range(arrivals):
         part = F.lit(n == 0) if low is None else F.expr(f"({key} - {low}) div {step}") == n
         rows.where(part).write.mode("append").parquet(path)
     files = spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", 1)
@@ -80,6 +80,56 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 Reader = Callable[[SparkSession, str, str], DataFrame]
 
 
+def arriving(
+    rows: DataFrame,
+    time: str,
+    slices: int = 6,
+    mixed: bool = False,
+    last: Sequence[Column] | None = None,
+) -> tuple[DataFrame, int]:
+    """The rows as files that arrive by time, and the microseconds of a slice.
+
+    With ``mixed``, half of a slice comes with the next one, so neighbouring slices are out of
+    order. ``last`` is a row that comes in a file of its own at the end.
+    """
+    spark = rows.sparkSession
+    micros = F.unix_micros(time)
+    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    step = 1 if low is None else (high - low) // slices + 1
+    path = scratch_path(spark, "arriving")
+    number = F.lit(0) if low is None else F.expr(f"(unix_micros({time}) - {low}) div {step}")
+    if mixed:
+        number = number + F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+    placed = rows.withColumn("_slice", number)
+    for n in range(slices + 1):
+        placed.where(F.col("_slice") == n).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        spark.range(1).select(*last).write.mode("append").parquet(path)
+    files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return files.parquet(path), step
+
+
+def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message per order, evenly over the month of the events; the last orders come later."""
+    events = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    seconds = F.col("o_orderkey") * (30 * 86400 // (events + 1))
+    return table(spark, sf_dir, "orders").select(
+        tagged("itm-", "o_orderkey").alias("idempotency_key"),
+        F.timestamp_micros(F.lit(1704067200000000) + seconds * 1000000).alias("sent_at"),
+    )
+
+
+def answers_to_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per event, to the message of the same number."""
+    return attempts(spark, sf_dir).select(
+        tagged("itm-", "attempt_order.event_id").alias("idempotency_key"),
+        "at_utc",
+        "http_status",
+        "exception",
+        "already_present",
+    )
+
+
 def tagged(prefix: str, c: str | Column) -> Column:
     column = F.col(c) if isinstance(c, str) else c
     return F.concat(F.lit(prefix), column.cast("string"))
@@ -303,11 +353,13 @@ def attempts(spark: SparkSession, sf_dir: str, read: Reader = table) -> DataFram
     )
 
 
-def receipts(spark: SparkSession, sf_dir: str, read: Reader = table) -> DataFrame:
-    """Receipts of the target: two attempts for each of the first items, by events."""
+def receipts(
+    spark: SparkSession, sf_dir: str, read: Reader = table, tries: int = 2
+) -> DataFrame:
+    """Receipts of the target: some attempts for each of the first items, by events."""
     tried = attempts(spark, sf_dir, read).select(
-        tagged("itm-", F.expr("attempt_order.event_id div 2")).alias("item_id"),
-        F.expr("cast(attempt_order.event_id % 2 + 1 as int)").alias("attempt_no"),
+        tagged("itm-", F.expr(f"attempt_order.event_id div {tries}")).alias("item_id"),
+        F.expr(f"cast(attempt_order.event_id % {tries} + 1 as int)").alias("attempt_no"),
         "http_status",
         F.when(F.col("http_status") == 200, tagged("sx-", "attempt_order.event_id")).alias(
             "target_id"

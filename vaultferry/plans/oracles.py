@@ -727,7 +727,67 @@ SQL = {
                    ('Failed', 'Rehydrated'), ('Ingesting', 'Failed'))) as illegal
         from (select *, lag(status) over (partition by key order by ts, event_id) as before
               from v_history) group by key""",
+    "stream_answers": f"""
+        select s.idempotency_key, {_time("sent_at")} as sent_at, {_time("ts")} as answered_at,
+               case when ts is null then 'ItemTransientFailed' when k < 60 then 'ItemMigrated'
+                    when k between 85 and 92 then 'ItemPermanentFailed' else 'ItemTransientFailed'
+               end as event_type,
+               case when ts is null then 'NO_ANSWER' else error_code end as error_code
+        from (select 'itm-' || o_orderkey as idempotency_key, o_orderkey as n,
+                     timestamp '2024-01-01' + to_seconds(o_orderkey
+                         * (2592000 // (select max(event_id) + 1 from events))) as sent_at
+              from orders) s
+        left join v_attempts a
+          on a.event_id = n and ts >= sent_at and ts <= sent_at + interval 12 hours""",
+    "stream_second_source": _run_totals("run-batch"),
+    "retry_loop": """
+        with t as (
+            select i.item_id, event_id % 3 + 1 as n, k, k between 60 and 84 or k between 93 and 96 as again,
+                   min(case when k < 60 then event_id % 3 + 1 end) over (partition by i.item_id) as good
+            from v_attempts a join v_run_items i on i.item_id = 'itm-' || (a.event_id // 3)
+            where i.error_code is null
+        ), c as (select * from t where good is null or n <= good)
+        select case when good is null then 'Failed' else 'Migrated' end as what,
+               count(distinct item_id) + any_value(case when good is null then bad else 0 end) as n,
+               cast(count(*) + any_value(case when good is null then bad else 0 end) as bigint) as attempts
+        from c, (select count(*) as bad from v_run_items where error_code is not null)
+        group by good is null, 1
+        union all
+        select 'open', count(*), 0 from (
+            select item_id from c where good is null group by item_id having arg_max(again, n))
+        union all
+        select 'sent', (select count(*) from v_run_items where error_code is null) + count(*), 0
+        from c where again""",
+    "replaced_parts": """
+        with b as (
+            select part_id, cast(substr(part_id, 5) as bigint) as n,
+                   payload || case when cast(substr(part_id, 5) as bigint) % 3 = 0 then '-v2' else '' end as good
+            from v_blobs
+        ), x as (
+            select coalesce(p.part_id, b.part_id) as part_id,
+                   sha256(good || case when n % 31 = 0 then '!' else '' end) as sha256,
+                   case when n % 3 = 0 then sha256(good) else lower(p.sha256) end as stated,
+                   case when p.part_id is null then null when n % 3 = 0 then strlen(good)
+                        else p.size_bytes end as size_bytes,
+                   b.part_id is null as gone, p.part_id is null as unknown
+            from v_parts p full join b on p.part_id = b.part_id
+        )
+        select distinct r.part_id, x.sha256, x.size_bytes,
+               case when x.part_id is null or gone then 'BLOB_NOT_FOUND' when unknown then 'PART_NOT_FOUND'
+                    when stated <> x.sha256 then 'HASH_MISMATCH' end as error
+        from v_refs r join v_run_items i on r.item_id = i.item_id left join x on r.part_id = x.part_id
+        where cast(substr(r.item_id, 5) as bigint) % 2 = 1""",
+    "blob_files": """
+        select 'doc-' || doc_id as part_id, sha256(t) as sha256, strlen(t) as blob_bytes
+        from (select doc_id, case when doc_id % 10 = 0 then '' else coalesce(text, '') end as t from documents)""",
+    "outbox_sink": """
+        select key as idempotency_key,
+               case type when 'Mailbox' then 'user_mailbox' when 'Journal' then 'compliance_journal'
+                    else 'file_archive' end as archive_class, target_archive
+        from v_run_items where error_code is null""",
+    "outbox_sink_stream": "select doc_id, lang as archive_class, n_chars from documents",
 }
+SQL["status_tracker_out_of_order"] = SQL["status_tracker"]
 
 
 def _needed(sql: str) -> list[str]:
@@ -747,5 +807,9 @@ def oracle_statements() -> dict[str, str]:
     statements = {}
     for name, sql in SQL.items():
         views = ", ".join(f"{v} as ({VIEWS[v]})" for v in _needed(sql))
-        statements[name] = f"with {views} {sql}" if views else sql
+        body = sql.strip()
+        if views and body.startswith("with "):
+            statements[name] = f"with {views}, {body[5:]}"
+        else:
+            statements[name] = f"with {views} {body}" if views else sql
     return statements

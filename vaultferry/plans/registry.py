@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,13 @@ from vaultferry.operators import report, state
 from vaultferry.operators.transform import build_messages, transform_error
 from vaultferry.options import MIGRATE, RETAIN, MigrationFilters
 from vaultferry.plans import migration as mg
+from vaultferry.plans import retries
 from vaultferry.session import durable, prepare_session, scratch_path
 from vaultferry.sinks import writers
+from vaultferry.sinks.outbox_sink import register_outbox
 from vaultferry.sources import readers
-from vaultferry.streaming import jobs
+from vaultferry.sources.part_files import register_part_files
+from vaultferry.streaming import answers, jobs, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1271,4 +1275,177 @@ def status_tracker(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def status_tracker_out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    """Status per key of a stream whose neighbouring slices of time are mixed."""
+    root = scratch_path(spark, "stream-shuffled")
+    history, step = fx.arriving(fx.status_history(spark, d), "at_utc", mixed=True)
+    late = f"{2 * step} microseconds"
+    return tracker.track_out_of_order(
+        spark, history, f"{root}/status", f"{root}/checkpoint", late
+    )
+
+
+@query
+def stream_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and answers that arrive together; none within twelve hours is an outcome.
+
+    A heartbeat at the end of both streams decides the last messages.
+    """
+    root = scratch_path(spark, "stream-answers")
+    end = F.lit(datetime(2100, 1, 1)).cast("timestamp")
+    beat = F.lit(answers.HEARTBEAT).alias("idempotency_key")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (
+        ("http_status", "int"), ("exception", "string"), ("already_present", "boolean")
+    )]
+    sent, step = fx.arriving(fx.sent_messages(spark, d), "sent_at", last=[beat, end.alias("sent_at")])
+    came, _ = fx.arriving(
+        fx.answers_to_messages(spark, d), "at_utc", last=[beat, end.alias("at_utc"), *nothing]
+    )
+    late = f"{2 * step} microseconds"
+    found = answers.drain_answers(
+        sent, came, "12 hours", late, f"{root}/rows", f"{root}/checkpoint"
+    )
+    return timed(found, "sent_at", "answered_at")
+
+
+@query
+def stream_second_source(spark: SparkSession, d: str) -> DataFrame:
+    """Two item streams, each with its folder and checkpoint, feed one run; the second one is
+    then started again. Every item counts once."""
+    root = scratch_path(spark, "stream-second")
+    inputs, options, store = _inputs(spark, d), fx.options(), f"{root}/store"
+    odd = F.substring_index("item_id", "-", -1).cast("bigint") % 2 == 1
+    halves = partial(fx.stream, arrivals=2)
+    first, second = fx.items(spark, d, halves).where(odd), fx.items(spark, d, halves).where(~odd)
+    receipts = fx.receipts(spark, d, halves)
+    jobs.stream_migration(spark, first, inputs, options, store, f"{root}/a")
+    jobs.stream_migration(spark, second, inputs, options, store, f"{root}/b")
+    return _summary(
+        jobs.stream_migration(spark, second, inputs, options, store, f"{root}/b", receipts)
+    )
+
+
+@query
+def retry_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts in three batches, each followed by a pass that sends the due keys again."""
+    store = scratch_path(spark, "retry-loop")
+    inputs, receipts = _inputs(spark, d), fx.receipts(spark, d, tries=3)
+    execution = mg.start_run(spark, inputs, fx.options(), store)
+    mg.migrate_batch(execution, inputs)
+    for n in (1, 2, 3):
+        mg.apply_delivery(execution, receipts.where(F.col("attempt_no") == n))
+        retries.retry_pass(execution, datetime(2100, 1, 1))
+    records = mg.records_of(spark, store)
+    left = retries.open_retries(execution)
+    assert records is not None and left is not None
+    folded = state.fold_records(records).groupBy(F.col("status").alias("what"))
+    kept = folded.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("attempt_count").cast("bigint").alias("attempts")
+    )
+    none = F.lit(0).cast("bigint").alias("attempts")
+    waiting = left.select(F.lit("open").alias("what")).groupBy("what").count()
+    sent = spark.read.text(execution.path("outbox")).select(F.lit("sent").alias("what"))
+    return kept.union(waiting.select("what", "count", none)).union(
+        sent.groupBy("what").count().select("what", "count", none)
+    )
+
+
+def _changed_blobs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(blobs, parts) after a third of the parts were replaced and some bytes damaged."""
+    number = F.substring_index("part_id", "-", -1).cast("bigint")
+    replaced, damaged = number % 3 == 0, number % 31 == 0
+    bytes_ = F.col("content").cast("string")
+    bytes_ = F.when(replaced, F.concat(bytes_, F.lit("-v2"))).otherwise(bytes_)
+    good = fx.blobs(spark, d).select("part_id", bytes_.alias("content"))
+    stated = good.where(replaced).select(
+        "part_id",
+        F.sha2("content", 256).alias("_sha256"),
+        F.octet_length("content").cast("bigint").alias("_size"),
+    )
+    parts = fx.parts(spark, d).join(stated, "part_id", "left").withColumns(
+        {"sha256": F.coalesce("_sha256", "sha256"), "size_bytes": F.coalesce("_size", "size_bytes")}
+    )
+    hit = F.when(damaged, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    blobs = good.select("part_id", hit.cast("binary").alias("content")).withColumn(
+        "version", F.when(replaced | damaged, "2").otherwise("1")
+    )
+    return blobs, parts.select(*schemas.PARTS.names)
+
+
+@query
+def replaced_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over one store; between them parts are replaced and bytes damaged.
+
+    The parts of the second run's items, as that run saw them.
+    """
+    store = scratch_path(spark, "replaced")
+    inputs = _inputs(spark, d)
+    odd = F.substring_index("item_id", "-", -1).cast("bigint") % 2 == 1
+    before = fx.blobs(spark, d).withColumn("version", F.lit("1"))
+    first = replace(
+        inputs, items=inputs.items.where(~odd), blob_hashes=readers.blob_hashes(before)
+    )
+    mg.run_migration(spark, first, fx.options(), store)
+    blobs, parts = _changed_blobs(spark, d)
+    second = replace(
+        inputs, items=inputs.items.where(odd), blob_hashes=readers.blob_hashes(blobs), parts=parts
+    )
+    mg.run_migration(spark, second, replace(fx.options(), run_id="run-second"), store)
+    checked = spark.read.parquet(f"{store}/checked").where(odd)
+    return checked.select("part_id", "sha256", "size_bytes", "error").distinct()
+
+
+@query
+def blob_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as one file each, every tenth without bytes, read without a listing."""
+    register_part_files(spark)
+    path = scratch_path(spark, "blob-files")
+    text = F.when(F.col("doc_id") % 10 != 0, F.col("text"))
+    rows = fx.table(spark, d, "documents").select(
+        fx.tagged("doc-", "doc_id").alias("part_id"),
+        F.coalesce(text, F.lit("")).cast("binary").alias("content"),
+    )
+    rows.repartition(8).write.format("part_files").mode("append").save(path)
+    files = spark.read.format("part_files").option("partitions", 8).load(path)
+    return files.select("part_id", "sha256", "blob_bytes")
+
+
+@query
+def outbox_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of a run delivered through the sink, a batch of it written twice."""
+    register_outbox(spark)
+    path = scratch_path(spark, "outbox-sink")
+    plan = mg.plan_migration(spark, _inputs(spark, d), fx.options(), keep=durable)
+    rows = durable(writers.outbox_rows(plan.messages()))
+    for _ in range(2):
+        rows.write.format("outbox").mode("append").option("batch", "all").save(path)
+    held = spark.read.format("outbox").load(path)
+    return held.select(
+        F.get_json_object("message", "$.idempotencyKey").alias("idempotency_key"),
+        "archive_class",
+        F.get_json_object("message", "$.targetArchive").alias("target_archive"),
+    )
+
+
+@query
+def outbox_sink_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that arrive in several micro-batches, delivered through the sink."""
+    register_outbox(spark)
+    root = scratch_path(spark, "outbox-stream")
+    rows = fx.stream(spark, d, "documents").select(
+        F.col("lang").alias("archive_class"),
+        F.to_json(F.struct("doc_id", "source", "n_chars")).alias("message"),
+    )
+    writer = rows.writeStream.format("outbox").option("path", f"{root}/outbox")
+    writer = writer.option("stream", "documents").option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.format("outbox").load(f"{root}/outbox")
+    return held.select(
+        F.get_json_object("message", "$.doc_id").cast("bigint").alias("doc_id"),
+        "archive_class",
+        F.get_json_object("message", "$.n_chars").cast("bigint").alias("n_chars"),
+    )
+
+
 FLAGSHIP = "dry_run_archive_summary"
