@@ -1,6 +1,10 @@
 """Main text of pages, and the window sums against their definition."""
 
+import os
+import re
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from vaultferry.llm import html_text as ht
@@ -61,6 +65,101 @@ def test_no_block_of_the_story_is_lost(page, text):
     assert ht.main_text(page) == text
 
 
+NAMES = [
+    "div class='overflow-hidden'",
+    "div aria-hidden='false'",
+    "div data-x='a hidden b' title='hidden'",
+    "section id='discussion'",
+    "section id='in-popular-culture'",
+    "section id='art-form'",
+    "div class='market-share-report'",
+    "div class='layout sidebar-right'",
+    "div class='sidebar'",
+    "div class='post has-sidebar search-engines'",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_that_hold_the_story(name):
+    tag = name.split()[0]
+    part = f"<{name}><p>{LONG}</p><p>More.</p></{tag}>"
+    inside = f"{LONG.strip()} More."
+    assert ht.main_text(f"<nav>{BOX}</nav>{part}<footer>x</footer>") == inside
+    assert ht.main_text(f"<div>{HEAD}{part}{END}</div>") == f"Short title {inside} Short end."
+    assert ht.main_text(f"<{name}><article>{HEAD}{part}</article></{tag}>") == f"Short title {inside}"
+
+
+GONE = [
+    "div hidden",
+    "div class='hidden'",
+    "div style='color:red; display: none'",
+    "div aria-hidden=true",
+    "div class='site-header'",
+    "ul class='comment-list'",
+    "div class='post related-posts'",
+    "div id=cookie-banner",
+    "div class=newsletter",
+]
+
+
+@pytest.mark.parametrize("name", GONE)
+def test_names_of_parts_around(name):
+    box = f"<{name}><p>{BOX}</p></{name.split()[0]}>"
+    assert ht.main_text(f"<div>{HEAD}<p>{LONG}{LONG}</p>{box}{END}</div>") == f"Short title {LONG}{LONG.strip()} Short end."
+
+
+def test_an_article_keeps_its_headline():
+    page = f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By A. on Monday</p></header><p>{LONG}</p></article>"
+    assert ht.main_text(page) == f"Title {LONG.strip()}"
+
+
+def plain_main_lines(weights, used):
+    """The definition, line by line."""
+    n = len(weights)
+    sums = [sum(weights[i : i + ht.WINDOW]) for i in range(n)]
+    runs, i = [], 0
+    while i < n:
+        if not used[i]:
+            i += 1
+            continue
+        end = i
+        empty = 0
+        for j in range(i, n):
+            empty = 0 if used[j] else empty + 1
+            if empty == ht.WINDOW:
+                break
+            if used[j]:
+                end = j
+        runs.append((i, end + 1))
+        i = end + 1
+    good = [r for r in runs if max(sums[r[0] : r[1]]) >= ht.SURGE]
+    if not good and runs:
+        good = [max(runs, key=lambda r: sum(weights[r[0] : r[1]]))]
+    return [bool(used[i]) and any(a <= i < b for a, b in good) for i in range(n)]
+
+
+def test_cuts_equal_the_definition():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(rng.integers(1, 40))
+        used = rng.random(n) < rng.random()
+        weights = np.where(used, rng.integers(0, 60, n), 0)
+        assert ht.main_lines(weights, used).tolist() == plain_main_lines(weights.tolist(), used.tolist())
+
+
+def test_surges_decide_on_pages_without_names(monkeypatch):
+    """Real pages whose parts have no telling names: menus fall to the density alone."""
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the test tables")
+    pages = [p for p in pq.read_table(path, columns=["html"]).column(0).to_pylist() if p]
+    plain = [re.sub(r"(</?)(article|nav)\b", r"\1div", p) for p in pages]
+    found = [ht.main_text(p) for p in plain]
+    assert found == [ht.main_text(p) for p in pages]
+    monkeypatch.setattr(ht, "main_lines", lambda weights, used: used.copy())
+    assert sum(ht.main_text(p) != f for p, f in zip(plain, found)) > len(pages) / 2
+
+
 def test_window_sums():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 10, 57):

@@ -32,15 +32,26 @@ VOID = frozenset(
 )
 # Elements a new one of these kinds closes, as authors leave out the end tags.
 SELF_CLOSING = frozenset("p li dt dd tr td th option thead tbody".split())
-# Words of a class, id or role that mark a part around the article.
+# Class tokens, ids and roles that mark a part around the article, whatever its length.
 NOTES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion "
-    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail widget widgets "
-    "footer header masthead cookie cookies consent gdpr notice notification alert popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended recommendations trending popular comment comments reply replies disqus respond "
-    "discussion toolbar pagination pager skip complementary contentinfo search form".split()
+    "ad ads advert adverts advertisement advertising nav navbar navigation menu breadcrumb "
+    "breadcrumbs cookie cookies consent gdpr comment comments reply replies disqus pagination "
+    "pager skip".split()
 )
+# Those that only do so for a part which is not the story itself.
+HINTS = frozenset(
+    "sponsor sponsored promo promoted promotion banner sidebar side rail widget widgets footer "
+    "header masthead notice notification alert popup modal overlay newsletter subscribe "
+    "subscription signup login share sharing social related recommended recommendations trending "
+    "popular respond toolbar complementary contentinfo search form".split()
+)
+# Words that may join one of these in a name such as "site-header" or "comment-list".
+JOINED = frozenset(
+    "site page main top bottom left right list box bar buttons button links posts section wrapper "
+    "wrap container block slot area items icons inner outer primary secondary global sticky".split()
+)
+# Tokens of an element that lays out the page, whose other tokens say what lies beside it.
+FRAMES = frozenset("layout page wrapper container content row columns grid site story".split())
 ROLES = frozenset("article main".split())
 # A first word that makes a name speak of the page's layout, such as "with-sidebar".
 LAYOUT = frozenset("with without has no".split())
@@ -57,21 +68,44 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN_BY = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN_BY = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
+HIDDEN_AS = re.compile(
+    r"aria-hidden\s*=\s*[\"']?true\b|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none", re.IGNORECASE
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 
 
-def _is_around(name: str, rest: str, notes: bool) -> bool:
-    if name in AROUND or name in HIDDEN:
-        return True
-    if not rest or not notes or name == "main":
-        return False
+def marked(rest: str) -> str:
+    """What the names of an element say: "note", "hint", or nothing.
+
+    Whole tokens count, and compounds of which every word is known; a word within another name
+    says nothing.
+    """
+    found = ""
     for m in NAMED.finditer(rest):
-        for value in (m[1] or m[2] or m[3] or "").lower().split():
-            words = re.split(r"[_-]+", value)
-            if words[0] not in LAYOUT and not NOTES.isdisjoint(words):
-                return True
-    return bool(HIDDEN_BY.search(rest))
+        tokens = (m[1] or m[2] or m[3] or "").lower().split()
+        if not FRAMES.isdisjoint(tokens):
+            continue
+        for token in tokens:
+            words = re.split(r"[_-]+", token)
+            if words[0] in LAYOUT or not all(w in NOTES or w in HINTS or w in JOINED for w in words):
+                continue
+            if not NOTES.isdisjoint(words):
+                return "note"
+            if not HINTS.isdisjoint(words):
+                found = "hint"
+    return found
+
+
+def is_hidden(rest: str) -> bool:
+    """Whether an element is not shown: by the attribute, a style, or a class of that name."""
+    if "hidden" not in rest.lower() and "display" not in rest.lower():
+        return False
+    if HIDDEN_BY.search(QUOTED.sub('""', rest)) or HIDDEN_AS.search(rest):
+        return True
+    return any("hidden" in (m[1] or m[2] or m[3] or "").lower().split() for m in NAMED.finditer(rest))
 
 
 @dataclass
@@ -83,23 +117,29 @@ class Page:
     """
 
     lines: list[tuple[str, int, int, int]] = field(default_factory=list)
+    # Characters outside links in all, in articles, and likewise in each part that is a hint.
+    total: list[int] = field(default_factory=lambda: [0, 0])
+    hints: list[list[int]] = field(default_factory=list)
     parents: list[int] = field(default_factory=lambda: [0])
     articles: list[bool] = field(default_factory=lambda: [False])
 
 
-def lines_of(page: str, notes: bool = True) -> Page:
+def lines_of(page: str, notes: bool = True, hints: frozenset[int] | None = None) -> Page:
     """Lines of a page and their containers.
 
     Markup is stripped; a part around the article leaves empty lines, as many as a window
     is long, so that text on its two sides never meets in one window. Inside an article such
-    a part is just left out. ``notes`` tells whether classes, ids and roles are regarded.
+    a part is just left out; of an article's own header the headings stay. ``notes`` tells
+    whether classes, ids and roles are regarded, ``hints`` which of the parts with a hint, in
+    page order, are left out (none if not given).
     """
     found = Page()
     lines = found.lines
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, around, article, container
+    # Element, around, article, container, number of its hint (-1: none), header of an article.
+    stack: list[tuple[str, bool, bool, bool, int, bool]] = []
     text: list[str] = []
     plain = 0
-    around = article = links = holder = named = 0
+    around = article = links = holder = named = headers = heads = 0
 
     def close_line() -> None:
         nonlocal plain
@@ -115,8 +155,8 @@ def lines_of(page: str, notes: bool = True) -> Page:
             lines.extend([("", 0, 0, holder)] * WINDOW)
 
     def leave() -> str:
-        nonlocal around, article, links, holder
-        name, was_around, was_article, was_container = stack.pop()
+        nonlocal around, article, links, holder, headers, heads
+        name, was_around, was_article, was_container, hint, was_header = stack.pop()
         if was_around:
             text.clear()
             around -= 1
@@ -132,15 +172,23 @@ def lines_of(page: str, notes: bool = True) -> Page:
         if was_article:
             gap()
         links -= name == "a"
+        headers -= was_header
+        heads -= name in HEADINGS
+        if hint >= 0:
+            before, part = found.hints[hint], found.total
+            found.hints[hint] = [part[0] - before[0], part[1] - before[1]]
         return name
 
     def add(raw: str) -> None:
         nonlocal plain
-        if raw and not around:
+        if raw and not around and (heads or not headers):
             piece = html.unescape(raw)
             text.append(piece)
             if not links:
-                plain += len(piece.strip())
+                size = len(piece.strip())
+                plain += size
+                found.total[0] += size
+                found.total[1] += size if article else 0
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -171,7 +219,14 @@ def lines_of(page: str, notes: bool = True) -> Page:
         if name in VOID or rest.endswith("/"):
             continue
         is_article = name in ROLES or ("role" in rest and re.search(r"role=\W?(main|article)", rest))
-        is_around = name not in ("html", "body") and _is_around(name, rest, notes)
+        is_header = name == "header" and article > 0 and not around
+        hint, is_around = -1, (name in AROUND or name in HIDDEN) and not is_header
+        if rest and notes and name not in ("html", "body", "main"):
+            said = "note" if is_hidden(rest) else marked(rest)
+            if said == "hint":
+                hint = len(found.hints)
+                found.hints.append(found.total.copy())
+            is_around |= said == "note" or (hints is not None and hint in hints)
         if is_article and not around:
             gap()
             named += not article
@@ -187,7 +242,9 @@ def lines_of(page: str, notes: bool = True) -> Page:
             found.parents.append(holder)
             found.articles.append(is_article)
             holder = len(found.parents) - 1
-        stack.append((name, is_around, is_article, is_container))
+        headers += is_header
+        heads += name in HEADINGS
+        stack.append((name, is_around, is_article, is_container, hint, is_header))
     add(page[at:])
     while stack:
         leave()
@@ -262,13 +319,29 @@ def story_lines(
     return keep | story, story
 
 
+def noted_lines(page: str) -> Page:
+    """Lines of a page without the parts that names mark as lying around the article.
+
+    A hint does not hold for a part with more than half of the text in articles, or of all
+    text where none is in an article: that part is the story.
+    """
+    found = lines_of(page)
+    if not found.hints:
+        return found
+    article = found.total[1] > 0
+    whole = found.total[article]
+    return lines_of(
+        page, hints=frozenset(n for n, h in enumerate(found.hints) if 2 * h[article] <= whole)
+    )
+
+
 def main_text(page: str) -> str:
     """Text of the article, its blocks joined by one space; empty if there is none.
 
     Where the page names its article, only lines inside it count, unless a longer surge lies
     outside: then what is named so are teasers, which count only if they surge themselves.
     """
-    found = lines_of(page)
+    found = noted_lines(page)
     used = np.array([bool(line[0]) for line in found.lines], bool)
     if not used.any():  # names that mark parts around an article mark everything here
         found = lines_of(page, notes=False)
