@@ -151,3 +151,70 @@ def test_held_out_accuracy(spark):
         held = scores(docs, labels).where("held_out").join(labels, "doc_id")
         right = held.selectExpr(f"avg(cast(predicted = {column} as int)) as r").first().r
         assert right >= least, (column, right)
+
+
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def test_one_long_text_keeps_no_other_out(spark):
+    """A text near the bound, wherever its hash puts it, is passed over; both labels stay."""
+    for long_id in range(20):
+        rows = [(n, "x" * (380 if n == long_id else 5)) for n in range(20)]
+        docs = documents(spark, rows)
+        labels = spark.createDataFrame([(n, n % 2, n % 2) for n in range(20)], LABELS)
+        texts, marks = training_sample(docs, labels, "toxic", 100, 99, rows=20, size=20)
+        assert len(texts) >= 19 and set(marks) == {0, 1}
+        if long_id > 2:
+            break
+
+
+def test_a_rare_label_is_in_the_sample(spark):
+    docs = documents(spark, [(n, f"t{n}") for n in range(300)])
+    labels = spark.createDataFrame([(n, 0, int(n == 7)) for n in range(300)], LABELS)
+    texts, marks = training_sample(docs, labels, "toxic", 1000, 999, rows=30, size=20)
+    assert marks.count(1) == 1 and 30 <= len(texts) <= 31
+
+
+def plain_probability(net, text):
+    """The network written out: one filter at one step at a time."""
+    panes = max(1, -(-len(text) // ql.PANE))
+    raw = text.ljust(panes * ql.PANE + ql.STRIDE, b"\0")
+    tops = []
+    for pane in range(panes):
+        best = [0.0] * ql.FILTERS
+        for step in range(ql.STEPS):
+            at = pane * ql.PANE + step * ql.STRIDE
+            if at >= len(text):
+                continue
+            one = np.concatenate([net.embed[b] for b in raw[at : at + ql.STRIDE]])
+            two = np.concatenate([net.embed[b] for b in raw[at + ql.STRIDE : at + 2 * ql.STRIDE]])
+            for f in range(ql.FILTERS):
+                value = one @ net.left[:, f] + two @ net.right[:, f] + net.shift[f]
+                best[f] = max(best[f], float(value))
+        tops.append(best)
+    pairs = list(zip(tops, tops[1:])) or [(tops[0], tops[0])]
+    features = [np.mean([max(a[f], b[f]) for a, b in pairs]) for f in range(ql.FILTERS)]
+    return 1 / (1 + np.exp(-(np.dot(features, net.out) + net.bias[0])))
+
+
+def test_scores_equal_the_plain_network(monkeypatch):
+    net = ql._fresh(3)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 256, 257, 700, 1500)]
+    want = [plain_probability(net, t) for t in texts]
+    assert np.allclose(ql.probabilities(net, texts), want, atol=1e-5)
+    monkeypatch.setattr(ql, "STEP_BYTES", 600)
+    assert np.allclose(ql.probabilities(net, texts), want, atol=1e-5)
+
+
+def test_long_texts_in_runs(monkeypatch):
+    """Scores and gradients of a text in several runs are those of the whole."""
+    net = ql._fresh(5)
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (5000, 2048, 300, 4097)]
+    wanted = np.array([1, 0, 1, 0], np.float32)
+    scores, grads = ql.probabilities(net, texts), ql._batch_gradients(net, texts, wanted)
+    monkeypatch.setattr(ql, "STEP_BYTES", 1024)
+    assert np.allclose(ql.probabilities(net, texts), scores, atol=1e-6)
+    for a, b in zip(ql._batch_gradients(net, texts, wanted), grads):
+        assert np.allclose(a, b, atol=1e-5)

@@ -121,15 +121,48 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _runs(net: Network, text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """A long text pane by pane, some at a time: first pane, bytes, embedded steps, outputs.
+
+    The bytes and steps of a run end with the step after it, which its last filter covers.
+    """
+    count, used = -(-len(text) // PANE), -(-len(text) // STRIDE)
+    width = max(1, STEP_BYTES // PANE)
+    for start in range(0, count, width):
+        size = (min(start + width, count) - start) * PANE + STRIDE
+        raw = text[start * PANE : start * PANE + size].ljust(size, b"\0")
+        data = np.frombuffer(raw, np.uint8)
+        steps = net.embed[data].reshape(-1, STRIDE * DIM)
+        out = steps[:-1] @ net.left
+        out += net.shift
+        out += steps[1:] @ net.right
+        np.maximum(out, 0, out=out)
+        out[max(0, used - start * STEPS) :] = 0
+        yield start, data.reshape(-1, STRIDE), steps, out.reshape(-1, STEPS, FILTERS)
+
+
+def _pane_maxima(net: Network, text: bytes) -> np.ndarray:
+    return np.concatenate([cells.max(axis=1) for _, _, _, cells in _runs(net, text)])
+
+
+def _long_features(net: Network, text: bytes) -> np.ndarray:
+    """Features of one long text; of every pane only the maxima are kept."""
+    top = _pane_maxima(net, text)
+    return np.maximum(top[:-1], top[1:]).mean(axis=0, dtype=np.float64).astype(np.float32)[None]
+
+
 def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
-    """One probability per text, in steps of bounded size; a long text is one step."""
+    """One probability per text, in steps of bounded size; a long text takes several."""
     parts, start = [], 0
     while start < len(texts):
         end, size = start, 0
         while end < len(texts) and (end == start or size + len(texts[end]) <= STEP_BYTES):
             size += len(texts[end])
             end += 1
-        features = _features(net, _lay_out(texts[start:end]))
+        if size > max(STEP_BYTES, PANE):
+            features = _long_features(net, texts[start])
+        else:
+            features = _features(net, _lay_out(texts[start:end]))
         parts.append(_squash(features @ net.out + net.bias[0]))
         start = end
     return np.concatenate(parts).astype(np.float64) if parts else np.empty(0)
@@ -175,6 +208,35 @@ def _gradients(net: Network, texts: list[bytes], wanted: np.ndarray) -> list[np.
     return [d_embed, d_left.T, d_right.T, d_shift, features.T @ error, error.sum(keepdims=True)]
 
 
+def _long_gradients(net: Network, text: bytes, wanted: np.float32) -> list[np.ndarray]:
+    """Gradients of one long text: its panes are gone through twice, run by run."""
+    top = _pane_maxima(net, text)
+    second = top[1:] > top[:-1]
+    features = np.maximum(top[:-1], top[1:]).mean(axis=0, dtype=np.float64).astype(np.float32)
+    error = (_squash(features @ net.out + net.bias[0]) - wanted).astype(np.float32)
+    to_chunk = (error / len(second) * net.out).astype(np.float32)
+    to_pane = np.zeros_like(top)
+    to_pane[:-1] += np.where(second, 0, to_chunk)
+    to_pane[1:] += np.where(second, to_chunk, 0)
+    to_pane[top <= 0] = 0
+    d_embed = np.zeros_like(net.embed)
+    d_left, d_right = np.zeros_like(net.left.T), np.zeros_like(net.right.T)
+    d_shift = np.zeros_like(net.shift)
+    for start, byte, steps, cells in _runs(net, text):
+        weight = to_pane[start : start + len(cells)].ravel()
+        at = (cells.argmax(axis=1) + np.arange(len(cells))[:, None] * STEPS).ravel()
+        filters = np.tile(np.arange(FILTERS), len(cells))
+        live = weight != 0
+        at, filters, weight = at[live], filters[live], weight[live]
+        np.add.at(d_left, filters, weight[:, None] * steps[at])
+        np.add.at(d_right, filters, weight[:, None] * steps[at + 1])
+        for half, seen in ((net.left, byte[at]), (net.right, byte[at + 1])):
+            back = (weight[:, None] * half.T[filters]).reshape(-1, STRIDE, DIM)
+            np.add.at(d_embed, seen.ravel(), back.reshape(-1, DIM))
+        d_shift += np.bincount(filters, weight, FILTERS).astype(np.float32)
+    return [d_embed, d_left.T, d_right.T, d_shift, features * error, np.array([error])]
+
+
 def _batch_gradients(net: Network, texts: list[bytes], wanted: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean log loss of a batch, in steps of bounded size as for scores."""
     total, start = None, 0
@@ -183,7 +245,10 @@ def _batch_gradients(net: Network, texts: list[bytes], wanted: np.ndarray) -> li
         while end < len(texts) and (end == start or size + len(texts[end]) <= STEP_BYTES):
             size += len(texts[end])
             end += 1
-        grads = _gradients(net, texts[start:end], wanted[start:end])
+        if size > max(STEP_BYTES, PANE):
+            grads = _long_gradients(net, texts[start], wanted[start])
+        else:
+            grads = _gradients(net, texts[start:end], wanted[start:end])
         if end - start < len(texts):
             grads = [g * np.float32((end - start) / len(texts)) for g in grads]
         total = grads if total is None else [a + b for a, b in zip(total, grads)]
