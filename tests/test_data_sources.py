@@ -1,5 +1,6 @@
-"""Part files and the outbox as data sources."""
+"""Part files, the identity document and the outbox as data sources."""
 
+import json
 import os
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.build import sha
 from vaultferry.sinks import outbox_sink as sink
+from vaultferry.sources import identity_file as idf
 from vaultferry.sources import part_files as pf
 
 PARTS = [(f"p-{n}", bytes([n]) * (n * 1000)) for n in range(8)] + [("empty", b""), ("ü x", b"u")]
@@ -136,3 +138,44 @@ def test_a_changed_file_is_noticed(spark, tmp_path):
         f.write('["x", "y"]\n')
     with pytest.raises(Exception, match="not what its manifest says"):
         held(spark, path)
+
+
+STRANGE = [
+    {"upn": "a@x", "targetArchiveId": 't{"upn": "no"}'},
+    {"targetArchiveId": "t2", "upn": 'quote " brace } back \\ {"upn":'},
+    {"note": {"deep": [1, {"x": "]}"}]}, "upn": "c@x", "targetArchiveId": "é" * 50},
+    {"upn": None, "targetArchiveId": "t4"},
+    {"upn": "a@x", "targetArchiveId": "later", "note": "{[" * 9},
+    {"note": "]", "targetArchiveId": "t6"},
+]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_ranges_of_a_document_cover_every_entry(tmp_path, indent):
+    """Wherever the file is cut, each entry is read once, in order of its offset."""
+    entries = [dict(e, upn=e.get("upn") and e["upn"] + str(n)) for n in range(4) for e in STRANGE]
+    path = str(tmp_path / "map.json")
+    with open(path, "w") as f:
+        json.dump({"version": 1, "mappings": entries, "end": [1]}, f, indent=indent, ensure_ascii=False)
+    want = [(e.get("upn"), e.get("targetArchiveId")) for e in entries]
+    for size in (1, 7, 50, 333, 1000, 10**6):
+        reader = idf.IdentityReader(path, size)
+        rows = [r for span in reader.partitions() for r in reader.read(span)]
+        if size >= 50:
+            assert [r[:2] for r in sorted(rows, key=lambda r: r[2])] == want
+            assert len({r[2] for r in rows}) == len(want)
+
+
+def test_identity_documents(spark, tmp_path):
+    idf.register_identity_map(spark)
+    for body, n in (('{"mappings": []}', 0), ('{"mappings": null}', 0), ("{}", 0), ("", 0)):
+        with open(tmp_path / "m.json", "w") as f:
+            f.write(body)
+        assert spark.read.format("identity_map").load(str(tmp_path / "m.json")).count() == n
+    entries = [{"upn": f"u{n % 50}", "targetArchiveId": f"t{n}"} for n in range(500)]
+    with open(tmp_path / "m.json", "w") as f:
+        json.dump({"mappings": entries}, f)
+    rows = spark.read.format("identity_map").option("rangeBytes", 2000).load(str(tmp_path / "m.json"))
+    assert rows.rdd.getNumPartitions() > 5
+    last = rows.groupBy("upn").agg(F.max_by("target_archive", "pos").alias("t")).collect()
+    assert {r["upn"]: r["t"] for r in last} == {f"u{n}": f"t{450 + n}" for n in range(50)}

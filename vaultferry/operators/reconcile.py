@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Size of a sketch of distinct hashes: 2^14 registers, 12 KB.
+SKETCH_BITS = 14
+
 
 def target_stats(
     registry: DataFrame, part_store: DataFrame, attempts: DataFrame | None = None
@@ -32,6 +35,24 @@ def target_stats(
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names])
 
 
+def part_sketch(parts: DataFrame) -> DataFrame:
+    """One row to store with a batch of parts: their number and a sketch of their hashes."""
+    return parts.agg(
+        F.count(F.lit(1)).alias("parts"), F.hll_sketch_agg("sha256", F.lit(SKETCH_BITS)).alias("sketch")
+    )
+
+
+def target_stats_approx(sketches: DataFrame) -> DataFrame:
+    """Parts and different parts over all batches, from their sketches alone.
+
+    The standard error is 0.83 / 2^(SKETCH_BITS / 2), about 0.65 %; no part row is read.
+    """
+    return sketches.agg(
+        F.coalesce(F.sum("parts"), F.lit(0)).cast("bigint").alias("parts"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("unique_parts"),
+    )
+
+
 def ingested_by_target(registry: DataFrame) -> DataFrame:
     return registry.groupBy("target_archive").agg(F.count(F.lit(1)).alias("ingested"))
 

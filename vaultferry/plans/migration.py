@@ -19,6 +19,7 @@ from vaultferry.operators import audit as a
 from vaultferry.operators import ingest as ing
 from vaultferry.operators.delivery import attempt_rollup, retry_queue
 from vaultferry.operators.identity import route_archives
+from vaultferry.operators.key_index import INDEX, key_index, prune
 from vaultferry.operators.lookups import lookup_join, rows_with_keys
 from vaultferry.operators.policy import SKIPPED, with_decision
 from vaultferry.operators.rehydrate import (
@@ -515,13 +516,52 @@ def records_of(spark: SparkSession, root: str) -> DataFrame | None:
     ``compact_store`` names the batches it holds; their rows in the log are not read again.
     """
     log = read_committed(spark, root, "records", schemas.RECORDS)
+    if log is None:
+        return None
+    folded, batches = compacted_part(spark, root)
+    if folded is None:
+        return log.drop("batch_id")
+    return folded.unionByName(log.join(batches, "batch_id", "left_anti").drop("batch_id"))
+
+
+def write_key_index(execution: Execution, batch_id: str) -> None:
+    """Index the keys of the records a batch wrote, beside them."""
+    mine = writers.read_batch(
+        execution.spark, schemas.RECORDS, execution.path("records"), batch_id
+    )
+    writers.write_batch(key_index(mine), execution.path("key_index"), batch_id)
+
+
+def records_with(execution: Execution, keys: DataFrame) -> DataFrame | None:
+    """Rows of the record log that have one of some keys.
+
+    The key index tells which batches may hold one; the files of the others are not opened.
+    """
+    spark, root = execution.spark, execution.root
+    log = read_committed(spark, root, "records", schemas.RECORDS)
+    if log is None:
+        return None
+    index = read_committed(spark, root, "key_index", INDEX)
+    if index is not None:
+        indexed = [r["batch_id"] for r in index.select("batch_id").distinct().collect()]
+        log = prune(log, index, keys, indexed)
+    folded, batches = compacted_part(spark, root)
+    if folded is not None:
+        log = log.join(batches, "batch_id", "left_anti")
+    log = rows_with_keys(log.drop("batch_id"), keys, ["idempotency_key"])
+    if folded is None:
+        return log
+    return log.unionByName(rows_with_keys(folded, keys, ["idempotency_key"]))
+
+
+def compacted_part(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """The newest compacted records and the batches they hold, if there are any."""
     held = read_if_present(spark, schemas.COMPACTED, f"{root}/compacted")
-    if log is None or held is None:
-        return None if log is None else log.drop("batch_id")
+    if held is None:
+        return None, None
     newest = held.agg(F.max(F.struct("number", "folder")).alias("n")).first()["n"]
     batches = held.where(F.col("number") == newest["number"]).select("batch_id")
-    folded = spark.read.schema(schemas.RECORDS).parquet(f"{root}/{newest['folder']}")
-    return folded.unionByName(log.join(batches, "batch_id", "left_anti").drop("batch_id"))
+    return spark.read.schema(schemas.RECORDS).parquet(f"{root}/{newest['folder']}"), batches
 
 
 def compact_store(spark: SparkSession, root: str) -> None:
@@ -671,9 +711,10 @@ def migrate_batch(
         return writers.keep_batch(rows, execution.path(table), batch_id)
 
     selected = keep("selected", select_items(inputs, options, routes_of(execution)))
-    history = inputs.records if inputs.records is not None else records_of(spark, execution.root)
-    if history is not None:
-        history = rows_with_keys(history, selected, ["idempotency_key"])
+    if inputs.records is not None:
+        history = rows_with_keys(inputs.records, selected, ["idempotency_key"])
+    else:
+        history = records_with(execution, selected)
     flagged = flag_history(replace(inputs, records=history), selected)
     wanted = flagged.where(goes_on())
     if options.extensions.check_parts is not None:
@@ -690,6 +731,7 @@ def migrate_batch(
     if not options.dry_run:
         entries = record_entries(items, options, when)
         writers.append_records(entries, execution.path("records"), batch_id)
+        write_key_index(execution, batch_id)
     events = item_audit(with_error_detail(items, checked), options, when, f".{batch_id}")
     writers.append_audit(events, execution.path("audit"), batch_id)
     _mark(execution, items.where(F.col("event_type") != DELIVER), batch_id, at)
@@ -729,10 +771,8 @@ def awaiting(execution: Execution, keys: DataFrame) -> DataFrame | None:
         F.max(F.struct("written_utc", "batch_id", *rest)).alias("_i")
     )
     items = one.select("idempotency_key", "_i.*").select(*schemas.CLASSIFIED.names)
-    records = records_of(execution.spark, execution.root)
-    if records is None:
-        return items
-    return ing.skip_migrated(items, rows_with_keys(records, keys, ["idempotency_key"]))[0]
+    records = records_with(execution, keys)
+    return items if records is None else ing.skip_migrated(items, records)[0]
 
 
 def apply_delivery(
@@ -771,6 +811,7 @@ def apply_delivery(
         when = F.coalesce("at_utc", utc(at or options.as_of))
         entries = record_entries(items, options, when)
         writers.append_records(entries, execution.path("records"), batch_id)
+        write_key_index(execution, batch_id)
         events = item_audit(without_detail(items), options, when, f".{batch_id}")
         writers.append_audit(events, execution.path("audit"), batch_id)
         mine = rollup.join(items.select("idempotency_key"), "idempotency_key", "left_semi")

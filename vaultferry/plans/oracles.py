@@ -407,7 +407,8 @@ SQL = {
         select doc_id, case when doc_id % 4 in (0, 3) then sha256(text) end as sha256 from documents""",
     "short_run_ids": "select run_id || '-00' as short_id, status from v_runs",
     "snake_case_columns": """
-        select n_nationkey as nation_key, n_name as utc_name, n_regionkey as region_key_value from nation""",
+        select l_orderkey as order_key, l_linenumber as line_number_value, l_returnflag as utc_flag
+        from lineitem""",
     "part_verification": "select part_id, sha256, size_bytes, error from v_verified",
     "rehydrated_items": "select item_id, n_parts, bytes, error_code from v_content",
     "rehydration_error_parts": """
@@ -785,9 +786,15 @@ SQL = {
                case type when 'Mailbox' then 'user_mailbox' when 'Journal' then 'compliance_journal'
                     else 'file_archive' end as archive_class, target_archive
         from v_run_items where error_code is null""",
+    "target_parts_approx": "select count(*) as parts, true as near from documents",
+    "identity_document": """
+        select c_name as upn, 'tgt-' || c_custkey || '-1' as target_archive from customer""",
     "outbox_sink_stream": "select doc_id, lang as archive_class, n_chars from documents",
 }
+# The same results by another way.
 SQL["status_tracker_out_of_order"] = SQL["status_tracker"]
+SQL["reconcile_digests"] = SQL["reconcile_items"]
+SQL["stream_rate_windows"] = SQL["stream_ingest_rate"]
 
 
 def _needed(sql: str) -> list[str]:

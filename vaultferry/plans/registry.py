@@ -19,6 +19,7 @@ from vaultferry.operators import audit as au
 from vaultferry.operators import delivery, identity, ingest, policy, quality, reconcile
 from vaultferry.operators import rehydrate as rh
 from vaultferry.operators import report, state
+from vaultferry.operators.digest_tree import digest_tree, reconcile_by_digest
 from vaultferry.operators.transform import build_messages, transform_error
 from vaultferry.options import MIGRATE, RETAIN, MigrationFilters
 from vaultferry.plans import migration as mg
@@ -27,8 +28,9 @@ from vaultferry.session import durable, prepare_session, scratch_path
 from vaultferry.sinks import writers
 from vaultferry.sinks.outbox_sink import register_outbox
 from vaultferry.sources import readers
+from vaultferry.sources.identity_file import register_identity_map
 from vaultferry.sources.part_files import register_part_files
-from vaultferry.streaming import answers, jobs, tracker
+from vaultferry.streaming import answers, jobs, tracker, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -346,8 +348,12 @@ def short_run_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def snake_case_columns(spark: SparkSession, d: str) -> DataFrame:
-    renamed = fx.table(spark, d, "nation").toDF("NationKey", "UTCName", "regionKEYValue")
-    return keys.snake_case_columns(renamed)
+    lines = fx.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("OrderKey"),
+        F.col("l_linenumber").alias("lineNUMBERValue"),
+        F.col("l_returnflag").alias("UTCFlag"),
+    )
+    return keys.snake_case_columns(lines)
 
 
 # Content parts
@@ -1448,4 +1454,62 @@ def outbox_sink_stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def reconcile_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Discrepancies found through digest trees, the target's tree having been stored."""
+    path = scratch_path(spark, "digest-tree")
+    target = fx.target_side(spark, d)
+    digest_tree(target).write.parquet(path)
+    stored = spark.read.parquet(path)
+    return reconcile_by_digest(fx.local_side(spark, d), target, target_tree=stored)
+
+
+@query
+def target_parts_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Different parts from the sketches of four batches, and whether they are near enough."""
+    path = scratch_path(spark, "sketches")
+    parts = fx.table(spark, d, "documents").select(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")
+    )
+    for n in range(4):
+        mine = parts.where(F.pmod("doc_id", F.lit(4)) == n)
+        writers.write_batch(reconcile.part_sketch(mine), path, str(n))
+    exact = parts.agg(F.count_distinct("sha256")).scalar()
+    found = reconcile.target_stats_approx(spark.read.parquet(path))
+    return found.select("parts", (F.abs(F.col("unique_parts") / exact - 1) <= 0.03).alias("near"))
+
+
+@query
+def stream_rate_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The ingest rate with finished minutes appended once and open ones replaced."""
+    root = scratch_path(spark, "stream-windows")
+    rate = jobs.ingest_rate(fx.item_events(spark, d, fx.stream))
+    found = windows.drain_windows(
+        rate, ["run_id", "minute"], "minute", "1 minute", "10 minutes", root, f"{root}/checkpoint"
+    )
+    return timed(found, "minute")
+
+
+@query
+def identity_document(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON document of all customers, each twice, read in ranges; the last entry wins."""
+    register_identity_map(spark)
+    path = scratch_path(spark, "identity")
+    owners = fx.table(spark, d, "customer").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    entry = F.to_json(
+        F.struct(
+            F.col("c_name").alias("upn"),
+            F.concat_ws("-", F.lit("tgt"), "c_custkey", "again").alias("targetArchiveId"),
+        )
+    )
+    lines = owners.orderBy("again", "c_custkey").select(F.concat(entry, F.lit(",")).alias("value"))
+    head = spark.range(1).select(F.lit('{"mappings": [').alias("value"))
+    last = spark.range(1).select(F.lit('{"upn": "nobody", "targetArchiveId": "none"}]}').alias("value"))
+    head.union(lines).union(last).coalesce(1).write.text(path)
+    (file,) = [r[0] for r in spark.read.text(path).select(F.input_file_name()).distinct().collect()]
+    rows = spark.read.format("identity_map").option("rangeBytes", 4096).load(file)
+    newest = rows.groupBy("upn").agg(F.max_by("target_archive", "pos").alias("target_archive"))
+    return newest.where("upn <> 'nobody'")
+
+
 FLAGSHIP = "dry_run_archive_summary"
