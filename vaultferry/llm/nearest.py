@@ -8,7 +8,7 @@ radius only adds entries at both ends (virtual rehashing). A vector that lies in
 ends when its ``k``-th distance found so far is no more than R, or all entries are counted.
 
 A vector at distance R from the query lies in one window with probability 0.77, independently
-for each direction, and so misses the threshold with probability below 0.003; there is no cap on
+for each direction, and so misses the threshold with probability 0.0031; there is no cap on
 candidates. Equal vectors are one entry of the index with their smallest ``k + 1`` ids: as ties
 go to the smaller id, no other copy can be among the ``k`` nearest of any query.
 
