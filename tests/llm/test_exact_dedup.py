@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
-from tests.llm.cases import awkward, documents
+from pyspark.sql import functions as F
+
+from tests.llm.cases import awkward, documents, small_limits
 from vaultferry.llm import exact_dedup as xd
 
 
@@ -71,3 +73,18 @@ def test_colliding_identifiers_are_told_apart(spark):
 
 def test_empty_table(spark):
     assert xd.exact_duplicates(documents(spark, [])).collect() == []
+
+
+def test_hot_text_is_split(spark, capsys):
+    """The copies of one text are dealt over several tasks."""
+    rows = spark.range(0, 40_000, 1, 8).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 > 0, "the page was not found").otherwise(
+            F.concat(F.lit("text "), F.col("id") % 700)
+        ).alias("text"),
+    )
+    with small_limits(spark):
+        found = xd.exact_duplicates(rows)
+        assert len(found.collect()) == 40_000
+        found.explain()
+        assert "skew=true" in capsys.readouterr().out

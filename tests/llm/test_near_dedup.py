@@ -5,8 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tests.llm.cases import awkward, documents, prose
+from tests.llm.cases import awkward, documents, prose, small_limits
 from vaultferry.llm import near_dedup as nd
 from vaultferry.llm.graph import components
 
@@ -75,6 +76,51 @@ def test_groups_equal_brute_force(spark, monkeypatch, block):
     check(spark, rows, 85)
 
 
+def test_more_centres_join_groups_outside_the_largest(spark, monkeypatch):
+    """Two groups in one bucket, both larger than a block: a second round of centres settles
+    the members of the smaller one, and no links are lost or added."""
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    near, far = prose(11, 80), prose(12, 80)
+    rows = variants(near, 30, 1, 0) + variants(far, 20, 1, 100)
+    docs = documents(spark, rows)
+    ids = [i for i, _ in rows]
+    members = spark.createDataFrame([(1, i, 76, 0) for i in ids], "bucket bigint, vertex bigint, n_shingles bigint, centre bigint")
+    groups = components(spark.createDataFrame([(0, i) for i in range(1, 30)], "a bigint, b bigint"))
+    groups, rest = nd._more_centres(docs, members, groups, 80)
+    sets = dict((i, shingles(t)) for i, t in rows)
+    for r in groups.collect():
+        assert (r.node < 100) == (r.component < 100)
+    joined = {r.node for r in groups.collect() if r.node >= 100}
+    linked = {i for i in ids if i >= 100 and any(
+        i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in ids if j >= 100
+    )}
+    assert len(joined) > 1 and joined <= linked
+    assert {r.vertex for r in rest.collect()} == set(ids)
+
+
+@pytest.mark.parametrize("shingles_of_block", [nd.BLOCK_SHINGLES, 50])
+def test_large_bucket_of_distinct_near_copies(spark, monkeypatch, shingles_of_block):
+    """Several thousand texts in one group, or blocks cut by their shingles: nothing is lost."""
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", shingles_of_block)
+    n = 3000 if shingles_of_block > 50 else 60
+    rows = variants(prose(21, 200), n, 1, 0) + [(9000, " ".join(prose(22, 90)))]
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(documents(spark, rows), 85).collect()}
+    assert got == {i: 0 for i in range(n)} | {9000: 9000}
+
+
+def test_hot_bucket_is_split(spark, capsys):
+    vertices = spark.range(0, 60_000, 1, 8).select(
+        F.col("id").alias("vertex"),
+        F.lit(9).cast("bigint").alias("n_shingles"),
+        F.array(F.when(F.col("id") % 3 > 0, F.lit(-1).cast("bigint")).otherwise(F.col("id") % 900)).alias("bands"),
+    )
+    with small_limits(spark):
+        members = nd._bucket_members(vertices)
+        assert len(members.collect()) == 60_000
+        members.explain()
+        assert "skew=true" in capsys.readouterr().out
+
+
 def test_threshold_is_exact(spark):
     # 20 shingles against 17 of them: 17 / 20 = 0.85 is a link, 16 / 20 is none.
     words = [f"w{n}" for n in range(24)]

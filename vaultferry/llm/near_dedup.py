@@ -1,8 +1,9 @@
 """Near-duplicate grouping with SuperMinHash signatures.
 
 Steps: one signature per text, one vertex per distinct shingle set, banding, exact
-verification against a bucket's centre, union-find, then an exact comparison, in blocks, of
-the members that their bucket's centre left outside its largest group.
+verification against a bucket's centre, union-find, more centres where many members of a
+bucket are outside its largest group, then an exact comparison, in blocks, of those that are
+still outside.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ SLOTS = ROWS * BANDS  # below 256: a permutation fits in bytes
 CHUNK = 100_000  # shingles that one numpy step handles
 MEMO = 500_000  # distinct words remembered per task
 BLOCK = 256  # members of an open bucket that are compared with as many others at once
+BLOCK_SHINGLES = 1_000_000  # shingles of the members of a block together
 COLUMNS = 4096  # shingles that one matrix product covers
 
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
@@ -198,20 +200,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # One vertex per distinct set: copies never enter the bands.
     vertices = stored(
         usable.groupBy("set_key").agg(
-            F.min("doc_id").alias("vertex"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("vertex"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
         ),
         "vertices",
     )
-    spread = vertices.select("vertex", F.explode("bands").alias("bucket"))
-    # Another centre in each bucket: members of a large group are tested against several.
-    drawn = F.struct(F.xxhash64("bucket", "vertex").alias("draw"), "vertex")
-    shared = (
-        spread.groupBy("bucket")
-        .agg(F.min(drawn)["vertex"].alias("centre"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("bucket", "centre")
-    )
-    members = stored(spread.join(shared, "bucket"), "members")
+    members = stored(_bucket_members(vertices), "members")
     first = members.where("centre <> vertex").select(
         F.least("centre", "vertex").alias("a"), F.greatest("centre", "vertex").alias("b")
     )
@@ -227,7 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         own = usable.join(doubled, "doc_id").join(vertices.select("set_key", "vertex"), "set_key")
         links = links.union(own.select(F.col("doc_id").alias("a"), F.col("vertex").alias("b")))
     groups = components(links)
-    found = stored(_open_links(docs, members, groups, percent), "open-links")
+    groups, outside = _more_centres(docs, members, groups, percent)
+    found = stored(_open_links(docs, outside, percent), "open-links")
     if not found.isEmpty():
         groups = components(
             groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)
@@ -251,33 +247,98 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def _open_links(
-    docs: DataFrame, members: DataFrame, groups: DataFrame, percent: int
-) -> DataFrame:
-    """Links between members of one bucket that are in different groups so far.
+def _bucket_members(vertices: DataFrame) -> DataFrame:
+    """Members and centre of every bucket with more than one: ``(bucket, vertex, n_shingles, centre)``.
 
-    Members outside the largest group of their bucket are compared with all its members.
-    Both sides are dealt into blocks, and each pair of blocks is a task's work: counts come
-    from a matrix product over the shingles the two blocks share, and only one link per
-    pair of groups leaves the task, so no list of pairs is ever made, however large a
-    bucket is.
+    The centres are stored, so the join has an exchange of its own and a hot bucket is split.
+    """
+    spread = vertices.select("vertex", "n_shingles", F.explode("bands").alias("bucket"))
+    # Another centre in each bucket: members of a large group are tested against several.
+    drawn = F.struct(F.xxhash64("bucket", "vertex").alias("draw"), "vertex")
+    shared = (
+        spread.groupBy("bucket")
+        .agg(F.min(drawn)["vertex"].alias("centre"), F.count("*").alias("size"))
+        .where("size > 1")
+        .select("bucket", "centre")
+    )
+    return spread.join(stored(shared, "shared"), "bucket")
+
+
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one group so far.
+
+    ``main`` is the largest group of the bucket, ``n_out`` counts the members outside it;
+    ``blocks`` and ``out_blocks`` say into how many blocks all and those members are cut.
     """
     labelled = members.join(groups.withColumnRenamed("node", "vertex"), "vertex", "left").select(
-        "bucket", "vertex", F.coalesce("component", "vertex").alias("class")
+        "bucket", "vertex", "n_shingles", F.coalesce("component", "vertex").alias("class")
     )
-    by_class = labelled.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    open_buckets = (
-        by_class.groupBy("bucket")
-        .agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("size"))
-        .where("top.n < size and size > 2")
-        .select(
-            "bucket",
-            F.col("top.class").alias("main"),
-            F.ceil(F.col("size") / BLOCK).alias("blocks"),
-            F.ceil((F.col("size") - F.col("top.n")) / BLOCK).alias("outer_blocks"),
-        )
+    by_class = labelled.groupBy("bucket", "class").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("weight")
+    )
+    totals = by_class.groupBy("bucket").agg(
+        F.max(F.struct("n", "class", "weight")).alias("top"),
+        F.sum("n").alias("size"),
+        F.sum("weight").alias("weight"),
+    )
+
+    def blocks(n: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES))
+
+    n_out = F.col("size") - F.col("top.n")
+    buckets = totals.where("top.n < size and size > 2").select(
+        "bucket",
+        F.col("top.class").alias("main"),
+        n_out.alias("n_out"),
+        blocks(F.col("size"), F.col("weight")).alias("blocks"),
+        blocks(n_out, F.col("weight") - F.col("top.weight")).alias("out_blocks"),
     )
-    rows = stored(labelled.join(open_buckets, "bucket"), "open")
+    return labelled.join(stored(buckets, "open-buckets"), "bucket")
+
+
+def _more_centres(
+    docs: DataFrame, members: DataFrame, groups: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Repeat the centre step where more than a block of members is outside the largest group.
+
+    A round takes one of them per bucket and tests the others against it. Rounds go on while
+    one at least halves the rows that are left, so there are few; what is left then is
+    compared in blocks. Returns the groups and the stored members of open buckets.
+    """
+    before = None
+    while True:
+        rows = stored(_open_members(members, groups), "open")
+        left = rows.where(f"class <> main and n_out > {BLOCK}")
+        n = left.count()
+        if n == 0 or (before is not None and 2 * n > before):
+            return groups, rows
+        drawn = F.struct(F.xxhash64("bucket", "vertex", F.lit(n)).alias("draw"), "vertex", "class")
+        centres = stored(left.groupBy("bucket").agg(F.min(drawn).alias("centre")), "centres")
+        pairs = (
+            left.join(centres, "bucket")
+            .where("class <> centre.class")
+            .select(
+                F.least("vertex", "centre.vertex").alias("a"),
+                F.greatest("vertex", "centre.vertex").alias("b"),
+            )
+        )
+        tested = verified(docs, stored(pairs.distinct(), "pairs"))
+        links = tested.where(f"100 * common >= {int(percent)} * together").select("a", "b")
+        groups = components(
+            groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(links)
+        )
+        before = n
+
+
+def _open_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that are in different groups so far.
+
+    Members outside the largest group of their bucket are compared with all its members.
+    Both sides are dealt into blocks, bounded in members and in shingles, and each pair of
+    blocks is a task's work: counts come from a matrix product over the shingles the two
+    blocks share, and only one link per pair of groups leaves the task, so no list of pairs
+    is ever made, however large a bucket is.
+    """
     named = stored(rows.select(F.col("vertex").alias("named")).distinct(), "named")
     texts = restrict(docs.select(F.col("doc_id").alias("id"), "text"), named, "id", True)
 
@@ -289,11 +350,11 @@ def _open_links(
 
     outside = rows.where("class <> main").select(
         "bucket", "vertex", "class", F.lit(True).alias("outer"),
-        block("outer_blocks").alias("i"), every("blocks").alias("j"),
+        block("out_blocks").alias("i"), every("blocks").alias("j"),
     )
     inside = rows.select(
         "bucket", "vertex", "class", F.lit(False).alias("outer"),
-        every("outer_blocks").alias("i"), block("blocks").alias("j"),
+        every("out_blocks").alias("i"), block("blocks").alias("j"),
     )
     sides = outside.union(inside).withColumnRenamed("vertex", "id")
     work = sides.join(texts, "id").select("bucket", "i", "j", "outer", "id", "class", "text")
