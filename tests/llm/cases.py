@@ -56,6 +56,7 @@ def small_limits(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.sql.files.maxPartitionBytes": "20KB",
         "spark.sql.files.openCostInBytes": "1KB",
         "spark.sql.shuffle.partitions": "40",

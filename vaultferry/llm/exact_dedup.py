@@ -184,8 +184,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         )
     rows = listed.groupBy("doc_id", "recipe", "text_sha256").agg(F.count("*").alias("copies"))
     rows = stored(rows, "rows")
-    groups = rows.groupBy("recipe").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
+    # Stored, so that the join below has an exchange of its own and a hot recipe can be split.
+    groups = stored(
+        rows.groupBy("recipe").agg(
+            F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
+        ),
+        "groups",
     )
     spread = rows.join(groups, "recipe").select(
         "doc_id",
