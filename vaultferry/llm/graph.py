@@ -17,20 +17,20 @@ def components(links: DataFrame) -> DataFrame:
     and joins on stored tables; nothing reaches the driver but row counts.
     """
     edges = stored(
-        links.where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
+        links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
         "links",
     )
-    labels = stored(
-        edges.select(F.col("a").alias("node"))
-        .union(edges.select("b"))
-        .distinct()
-        .withColumn("component", F.col("node")),
-        "labels",
-    )
+    # Every node with its smallest neighbour: the first labels and the first hooks at once.
+    ends = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nearest = stored(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "nearest")
+    labels = nearest.select("node", F.col("node").alias("component"))
+    hooks = nearest.where("up < node").select(F.col("node").alias("root"), "up")
+    first = True
     while not edges.isEmpty():
-        hooks = stored(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up")), "hooks")
+        if not first:
+            least = edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up"))
+            hooks = stored(least, "hooks")
+        first = False
         while True:
             above = hooks.select(F.col("root").alias("up"), F.col("up").alias("higher"))
             jumped = stored(
