@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultferry.llm.graph import components
-from vaultferry.llm.support import GOLDEN, mixed, restrict, stored
+from vaultferry.llm.support import BROADCAST_IDS, GOLDEN, mixed, restrict, stored
 
 SHINGLE = 5
 ROWS = 7
@@ -28,6 +28,7 @@ CHUNK = 100_000  # shingles that one numpy step handles
 MEMO = 500_000  # distinct words remembered per task
 BLOCK = 256  # members of an open bucket that are compared with as many others at once
 BLOCK_SHINGLES = 1_000_000  # shingles of the members of a block together
+CROWD = 4  # blocks of members outside a bucket's largest group that need no further centre
 COLUMNS = 4096  # shingles that one matrix product covers
 
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
@@ -168,16 +169,20 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``id, text`` of the named rows. A short list of names need not be made distinct first."""
+    if named.count() > BROADCAST_IDS:
+        named = stored(named.distinct(), "named")
+    return restrict(docs.select(F.col("doc_id").alias("id"), "text"), named, "id", True)
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact intersection and union sizes of the full sets of stored ``pairs(a, b)``.
 
     Texts are moved, as they are smaller than their sets; only texts named by a pair are.
     Both joins are plain, so a centre with many partners is split by adaptive execution.
     """
-    named = stored(
-        pairs.select(F.col("a").alias("named")).union(pairs.select("b")).distinct(), "named"
-    )
-    texts = restrict(docs.select(F.col("doc_id").alias("id"), "text"), named, "id", True)
+    texts = _texts_of(docs, pairs.select(F.col("a").alias("named")).union(pairs.select("b")))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -267,8 +272,8 @@ def _bucket_members(vertices: DataFrame) -> DataFrame:
 def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one group so far.
 
-    ``main`` is the largest group of the bucket, ``n_out`` counts the members outside it;
-    ``blocks`` and ``out_blocks`` say into how many blocks all and those members are cut.
+    ``main`` is the largest group of the bucket; ``blocks`` and ``out_blocks`` say into how many
+    blocks all its members and those outside that group are cut.
     """
     labelled = members.join(groups.withColumnRenamed("node", "vertex"), "vertex", "left").select(
         "bucket", "vertex", "n_shingles", F.coalesce("component", "vertex").alias("class")
@@ -289,7 +294,6 @@ def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     buckets = totals.where("top.n < size and size > 2").select(
         "bucket",
         F.col("top.class").alias("main"),
-        n_out.alias("n_out"),
         blocks(F.col("size"), F.col("weight")).alias("blocks"),
         blocks(n_out, F.col("weight") - F.col("top.weight")).alias("out_blocks"),
     )
@@ -299,16 +303,18 @@ def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
 def _more_centres(
     docs: DataFrame, members: DataFrame, groups: DataFrame, percent: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Repeat the centre step where more than a block of members is outside the largest group.
+    """Repeat the centre step where many members of a bucket are outside its largest group.
 
-    A round takes one of them per bucket and tests the others against it. Rounds go on while
-    one at least halves the rows that are left, so there are few; what is left then is
-    compared in blocks. Returns the groups and the stored members of open buckets.
+    Many are more than ``CROWD`` blocks: the exact comparison copies a bucket's texts once per
+    block outside, and up to that a round of centres would cost more than the copies. A round
+    takes one of them per bucket and tests the others against it. Rounds go on while one at
+    least halves the rows that are left, so there are few; what is left then is compared in
+    blocks. Returns the groups and the stored members of open buckets.
     """
     before = None
     while True:
         rows = stored(_open_members(members, groups), "open")
-        left = rows.where(f"class <> main and n_out > {BLOCK}")
+        left = rows.where(f"class <> main and out_blocks > {CROWD}")
         n = left.count()
         if n == 0 or (before is not None and 2 * n > before):
             return groups, rows
@@ -339,8 +345,7 @@ def _open_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     blocks share, and only one link per pair of groups leaves the task, so no list of pairs
     is ever made, however large a bucket is.
     """
-    named = stored(rows.select(F.col("vertex").alias("named")).distinct(), "named")
-    texts = restrict(docs.select(F.col("doc_id").alias("id"), "text"), named, "id", True)
+    texts = _texts_of(docs, rows.select(F.col("vertex").alias("named")))
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
