@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,28 @@ def test_failure_ratio(spark):
     assert (row["deliveries"], row["failures"], row["failure_ratio"], row["tripped"]) == (4, 2, 0.5, True)
 
 
+def test_sliding_share_equals_a_plain_loop(spark):
+    """Moments on the borders of spans and cells, many at one moment, and none at all."""
+    draw = random.Random(5)
+    micros = [0, 1, 30_000_000 - 1, 30_000_000, 30_000_001, 60_000_000, 60_000_000, -1, -30_000_000]
+    micros += [draw.randrange(-90_000_000, 200_000_000) for _ in range(150)] + [500_000_000] * 20
+    rows = [(m, draw.choice([200, 422, 429, 503])) for m in micros]
+    frame = spark.createDataFrame([*rows, (None, 503)], "m bigint, http_status int").select(
+        F.timestamp_micros("m").alias("at_utc"), "http_status", F.lit(None).cast("string").alias("exception")
+    )
+    got = {
+        r.m: (r.deliveries, r.failures, r.tripped)
+        for r in dl.sliding_failure_share(frame, 30, 0.5, 3).withColumn("m", F.unix_micros("at_utc")).collect()
+    }
+    want = {}
+    for m in set(micros):
+        near = [code for at, code in rows if m - 30_000_000 < at <= m]
+        bad = sum(code in (429, 503) for code in near)
+        want[m] = (len(near), bad, 2 * bad >= len(near) >= 3)
+    assert got == want
+    assert dl.sliding_failure_share(frame.limit(0)).count() == 0
+
+
 PART = "idempotency_key string, seq bigint, pos int, part_id string, sha256 string, size_bytes bigint"
 
 

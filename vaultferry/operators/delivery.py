@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultferry.functions.http_status import status_name
@@ -147,3 +147,58 @@ def failure_ratio(
         ratio.alias("failure_ratio"),
         (ratio >= threshold).alias("tripped"),
     )
+
+
+def sliding_failure_share(
+    attempts: DataFrame, seconds: int = 30, threshold: float = 0.5, least: int = 1
+) -> DataFrame:
+    """Share of failed deliveries in the ``seconds`` up to each moment with an attempt.
+
+    The span is open at its start and closed at the moment itself; ``tripped`` needs ``least``
+    deliveries in it. Attempts without a time are in no span. Time is cut into cells as long as
+    the span: a moment counts in its own cell, is carried into the next, and leaves there when
+    the span has passed. So a running sum within each cell is enough: no frame is summed again for
+    each row, and the cells are spread over all tasks; a task holds the distinct moments of two
+    spans at most.
+    """
+    span = seconds * 1_000_000
+    failed = is_breaker_failure(F.col("http_status"), F.col("exception"))
+    moments = (
+        attempts.where(F.col("at_utc").isNotNull())
+        .groupBy("at_utc")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("bad"))
+        .withColumn("at", F.unix_micros("at_utc"))
+        .withColumn("cell", F.col("at") - F.pmod("at", F.lit(span)))
+    )
+
+    def step(cell: Column, at: Column, sign: int, own: bool) -> Column:
+        return F.struct(
+            cell.alias("cell"), at.alias("at"), F.lit(sign).alias("sign"), F.lit(own).alias("own")
+        )
+
+    following = F.col("cell") + span
+    steps = F.array(
+        step(F.col("cell"), F.col("at"), 1, True),
+        step(following, following - 1, 1, False),
+        step(following, F.col("at") + span, -1, False),
+    )
+    moved = moments.select("at_utc", "n", "bad", F.explode(steps).alias("s"))
+    so_far = (
+        Window.partitionBy("s.cell")
+        .orderBy("s.at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = moved.select(
+        "at_utc",
+        F.col("s.own").alias("own"),
+        F.sum(F.col("n") * F.col("s.sign")).over(so_far).alias("deliveries"),
+        F.sum(F.col("bad") * F.col("s.sign")).over(so_far).alias("failures"),
+    ).where("own")
+    share = F.col("failures") / F.col("deliveries")
+    return summed.select(
+        "at_utc",
+        "deliveries",
+        "failures",
+        share.alias("failure_share"),
+        ((share >= threshold) & (F.col("deliveries") >= least)).alias("tripped"),
+    )

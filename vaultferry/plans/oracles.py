@@ -518,6 +518,15 @@ SQL = {
         from (select *, coalesce(retry_after, 0.5 * pow(2, attempts - 1)) as delay from v_rollup
               where coalesce(retryable_raw, false) and attempts <= 5)""",
     "failure_ratio": _RATIO,
+    "sliding_failure_share": f"""
+        select {_time('ts')} as at_utc, cast(n as bigint) as deliveries, cast(f as bigint) as failures,
+               round(f / n, 6) as failure_share, f / n >= 0.5 and n >= 2 as tripped
+        from (select ts, sum(n) over w as n, sum(f) over w as f
+              from (select ts, count(*) as n,
+                           count(*) filter (coalesce(http_status in (503, 429), false)
+                                            or coalesce(exception = 'HttpRequestException', false)) as f
+                    from v_attempts group by ts)
+              window w as (order by epoch_us(ts) range between 3599999999 preceding and current row))""",
     "apply_receipts": """
         select 'itm-' || doc_id as item_id,
                case ingest_status when 'Ingested' then 'ItemMigrated' when 'AlreadyPresent' then 'ItemMigrated'

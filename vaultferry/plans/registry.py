@@ -679,6 +679,18 @@ def failure_ratio(spark: SparkSession, d: str) -> DataFrame:
     return _ratio_columns(delivery.failure_ratio(fx.attempts(spark, d)))
 
 
+@query
+def sliding_failure_share(spark: SparkSession, d: str) -> DataFrame:
+    share = delivery.sliding_failure_share(fx.attempts(spark, d), seconds=3600, least=2)
+    return share.select(
+        text_time("at_utc").alias("at_utc"),
+        "deliveries",
+        "failures",
+        F.round("failure_share", 6).alias("failure_share"),
+        "tripped",
+    )
+
+
 @query
 def apply_receipts(spark: SparkSession, d: str) -> DataFrame:
     """Documents as items, matched with the final receipt of their key."""
