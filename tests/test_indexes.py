@@ -12,7 +12,8 @@ from tests.test_streams import T0, arrive
 from vaultferry import schemas
 from vaultferry.operators import digest_tree as dt
 from vaultferry.operators import key_index as ki
-from vaultferry.operators import reconcile
+from vaultferry.operators import reconcile, search_index
+from vaultferry.operators.audit import search_events
 from vaultferry.plans import migration as mg
 from vaultferry.streaming import windows
 
@@ -133,3 +134,32 @@ def test_finished_windows_are_written_once(spark, tmp_path, gap):
     assert sum(seen.values()) == sum(want.values()) and len(seen) == got.count() == len(want)
     final = spark.read.parquet(f"{out}/final")
     assert final.count() == final.select("minute").distinct().count() > 0
+
+
+def test_search_opens_only_batches_that_may_match(spark, tmp_path):
+    rows = [(f"b{n % 4}", f"Itm-{n % 4}-{n}", "ItemMigrated" if n % 3 else "ItemSkipped") for n in range(200)]
+    rows += [("b4", None, "RunStarted"), ("b5", "x", None), ("b6", "\u0130stanbul-9", "ItemSkipped")]
+    path, spec = str(tmp_path / "log"), "batch_id string, item_id string, event_type string"
+    spark.createDataFrame(rows, spec).write.partitionBy("batch_id").parquet(path)
+    log = spark.read.schema(spec).parquet(path)
+    index = search_index.trigram_index(log)
+    index = index.union(index.where("batch_id = 'b1'"))  # a batch indexed twice
+    opened = {
+        "itm-2-": {"b2"}, "ITM-3-1": {"b3"}, "started": {"b4"}, "\u0130stan": {"b6"}, "absent": set(),
+    }
+    for text in (*opened, "", "x", "9", "item", "m-1-1"):
+        for kind in (None, "ItemMigrated"):
+            found = search_index.indexed_search(log, index, text, kind)
+            names = ("batch_id", "item_id", "event_type")
+            want = search_events(log, text, kind).select(*names).collect()
+            assert sorted(map(repr, found.select(*names).collect())) == sorted(map(repr, want))
+        files = search_index.indexed_search(log, index, text)._jdf.queryExecution().executedPlan()
+        assert "PartitionFilters" in files.toString()
+        if text in opened:
+            gone = {r[0] for r in search_index.ruled_out(index, text).collect()}
+            assert {f"b{n}" for n in range(7)} - gone == opened[text]
+    # A batch that nobody indexed is opened.
+    part = index.where("batch_id <> 'b2'")
+    assert search_index.indexed_search(log, part, "itm-2-").count() == 50
+    assert search_index.indexed_search(log, index.limit(0), "itm-2-").count() == 50
+    assert search_index.indexed_search(log.limit(0), index, "itm").count() == 0

@@ -590,6 +590,9 @@ SQL = {
     "audit_search": """
         select id, item_id, event_type from v_audit
         where event_type = 'ItemMigrated' and lower(item_id) like '%itm-99%'""",
+    "audit_search_indexed": """
+        select id, item_id, event_type from v_audit
+        where event_type = 'ItemMigrated' and lower(item_id) like '%itm-99%'""",
     "filtered_ratio": """
         select count(*) filter (lower(event_type) like '%fail%' or lower(item_id) like '%fail%') as filtered,
                count(*) as total from v_audit""",

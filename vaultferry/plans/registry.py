@@ -18,7 +18,7 @@ from vaultferry.functions.payload import payload_long
 from vaultferry.operators import audit as au
 from vaultferry.operators import delivery, identity, ingest, policy, quality, reconcile
 from vaultferry.operators import rehydrate as rh
-from vaultferry.operators import report, state
+from vaultferry.operators import report, search_index, state
 from vaultferry.operators.digest_tree import digest_tree, reconcile_by_digest
 from vaultferry.operators.transform import build_messages, transform_error
 from vaultferry.options import MIGRATE, RETAIN, MigrationFilters
@@ -863,6 +863,20 @@ def audit_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "item_id", "event_type")
 
 
+@query
+def audit_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The log written in batches of a run and a month, searched by the pieces of each batch."""
+    month = F.date_format("timestamp_utc", "yyyy-MM")
+    log = fx.audit(spark, d).withColumn("batch_id", F.concat_ws("_", "run_id", month))
+    path = scratch_path(spark, "audit-log")
+    log.write.partitionBy("batch_id").parquet(path)
+    log = spark.read.schema(log.schema).parquet(path)
+    pieces = scratch_path(spark, "audit-pieces")
+    search_index.trigram_index(log).write.parquet(pieces)
+    found = search_index.indexed_search(log, spark.read.parquet(pieces), "ITM-99", "ItemMigrated")
+    return found.select("id", "item_id", "event_type")
+
+
 @query
 def filtered_ratio(spark: SparkSession, d: str) -> DataFrame:
     return au.filtered_ratio(fx.audit(spark, d), "fail")
