@@ -166,6 +166,44 @@ def test_ranges_of_a_document_cover_every_entry(tmp_path, indent):
             assert len({r[2] for r in rows}) == len(want)
 
 
+def test_a_long_document_has_no_tiny_ranges(tmp_path):
+    """Tasks and bytes read grow with the document, not with its number of least ranges."""
+    path = str(tmp_path / "map.json")
+    entries = [{"upn": f"u{n}", "targetArchiveId": f"t{n}"} for n in range(20000)]
+    with open(path, "w") as f:
+        json.dump({"mappings": entries}, f)
+    reader = idf.IdentityReader(path, 100)
+    spans = reader.partitions()
+    assert 8 < len(spans) <= idf.SMALL_RANGES
+    rows = [r for span in spans for r in reader.read(span)]
+    assert [r[:2] for r in rows] == [(e["upn"], e["targetArchiveId"]) for e in entries]
+    assert len(idf.IdentityReader(path, 1 << 30).partitions()) == 1
+
+
+def test_a_range_reads_little_more_than_itself(tmp_path):
+    path = str(tmp_path / "map.json")
+    with open(path, "w") as f:
+        json.dump({"mappings": [{"upn": f"u{n}", "targetArchiveId": "t" * 200} for n in range(9000)]}, f)
+    sizes = []
+
+    class Counted:
+        def __init__(self, source):
+            self.source, self.seek = source, source.seek
+
+        def read(self, size):
+            data = self.source.read(size)
+            sizes.append(len(data))
+            return data
+
+    span = idf.IdentityReader(path, 50000).partitions()[3]
+    with open(path, "rb") as f:
+        window = idf.Window(Counted(f), span.start, span.end - span.start)
+        while window.at < span.end and window.grow():
+            window.here = len(window.data)
+    assert sum(sizes) <= 2 * 50000
+    assert list(idf.IdentityReader(path, 50000).read(span))
+
+
 def test_identity_documents(spark, tmp_path):
     idf.register_identity_map(spark)
     for body, n in (('{"mappings": []}', 0), ('{"mappings": null}', 0), ("{}", 0), ("", 0)):

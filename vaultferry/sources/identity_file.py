@@ -24,10 +24,14 @@ from vaultferry.sources.files import store_of
 
 SCHEMA = "upn string, target_archive string, pos bigint"
 RANGE_BYTES = 16 << 20
+# Ranges below RANGE_BYTES that a file is cut into at most.
+SMALL_RANGES = 256
 PIECE = 1 << 20
 ENTRY = re.compile(rb'\{\s*"(?:upn|targetArchiveId)"\s*:')
 # The longest text before the colon of an entry's first name that is looked for.
 LOOK_BACK = 4096
+GAP = re.compile(rb"[ \t\r\n,]*")
+MARK = re.compile(rb'\\.|["{}\[\]]', re.DOTALL)
 LIST = re.compile(rb'"mappings"\s*:\s*(\[|null)')
 
 
@@ -38,27 +42,34 @@ class Span(InputPartition):
 
 
 class Window:
-    """A growing piece of the file, from a position on."""
+    """A growing piece of the file, read from a position on; ``here`` is the place reached in it."""
 
-    def __init__(self, source, at: int):
-        self.source, self.at, self.data, self.whole = source, at, b"", False
+    def __init__(self, source, at: int, piece: int = PIECE):
+        self.source, self.start, self.piece = source, at, piece
+        self.data, self.here, self.whole = b"", 0, False
         source.seek(at)
 
+    @property
+    def at(self) -> int:
+        return self.start + self.here
+
+    @property
+    def left(self) -> int:
+        return len(self.data) - self.here
+
     def grow(self) -> bool:
-        piece = self.source.read(PIECE)
-        self.data += piece
+        """Read on, as much again as is left, so that a long entry is copied few times."""
+        piece = self.source.read(max(self.piece, self.left))
+        self.start, self.data, self.here = self.at, self.data[self.here :] + piece, 0
         self.whole |= not piece
         return bool(piece)
 
-    def drop(self, size: int) -> None:
-        self.data, self.at = self.data[size:], self.at + size
 
-
-def end_of_object(data: bytes) -> int:
-    """Length of the object that begins the data; 0 if it is not complete."""
-    depth, at, inside = 0, 0, False
-    for m in re.finditer(rb'\\.|["{}\[\]]', data, re.DOTALL):
-        mark, at = m[0], m.end()
+def end_of_object(data: bytes, start: int = 0) -> int:
+    """Length of the object that begins at ``start``; 0 if it is not complete."""
+    depth, inside = 0, False
+    for m in MARK.finditer(data, start):
+        mark = m[0]
         if mark == b'"':
             inside = not inside
         elif not inside and mark in b"{[":
@@ -66,7 +77,7 @@ def end_of_object(data: bytes) -> int:
         elif not inside and mark in b"}]":
             depth -= 1
             if depth == 0:
-                return at
+                return m.end() - start
     return 0
 
 
@@ -77,16 +88,19 @@ class IdentityReader(DataSourceReader):
     def partitions(self) -> list[Span]:
         store, path = store_of(self.path)
         length = store.get_file_info(path).size or 0
-        return [Span(n, min(n + self.size, length)) for n in range(0, length, self.size)] or [Span(0, 0)]
+        # A task starts a Python worker and opens the file: a long file has no tiny ranges.
+        size = max(self.size, min(RANGE_BYTES, -(-length // SMALL_RANGES)))
+        return [Span(n, min(n + size, length)) for n in range(0, length, size)] or [Span(0, 0)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         store, path = store_of(self.path)
         with store.open_input_file(path) as source:
-            window = Window(source, partition.start)
+            piece = min(PIECE, partition.end - partition.start + 2 * LOOK_BACK)
+            window = Window(source, partition.start, piece)
             first = self._list_start(window) if partition.start == 0 else self._entry(window, partition)
             if first is None:
                 return
-            window.drop(first)
+            window.here = first
             yield from self._entries(window, partition)
 
     def _list_start(self, window: Window) -> int | None:
@@ -98,34 +112,35 @@ class IdentityReader(DataSourceReader):
 
     def _entry(self, window: Window, span: Span) -> int | None:
         """Start of the first recognisable entry of the range."""
-        while not (m := ENTRY.search(window.data)):
-            passed = max(0, len(window.data) - LOOK_BACK)
-            if window.at + passed >= span.end or not window.grow():
+        while not (m := ENTRY.search(window.data, window.here)):
+            window.here = max(window.here, len(window.data) - LOOK_BACK)
+            if window.at >= span.end or not window.grow():
                 return None
-            window.drop(max(0, passed))
-        return m.start() if window.at + m.start() < span.end else None
+        return m.start() if window.start + m.start() < span.end else None
 
     def _entries(self, window: Window, span: Span) -> Iterator[tuple]:
         while True:
-            rest = window.data.lstrip(b" \t\r\n,")
-            window.drop(len(window.data) - len(rest))
-            if len(rest) < LOOK_BACK and not window.whole:
+            window.here = GAP.match(window.data, window.here).end()
+            if window.left < LOOK_BACK and not window.whole:
                 window.grow()
                 continue
-            if not rest or rest.startswith(b"]"):
+            if not window.left or window.data.startswith(b"]", window.here):
                 return
-            if window.at >= span.end and ENTRY.match(rest):
+            if window.at >= span.end and ENTRY.match(window.data, window.here):
                 return
-            while not (size := end_of_object(window.data)):
+            while not (size := end_of_object(window.data, window.here)):
                 if not window.grow():
                     raise ValueError(f"the entry at byte {window.at} does not end")
-            entry = json.loads(window.data[:size])
+            entry = json.loads(window.data[window.here : window.here + size])
             yield entry.get("upn"), entry.get("targetArchiveId"), window.at
-            window.drop(size)
+            window.here += size
 
 
 class IdentityMap(DataSource):
-    """``spark.read.format("identity_map").load(file)``; option ``rangeBytes`` sizes the tasks."""
+    """``spark.read.format("identity_map").load(file)``; option ``rangeBytes`` sizes the tasks.
+
+    A file has at most ``SMALL_RANGES`` tasks below ``RANGE_BYTES``, whatever the option says.
+    """
 
     @classmethod
     def name(cls) -> str:
