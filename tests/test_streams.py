@@ -3,12 +3,15 @@
 import random
 from datetime import timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tests.build import utc
+from vaultferry import fixtures as fx
 from vaultferry.schemas import STATUS_TRANSITIONS
 from vaultferry.streaming import answers as an
 from vaultferry.streaming import tracker as tr
+from vaultferry.streaming.jobs import drain
 
 CHANGES = "key string, status string, at_utc timestamp, event_id bigint"
 STATES = ["Discovered", "Mapped", "Rehydrated", "Transformed", "Ingesting", "Failed"]
@@ -71,6 +74,84 @@ def test_what_is_settled_stays(spark, tmp_path):
     assert as_dict(got) == {"a": ("Rehydrated", 3, 0), "b": ("Mapped", 2, 0)}
 
 
+def test_a_key_costs_few_state_calls_however_many_changes_it_has():
+    """State is reached by a call to the executor, so calls must not grow with the rows."""
+    calls = []
+
+    class Held(dict):
+        def get(self, *key):
+            calls.append("get")
+            return super().get(key or "value")
+
+        def update(self, value):
+            calls.append("update")
+            self["value"] = value
+
+        def exists(self):
+            calls.append("exists")
+            return "value" in self
+
+        def updateValue(self, key, value):
+            calls.append("put")
+            self[key] = value
+
+        def removeKey(self, key):
+            calls.append("remove")
+            del self[key]
+
+        def iterator(self):
+            calls.append("iterator")
+            return iter(list(self.items()))
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Held()
+
+        def getMapState(self, name, keys, values):
+            return Held()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 100
+
+        def getExpiryTimeInMs(self):
+            return 10**6
+
+    one = tr.StatusTracker()
+    one.init(Handle())
+    late = [Row(micros=50_000, event=0, status="Failed")]
+    rows = [Row(micros=n * 1000, event=n, status=STATES[n % 6]) for n in range(1200, 200, -1)]
+    (got,) = one.handleInputRows(("k",), iter(late + rows), Times())
+    want = plain([("k", r.status, r.micros, r.event) for r in rows])
+    assert {got.key: (got.status, got.changes, got.illegal)} == want
+    assert list(one.handleExpiredTimer(("k",), Times(), Times())) == []
+    (again,) = one.handleInputRows(("k",), iter([]), Times())
+    assert again == got
+    assert len(calls) <= 12
+
+
+def test_an_arrival_is_one_micro_batch(spark, tmp_path, monkeypatch):
+    """However many files a table is read from and an arrival is written in."""
+    rows = spark.range(1200).selectExpr(
+        "id event_id", "timestamp_ntz'2024-01-01' ts", "id % 7 user_id", "'view' event_type", "0D value", "'' props"
+    )
+    rows.repartition(9).write.parquet(str(tmp_path / "events.parquet"))
+    for least, files in ((100, 3), (100_000, 1)):
+        monkeypatch.setattr(fx, "FILE_ROWS", least)
+        seen = []
+
+        def handle(batch, number):
+            named = batch.select("event_id", F.input_file_name().alias("file"))
+            found = named.selectExpr("min(event_id)", "max(event_id)", "count(*)", "count(distinct file)")
+            seen.append(tuple(found.first()))
+
+        drain(fx.stream(spark, str(tmp_path), "events"), handle, str(tmp_path / f"cp{least}"))
+        assert seen == [(n * 300, n * 300 + 299, 300, files) for n in range(4)]
+
+
 SENT = "idempotency_key string, sent_at timestamp"
 CAME = "idempotency_key string, at_utc timestamp, http_status int, exception string, already_present boolean"
 

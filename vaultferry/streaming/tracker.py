@@ -2,7 +2,9 @@
 
 The state of a key is what is settled (last status, number of changes and of illegal moves) and
 the changes that are not: they wait in order of time until the watermark has passed them, as an
-earlier one may still come. A timer at a change's time settles it. Each micro-batch returns the
+earlier one may still come. They are settled when the key has new rows, or by a timer at the newest
+waiting change. Both are one value, read and written once for all rows that a micro-batch has of a
+key, as each access to the state is a call from Python to the executor. Each micro-batch returns the
 state of its keys as if the waiting changes were settled too, so the newest row of a key is
 right as soon as all its changes are there, and the state stays as small as the watermark allows.
 """
@@ -19,7 +21,11 @@ from vaultferry.schemas import STATUS_TRANSITIONS
 from vaultferry.streaming.jobs import upsert_stream
 
 STATUS = "key string, status string, changes bigint, illegal bigint"
-SETTLED = "status string, changes bigint, illegal bigint"
+STATE = (
+    "status string, changes bigint, illegal bigint, "
+    "waiting array<struct<micros: bigint, event: bigint, status: string>>"
+)
+Changes = list[tuple[int, int, str]]
 
 
 class StatusTracker(StatefulProcessor):
@@ -27,44 +33,51 @@ class StatusTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", SETTLED)
-        self.waiting = handle.getMapState("waiting", "micros bigint, event bigint", "status string")
+        self.state = handle.getValueState("state", STATE)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """What an earlier run or a store knows of a key, in the columns of ``STATUS``."""
-        self.settled.update((initialState.status, initialState.changes, initialState.illegal))
+        known = (initialState.status, initialState.changes, initialState.illegal)
+        self.state.update((*known, []))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times, passed = set(), timerValues.getCurrentWatermarkInMs()
+        passed = timerValues.getCurrentWatermarkInMs()
+        known, before = self._read()
+        waiting = {c[:2]: c for c in before}
         for row in rows:
             # What the watermark has passed may be settled already: too late to be put in order.
-            if row.micros // 1000 < passed:
-                continue
-            self.waiting.updateValue((row.micros, row.event), (row.status,))
-            times.add(row.micros // 1000)
-        for at in times:
-            self.handle.registerTimer(at)
-        status, changes, illegal = self._after(self._known(), self._ordered())
+            if row.micros // 1000 >= passed:
+                waiting[row.micros, row.event] = (row.micros, row.event, row.status)
+        ordered = sorted(waiting.values())
+        if ordered and (not before or ordered[-1][0] // 1000 > before[-1][0] // 1000):
+            self.handle.registerTimer(ordered[-1][0] // 1000)
+        left = self._settle(known, ordered, passed - 1)
+        status, changes, illegal = self._after(*left)
         yield Row(key=key[0], status=status, changes=changes, illegal=illegal)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Settle the changes the watermark has passed; the rows returned before hold."""
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        passed = [c for c in self._ordered() if c[0] // 1000 <= limit]
-        if passed:
-            self.settled.update(self._after(self._known(), passed))
-            for micros, event, _ in passed:
-                self.waiting.removeKey((micros, event))
+        known, waiting = self._read()
+        if waiting:
+            self._settle(known, waiting, expiredTimerInfo.getExpiryTimeInMs())
         return iter(())
 
-    def _known(self) -> tuple:
-        return tuple(self.settled.get()) if self.settled.exists() else (None, 0, 0)
+    def _read(self) -> tuple[tuple, Changes]:
+        """What is settled, and the waiting changes in their order."""
+        state = self.state.get()
+        if state is None:
+            return (None, 0, 0), []
+        return tuple(state[:3]), [tuple(c) for c in state[3]]
 
-    def _ordered(self) -> list[tuple[int, int, str]]:
-        return sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator())
+    def _settle(self, known: tuple, ordered: Changes, limit: int) -> tuple[tuple, Changes]:
+        """Store the state with the changes up to a time settled; returns it."""
+        n = sum(micros // 1000 <= limit for micros, _, _ in ordered)
+        known, left = self._after(known, ordered[:n]), ordered[n:]
+        self.state.update((*known, left))
+        return known, left
 
     @staticmethod
-    def _after(known: tuple, changes: list[tuple[int, int, str]]) -> tuple:
+    def _after(known: tuple, changes: Changes) -> tuple:
         """Status, changes and illegal moves once some more changes are applied."""
         status, count, illegal = known
         for _, _, after in changes:
