@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import build as b
+from vaultferry.plans import migration as mg
+from vaultferry.sinks import writers
 from vaultferry.operators import ingest
 from vaultferry.operators import rehydrate as rh
 from vaultferry.operators.lookups import lookup_join, with_position, with_previous
@@ -166,3 +168,28 @@ def test_lists_keep_their_length(spark):
     for r in rh.assemble_parts(checked).collect():
         joined.setdefault(r["item_id"], []).extend(p["partId"] for p in r["parts"])
     assert joined == {f"i{n}": ids for n, ids in enumerate(lists) if ids}
+
+
+def test_references_outside_a_batch_are_dropped_in_their_scan(spark, tmp_path):
+    """The keys of a kept batch reach the scan of the references as a Bloom filter."""
+    refs = spark.range(4000).selectExpr(
+        "concat('i', id div 4) item_id", "id % 4 pos", "concat('p', id % 50) part_id"
+    )
+    refs.write.parquet(str(tmp_path / "refs"))
+    items = spark.range(1000).selectExpr("concat('i', id) item_id", "id % 10 group")
+    selected = writers.keep_batch(items.where("group = 3").drop("group"), str(tmp_path / "selected"), "b1")
+    held = spark.read.parquet(str(tmp_path / "refs"))
+    inputs = mg.MigrationInputs(None, None, None, None, None, refs=held)
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = {c: spark.conf.get(c) for c in (name, "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set(name, "1")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = mg.wanted_refs(inputs, selected)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "might_contain" in plan
+        assert found.count() == 400
+        assert found.where("cast(substring(item_id, 2) as int) % 10 <> 3").count() == 0
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
