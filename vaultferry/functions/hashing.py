@@ -28,3 +28,17 @@ def split_hashes(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     good = tagged.where(F.col("normalized_hash").isNotNull())
     bad = tagged.where(F.col("normalized_hash").isNull()).drop("normalized_hash")
     return good, bad
+
+
+def packed_hash(text: Column) -> Column:
+    """A text as bytes, 64 lower-case hex digits as 32 of them; different texts stay different."""
+    raw = F.when(F.octet_length(text) == 64, F.unhex(text))
+    plain = F.concat(F.lit(b"\x00"), F.encode(text, "UTF-8"))
+    return F.when(F.lower(F.hex(raw)) == text, F.concat(F.lit(b"\x01"), raw)).otherwise(plain)
+
+
+def unpacked_hash(packed: Column) -> Column:
+    """The text behind ``packed_hash``."""
+    rest = F.substring(packed, 2, 2147483647)
+    hashed = F.substring(packed, 1, 1) == F.lit(b"\x01")
+    return F.when(hashed, F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))

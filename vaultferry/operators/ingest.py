@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaultferry.functions.hashing import packed_hash, unpacked_hash
 from vaultferry.functions.keys import target_id
 from vaultferry.operators.lookups import lookup_join
 from vaultferry.schemas import DELIVERED
@@ -52,32 +53,43 @@ def has_known_part() -> Column:
     return F.col("n_parts") > F.coalesce("n_new", F.lit(0))
 
 
-def part_rollup(parts: DataFrame, first_uses: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Per accepted message: part count, bytes, and whether any part was known already."""
+def judged_messages(parts: DataFrame, first_uses: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Accepted messages with part count, bytes, and whether any part was known already.
+
+    These are null for a message without parts. All joins are by message, so each side is
+    shuffled once.
+    """
     message = ["idempotency_key", "seq"]
     totals = parts.groupBy(*message).agg(
         F.count(F.lit(1)).alias("n_parts"), F.sum("size_bytes").alias("bytes")
     )
     fresh = new_parts_per_message(first_uses)
     return (
-        totals.join(accepted, message)
+        accepted.join(totals, message, "left")
         .join(fresh, message, "left")
-        .select(*message, "n_parts", "bytes", has_known_part().alias("deduped"))
+        .select(*accepted.columns, "n_parts", "bytes", has_known_part().alias("deduped"))
     )
 
 
-def first_part_uses(parts: DataFrame, part_store: DataFrame | None) -> DataFrame:
-    """The first arrival of every hash that the store does not hold yet.
+def part_rollup(judged: DataFrame) -> DataFrame:
+    """Per accepted message that has parts: part count, bytes, whether any was known already."""
+    rows = judged.where(F.col("n_parts").isNotNull())
+    return rows.select("idempotency_key", "seq", "n_parts", "bytes", "deduped")
+
+
+def first_part_uses(parts: DataFrame) -> DataFrame:
+    """The first arrival of every hash.
 
     The minimum by (seq, pos) combines before the shuffle, so a hash shared by a large
     share of all parts costs one row per task.
     """
     arrival = F.struct("seq", "pos", "idempotency_key", "part_id", "size_bytes")
-    firsts = (
-        parts.groupBy("sha256")
-        .agg(F.min(arrival).alias("_first"))
-        .select("sha256", "_first.*")
-    )
+    firsts = parts.groupBy("sha256").agg(F.min(arrival).alias("_first"))
+    return firsts.select("sha256", "_first.*")
+
+
+def not_stored(firsts: DataFrame, part_store: DataFrame | None) -> DataFrame:
+    """Arrivals of the hashes that the store does not hold yet."""
     if part_store is None:
         return firsts
     return firsts.join(part_store.select("sha256"), "sha256", "left_anti")
@@ -96,8 +108,8 @@ def ingest_batch(
     ``parts``: idempotency_key, seq, pos, part_id, sha256, size_bytes. A known key returns its
     stored result and its parts are not recorded; among equal keys in the batch the lowest
     ``seq`` is accepted.
-    ``keep(table, rows)`` may write part_store and registry rows and return them as read
-    back, so that later steps need not compute them again.
+    ``keep(table, rows)`` may write the rows of a step (winners, part_store, judged) and
+    return them as read back, so that later steps need not compute them again.
     """
     counted = "n_parts" in messages.columns
     facts = ["target_archive", "n_parts"] if counted else ["target_archive"]
@@ -119,27 +131,27 @@ def ingest_batch(
                 "held_deduped": F.lit(None).cast("boolean"),
             }
         )
-    accepted = winners.where(F.col("held_target_id").isNull()).select("idempotency_key", "seq")
-    accepted_parts = lookup_join(
-        parts, accepted, ["idempotency_key", "seq"], "left_semi", [F.col("pos")], salts=1
-    )
-    uses = keep("part_store", first_part_uses(accepted_parts, part_store))
-    rollup = part_rollup(parts, uses, accepted)
-
+    winners = keep("winners", winners)
+    unheld = winners.where(F.col("held_target_id").isNull()).drop("held_target_id", "held_deduped")
+    accepted = unheld.select("idempotency_key", "seq")
+    # The parts travel with their hash as bytes; a part without a key matches nothing and stays.
+    packed = parts.withColumn("sha256", packed_hash(F.col("sha256")))
+    accepted_parts = packed.join(accepted, ["idempotency_key", "seq"], "left_semi")
+    firsts = first_part_uses(accepted_parts).withColumn("sha256", unpacked_hash(F.col("sha256")))
+    uses = keep("part_store", not_stored(firsts, part_store))
     if counted:
-        judged = winners.join(new_parts_per_message(uses), ["idempotency_key", "seq"], "left")
-        judged = judged.withColumn("deduped", has_known_part())
+        rollup = part_rollup(judged_messages(parts, uses, accepted))
+        judged = unheld.join(new_parts_per_message(uses), ["idempotency_key", "seq"], "left")
+        judged = keep("judged", judged.withColumn("deduped", has_known_part()))
     else:
-        judged = winners.join(rollup, ["idempotency_key", "seq"], "left")
-    new_records = keep(
-        "registry",
-        judged.where(F.col("held_target_id").isNull()).select(
-            "idempotency_key",
-            target_id(F.col("idempotency_key")).alias("target_id"),
-            "target_archive",
-            F.coalesce("deduped", F.lit(False)).alias("deduped"),
-            F.col("seq").alias("first_seq"),
-        ),
+        judged = keep("judged", judged_messages(parts, uses, unheld))
+        rollup = part_rollup(judged)
+    new_records = judged.select(
+        "idempotency_key",
+        target_id(F.col("idempotency_key")).alias("target_id"),
+        "target_archive",
+        F.coalesce("deduped", F.lit(False)).alias("deduped"),
+        F.col("seq").alias("first_seq"),
     )
     held = winners.where(F.col("held_target_id").isNotNull()).select(
         "idempotency_key",
@@ -148,17 +160,19 @@ def ingest_batch(
         F.lit(True).alias("_known"),
         F.col("seq").alias("first_seq"),
     )
+    # The new ids follow from the keys, so they need not travel.
     fresh = new_records.select(
-        "idempotency_key", "target_id", "deduped", F.lit(False).alias("_known"), "first_seq"
+        "idempotency_key",
+        F.lit(None).cast("string").alias("target_id"),
+        "deduped",
+        F.lit(False).alias("_known"),
+        "first_seq",
     )
-    answered = lookup_join(
-        messages.select("idempotency_key", "seq"),
-        held.unionByName(fresh),
-        ["idempotency_key"],
-        "inner",
-        [F.col("seq")],
-        salts=1,
+    answered = messages.select("idempotency_key", "seq").join(
+        held.unionByName(fresh), "idempotency_key"
     )
+    new_id = F.when(~F.col("_known"), target_id(F.col("idempotency_key")))
+    answered = answered.withColumn("target_id", F.coalesce(new_id, "target_id"))
     receipts = answered.select(
         "idempotency_key",
         "seq",

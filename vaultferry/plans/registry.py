@@ -24,7 +24,7 @@ from vaultferry.operators.transform import build_messages, transform_error
 from vaultferry.options import MIGRATE, RETAIN, MigrationFilters
 from vaultferry.plans import migration as mg
 from vaultferry.plans import retries
-from vaultferry.session import durable, prepare_session, scratch_path
+from vaultferry.session import durable, prepare_session, scratch_path, stored
 from vaultferry.sinks import writers
 from vaultferry.sinks.outbox_sink import register_outbox
 from vaultferry.sources import readers
@@ -577,7 +577,7 @@ def _replay(spark: SparkSession, d: str) -> ingest.Ingested:
         lines.unionByName(lines_again),
         fx.registry(spark, d),
         store,
-        lambda _, rows: durable(rows),
+        lambda table, rows: stored(rows, table),
     )
 
 
