@@ -18,13 +18,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceStreamWriter,
-    DataSourceWriter,
+    DataSourceStreamArrowWriter,
     InputPartition,
     WriterCommitMessage,
 )
@@ -33,6 +34,9 @@ from vaultferry.sources.files import get, listing, put, store_of
 
 SCHEMA = "batch string, archive_class string, message string"
 DATA, MANIFESTS = "data", "manifests"
+# Messages are written and read in runs of about so many bytes; a single one may be longer.
+RUN_BYTES = 1 << 20
+line_of = json.JSONEncoder(ensure_ascii=False).encode
 
 
 @dataclass
@@ -53,19 +57,40 @@ class Listed(InputPartition):
 
 
 def write_rows(path: str, rows: Iterator[T.Row]) -> Written:
-    """Write a task's messages to a new file, line by line."""
+    return write_messages(path, ((r["archive_class"], r["message"]) for r in rows))
+
+
+def write_record_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Written:
+    columns = (tuple(b.column(c) for c in ("archive_class", "message")) for b in batches)
+    return write_messages(path, (m for k, t in columns for m in zip(k.to_pylist(), t.to_pylist())))
+
+
+def runs_of(lines: Iterator) -> Iterator[list]:
+    """Lines in runs of about ``RUN_BYTES``."""
+    run, size = [], 0
+    for line in lines:
+        run.append(line)
+        size += len(line)
+        if size >= RUN_BYTES:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def write_messages(path: str, messages: Iterator[tuple]) -> Written:
+    """Write a task's messages (archive class, text) to a new file, one a line."""
     store, root = store_of(path)
     folder, name = f"{root}/{DATA}", f"{uuid.uuid4().hex}.jsonl"
     digest, count, size, out = hashlib.sha256(), 0, 0, None
-    for row in rows:
+    for run in runs_of(line_of(m) + "\n" for m in messages):
         if out is None:
             store.create_dir(folder, recursive=True)
             out = store.open_output_stream(f"{folder}/{name}")
-        line = json.dumps([row["archive_class"], row["message"]], ensure_ascii=False) + "\n"
-        raw = line.encode()
+        raw = "".join(run).encode()
         out.write(raw)
         digest.update(raw)
-        count, size = count + 1, size + len(raw)
+        count, size = count + len(run), size + len(raw)
     if out is None:
         return Written("", 0, 0, "")
     out.close()
@@ -88,12 +113,12 @@ def drop_files(path: str, messages: list) -> None:
             store.delete_file(f"{root}/{DATA}/{m.file}")
 
 
-class OutboxWriter(DataSourceWriter):
+class OutboxWriter(DataSourceArrowWriter):
     def __init__(self, path: str, batch: str):
         self.path, self.batch = path, batch
 
-    def write(self, rows: Iterator[T.Row]) -> Written:
-        return write_rows(self.path, rows)
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        return write_record_batches(self.path, batches)
 
     def commit(self, messages: list) -> None:
         write_manifest(self.path, self.batch, messages)
@@ -102,12 +127,12 @@ class OutboxWriter(DataSourceWriter):
         drop_files(self.path, messages)
 
 
-class OutboxStreamWriter(DataSourceStreamWriter):
+class OutboxStreamWriter(DataSourceStreamArrowWriter):
     def __init__(self, path: str, stream: str):
         self.path, self.stream = path, stream
 
-    def write(self, rows: Iterator[T.Row]) -> Written:
-        return write_rows(self.path, rows)
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        return write_record_batches(self.path, batches)
 
     def commit(self, messages: list, batchId: int) -> None:
         write_manifest(self.path, f"{self.stream}-{batchId}", messages)
@@ -132,16 +157,18 @@ class OutboxReader(DataSourceReader):
             found += [Listed(manifest["batch"], f["file"], f["sha256"]) for f in manifest["files"]]
         return found or [Listed("", "", "")]
 
-    def read(self, partition: Listed) -> Iterator[tuple]:
+    def read(self, partition: Listed) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
         store, root = store_of(self.path)
         digest = hashlib.sha256()
         with store.open_input_stream(f"{root}/{DATA}/{partition.file}") as source:
-            for line in io.BufferedReader(source):
-                digest.update(line)
-                archive_class, message = json.loads(line)
-                yield partition.batch, archive_class, message
+            for run in runs_of(io.BufferedReader(source)):
+                digest.update(b"".join(run))
+                classes, texts = zip(*json.loads(b"[" + b",".join(run) + b"]"))
+                columns = ([partition.batch] * len(run), classes, texts)
+                arrays = [pa.array(c, pa.string()) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, ["batch", "archive_class", "message"])
         if digest.hexdigest() != partition.sha256:
             raise ValueError(f"{partition.file} is not what its manifest says")
 
