@@ -414,7 +414,8 @@ def plan_migration(
     """Build a run as lazy DataFrames; ``results`` are classified final receipts, if any.
 
     The log needs the items twice, messages and log the checked references; with
-    ``keep=durable`` each is computed once. Content errors in the audit log name the position; ``run_migration`` adds
+    ``keep=durable`` each is computed once. Messages alone are cheaper without it: items stay
+    partitioned by their id, and nothing is written in between. Content errors in the audit log name the position; ``run_migration`` adds
     part and hashes.
     """
     prepare_session(spark)

@@ -1123,7 +1123,7 @@ def own_run_reports(spark: SparkSession, d: str) -> DataFrame:
 def outbox_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages of a run as written to the outbox, read back as text."""
     store = scratch_path(spark, "outbox")
-    plan = mg.plan_migration(spark, _inputs(spark, d), fx.options(), keep=durable)
+    plan = mg.plan_migration(spark, _inputs(spark, d), fx.options())
     writers.write_outbox(plan.messages(), store, "0")
     fields = (
         "idempotencyKey string, targetArchive string, metadata map<string, string>, "
@@ -1448,8 +1448,8 @@ def outbox_sink(spark: SparkSession, d: str) -> DataFrame:
     """Messages of a run delivered through the sink, a batch of it written twice."""
     register_outbox(spark)
     path = scratch_path(spark, "outbox-sink")
-    plan = mg.plan_migration(spark, _inputs(spark, d), fx.options(), keep=durable)
-    rows = durable(writers.outbox_rows(plan.messages()))
+    plan = mg.plan_migration(spark, _inputs(spark, d), fx.options())
+    rows = stored(writers.outbox_rows(plan.messages()), "outbox-rows")
     for _ in range(2):
         rows.write.format("outbox").mode("append").option("batch", "all").save(path)
     held = spark.read.format("outbox").load(path)

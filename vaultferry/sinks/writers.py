@@ -115,12 +115,13 @@ def write_outbox(messages: DataFrame, path: str, batch_id: str) -> None:
 
 
 def write_outbox_lines(lines: DataFrame, path: str, batch_id: str) -> None:
-    """Messages that are text already (archive_class, message)."""
+    """Messages that are text already (archive_class, message), packed with gzip."""
     (
         lines.select("archive_class", "message")
         .withColumn("batch_id", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "gzip")
         .partitionBy("batch_id", "archive_class")
         .text(path)
     )
